@@ -63,6 +63,11 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), "")
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column that is computed once a row: later filters on what is made of it can't copy its expression, say into a lambda."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column end to end, and where each row starts (one more than rows). Null is empty."""
     if isinstance(texts, pa.ChunkedArray):

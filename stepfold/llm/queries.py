@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfold.llm import packing, token_store
+from stepfold.llm import compression_classifier, packing, quality_rules, secrets, token_store
 from stepfold.llm.common import Scratch, table
 
 
@@ -24,8 +24,26 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(spark, table(spark, sf_dir, "documents"), owner=["source"], repository=["source", "lang"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = compression_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op2_token_ids": op2_token_ids,
+    "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op8_secrets": op8_secrets,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 ORACLE_SQL: dict[str, str] = {}
