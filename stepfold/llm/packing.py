@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepfold.llm.common import Scratch
-from stepfold.llm.tokens import Encoder
+from stepfold.llm.tokens import encoder
 
 #: Pieces of a part within which ranks are counted by a sort.
 PART_ROWS = 200_000
@@ -34,11 +34,10 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                ids, counts = encoder.encode(part.column(1))
+                ids, counts = encoder(tokenizer).encode(part.column(1))
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 sizes = counts + 1
                 n = -(-sizes // capacity)

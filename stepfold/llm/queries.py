@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfold.llm import compression_classifier, packing, quality_rules, secrets, token_store
+from stepfold.llm import compression_classifier, decontaminate, packing, pii, quality_rules, secrets, token_store
 from stepfold.llm.common import Scratch, table
 
 
@@ -14,6 +14,10 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("t")
+
+
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-store").path("store")
     token_store.write_store(spark, table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
@@ -29,6 +33,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(spark, table(spark, sf_dir, "documents"), owner=["source"], repository=["source", "lang"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
@@ -40,10 +48,14 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_ids": op2_token_ids,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
     "op8_secrets": op8_secrets,
     "op9_quality_classifier": op9_quality_classifier,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.ORACLE_SQL,
+}

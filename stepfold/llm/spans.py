@@ -12,11 +12,11 @@ def hits(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def located(text: Column, pattern: str, found: Column, parts: Column | None = None) -> Column:
+def located(text: Column, pattern: str, found: Column, parts: Column | None = None, keep=None) -> Column:
     """Spans of all matches of `pattern`, leftmost first, without overlap, in code points, ends exclusive.
 
     `found` are the matches and `parts` a group of each. Splitting by the pattern gives what lies between them, so
-    a running sum of lengths places each. Patterns match no empty string.
+    a running sum of lengths places each. Patterns match no empty string. keep(match, part) says which to return.
     """
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     zipped = F.arrays_zip(found.alias("hit"), gaps.alias("gap"), (found if parts is None else parts).alias("part"))
@@ -25,7 +25,8 @@ def located(text: Column, pattern: str, found: Column, parts: Column | None = No
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
         one = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), x["part"].alias("part"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+        more = F.concat(acc["out"], F.array(one))
+        return F.struct(end.alias("at"), (more if keep is None else F.when(keep(x["hit"], x["part"]), more).otherwise(acc["out"])).alias("out"))
 
     none = F.array().cast(SPANS)
     zero = F.struct(F.lit(0).alias("at"), none.alias("out"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepfold.llm.common import Scratch
-from stepfold.llm.tokens import Encoder
+from stepfold.llm.tokens import encoder
 
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 19
@@ -62,32 +62,37 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian unsigned 32-bit) of each row, the end id included."""
+def id_type(tokenizer: str) -> str:
+    """Two bytes hold the ids of either public vocabulary; larger ones take four."""
+    return "<u2" if encoder(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+
+
+def encoded(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian, of numpy type `kind`) of each row, the end id included."""
+    width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
         for batch in batches:
             for at in range(0, len(batch), 512):
                 part = batch.slice(at, 512)
-                ids, counts = encoder.encode(part.column(1))
+                ids, counts = encoder(tokenizer).encode(part.column(1))
                 ends = np.cumsum(counts)
-                ids = np.insert(ids, ends, end_id).astype("<u4")
-                offsets = np.concatenate([[0], 4 * np.cumsum(counts + 1)]).astype(np.int32)
+                ids = np.insert(ids, ends, end_id).astype(kind)
+                offsets = np.concatenate([[0], width * np.cumsum(counts + 1)]).astype(np.int32)
                 column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts + 1), column], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _ENCODED)
 
 
-def token_counts(ids: DataFrame) -> DataFrame:
+def token_counts(ids: DataFrame, kind: str) -> DataFrame:
     """id, n: how often each token occurs in the whole table. A task sends a row for each token it has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                seen = np.bincount(np.frombuffer(x.as_buffer(), "<u4"))
+                seen = np.bincount(np.frombuffer(x.as_buffer(), kind))
                 if len(seen) > len(n):
                     n, seen = seen, n
                 n[: len(seen)] += seen
@@ -100,13 +105,14 @@ def token_counts(ids: DataFrame) -> DataFrame:
 def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
     """Encodes every whole text once, ranks the tokens by their count in the whole table, and writes the store."""
     scratch = Scratch(spark, "token-ids")
-    ids = scratch.write(encoded(docs, tokenizer, end_id), "ids")
+    kind = id_type(tokenizer)
+    ids = scratch.write(encoded(docs, tokenizer, end_id, kind), "ids")
     # the vocabulary bounds this: at most one row for each id of the tokenizer
-    counts = sorted(((-n, i) for i, n in token_counts(ids).collect()))
+    counts = sorted(((-n, i) for i, n in token_counts(ids, kind).collect()))
     spark.createDataFrame([(rank, i, -n) for rank, (n, i) in enumerate(counts)] or [], "rank int, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(max((i for _, i in counts), default=0) + 1, np.uint32)
     rank[[i for _, i in counts]] = np.arange(len(counts))
-    total = -4 * sum(n for n, _ in counts)
+    total = int(-np.dtype(kind).itemsize * sum(n for n, _ in counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, block, first = TaskContext.get().partitionId(), 0, 0
@@ -121,7 +127,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str,
         for batch in batches:
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 names.append(doc)
-                parts.append(np.frombuffer(x.as_buffer(), "<u4"))
+                parts.append(np.frombuffer(x.as_buffer(), kind))
                 counts.append(len(parts[-1]))
                 held += counts[-1]
                 if held >= BLOCK_IDS:

@@ -8,7 +8,9 @@ for ASCII; a text with any other white space, or with a special token, is encode
 
 from __future__ import annotations
 
+import json
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,7 +22,9 @@ from stepfold.llm.common import ranges, row_blocks, text_bytes
 #: White space beyond ASCII, for which chunks are not cut.
 OTHER_SPACE = r"[\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Chunks whose ids are remembered; the memory is emptied beyond that, which changes no result.
-MEMORY = 1_000_000
+MEMORY = 400_000
+#: A chunk that is one word of the model as it stands: precomposed Latin letters, maybe after one space.
+PLAIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: 1: ASCII letters and digits, 2: ASCII punctuation but the apostrophe, 0: the rest.
@@ -32,6 +36,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        bytes_as = bytes_to_letters()
+        self.letters = {c: "".join(bytes_as[b] for b in chr(c).encode()) for c in range(256)}
+        shape = json.loads(self.tokenizer.to_str())
+        self.lower = shape["normalizer"] is not None  # then white space is dropped as well
         self.whole = "|".join([OTHER_SPACE, *(re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values())])
         self._forget()
 
@@ -75,8 +83,35 @@ class Encoder:
             new = chunks
         if new:
             self.memory.update(zip(new, range(len(self.memory), len(self.memory) + len(new)), strict=True))
-            ids = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+            ids = self._encoded(new)
             lengths = np.fromiter(map(len, ids), np.int64, len(ids))
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(lengths)])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))])
         return np.fromiter(map(self.memory.__getitem__, chunks), np.int64, len(chunks))
+
+    def _encoded(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of each chunk. The model itself takes a plain word, in the letters that stand for its bytes."""
+        model, out, rest = self.tokenizer.model, [], []
+        for k, x in enumerate(chunks):
+            if PLAIN.fullmatch(x):
+                word = (x.lstrip(" ").lower() if self.lower else x).translate(self.letters)
+                out.append([t.id for t in model.tokenize(word)])
+            else:
+                rest.append(k)
+                out.append([])
+        for k, x in zip(rest, self.tokenizer.encode_batch([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = x.ids
+        return out
+
+
+def bytes_to_letters() -> list[str]:
+    """The letter that byte-level models write for each byte: itself where it is printable Latin-1, else the next free one from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in printable else next(spare)) for b in range(256)]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker process, which tasks share."""
+    return Encoder(path)
