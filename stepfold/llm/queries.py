@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfold.llm import compression_classifier, decontaminate, packing, pii, quality_rules, secrets, token_store
+from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, secrets, token_store
 from stepfold.llm.common import Scratch, table
 
 
@@ -28,6 +28,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark, table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(spark, table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality_rules.assess(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rules.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -50,6 +54,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_ids": op2_token_ids,
+    "op3_ngram_join": op3_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
@@ -58,4 +63,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
+    "op3_ngram_join": ngram_join.ORACLE_SQL,
 }
