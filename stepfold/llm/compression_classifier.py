@@ -102,9 +102,9 @@ def fit(rows: list[tuple[int, str]]) -> Model:
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """`docs` with score (double): the probability of label 1."""
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """`docs` with a column (double), by default score: the probability of label 1."""
+    schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = model.compressors() if model.dictionaries else (None, None)

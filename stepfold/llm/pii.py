@@ -51,10 +51,10 @@ def _phone(value: Column, _: Column) -> Column:
     return F.length(F.regexp_replace(value, "[^0-9]", "")).between(9, 15)
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text, t (a hash of the text) and the base spans by kind: email, ip, card, phone."""
+def with_spans(docs: DataFrame, carried: list[str]) -> DataFrame:
+    """The carried columns, text, t (a hash of the text) and the base spans by kind: email, ip, card, phone."""
     text, digits = F.col("text"), F.col("text").rlike("[0-9]")
-    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(*carried, F.xxhash64("text").alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     patterns = {"email": (EMAIL, text.contains("@"), None), "ip": (IP, digits & text.contains("."), lambda x, _: x.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")), "card": (CARD, digits, _card), "phone": (PHONE, text.contains("+"), _phone)}
     for kind, (pattern, when, _) in patterns.items():
         rows = settled(rows, f"_{kind}", only_if(when, hits(text, pattern)))
@@ -83,8 +83,8 @@ def mentions(rows: DataFrame) -> DataFrame:
 
 
 def _held(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """doc_id, t, term of the documents that hold any of these terms."""
-    words = docs.select("doc_id", F.xxhash64("text").alias("t"), F.explode(F.array_distinct(hits(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), TERM))).alias("term"))
+    """t, term of the documents that hold any of these terms."""
+    words = docs.select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(hits(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), TERM))).alias("term"))
     return words.join(F.broadcast(terms) if small else terms, "term")
 
 
@@ -104,10 +104,10 @@ def revealing(spark: SparkSession, docs: DataFrame, rows: DataFrame, scratch: Sc
     return scratch.write(told.select("term", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
 
 
-def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, text, t and the spans by kind (email, ip, card, phone, term) of each row."""
+def find(spark: SparkSession, docs: DataFrame, carried: list[str]) -> DataFrame:
+    """The carried columns, text, t and the spans by kind (email, ip, card, phone, term) of each row."""
     scratch = Scratch(spark, "pii")
-    rows = with_spans(docs)
+    rows = with_spans(docs, carried)
     terms = revealing(spark, docs, rows, scratch)
     held = _held(docs, terms.select("term"), terms.count() <= BROADCAST_ROWS).groupBy("t").agg(F.collect_set("term").alias("terms"))
     held = scratch.write(held.select(F.col("t").alias("u"), "terms"), "held")
@@ -131,15 +131,15 @@ def _joined(kinds: tuple[str, ...]) -> Column:
 
 def report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, counts by base kind, base_sha256, spans and n_term of each row."""
-    rows = find(spark, docs)
+    rows = find(spark, docs, ["doc_id"])
     return rows.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(_joined(KINDS[:4]), 256).alias("base_sha256"), _joined(KINDS).alias("spans"))
 
 
 def sanitised(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """`docs` with each span in text generalised to its kind in angle brackets; of overlapping spans the first, then the longest, counts. Other columns stay, null text too."""
     names = docs.columns
-    whole = docs.withColumn("_row", F.struct(*names))
-    found = find(spark, whole.select(F.col("_row").alias("doc_id"), "text"))
+    carried = [f"_{i}" for i in range(len(names))]
+    found = find(spark, docs.select(*(F.col(c).alias(x) for c, x in zip(names, carried, strict=True)), "text"), carried)
     spans = F.array_sort(_flat(KINDS), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
 
     def step(acc: Column, x: Column) -> Column:
@@ -149,5 +149,5 @@ def sanitised(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     clean = F.aggregate("all", zero, step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
-    out = settled(found, "all", spans).withColumn("clean", F.when(F.size("all") > 0, clean).otherwise(F.col("doc_id.text").cast("string")))
-    return out.select(*(F.col("clean").alias(c) if c == "text" else F.col(f"doc_id.`{c}`").alias(c) for c in names))
+    out = settled(found, "all", spans).withColumn("clean", F.when(F.size("all") > 0, clean).otherwise(F.col(f"_{names.index('text')}").cast("string")))
+    return out.select(*(F.col("clean" if c == "text" else x).alias(c) for c, x in zip(names, carried, strict=True)))
