@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, secrets, token_store
+from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, secrets, token_store, wrappers
 from stepfold.llm.common import Scratch, table
 
 
@@ -51,6 +51,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(spark, table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_ids": op2_token_ids,
@@ -60,6 +64,7 @@ QUERIES = {
     "op6_pii": op6_pii,
     "op8_secrets": op8_secrets,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
