@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, secrets, token_store, wrappers
+from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, secrets, suffix_dedup, token_store, wrappers
 from stepfold.llm.common import Scratch, table
 
 
@@ -41,6 +42,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.deduplicate(spark, table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(spark, table(spark, sf_dir, "documents"), owner=["source"], repository=["source", "lang"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
@@ -62,6 +68,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_pii": op6_pii,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_secrets": op8_secrets,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
