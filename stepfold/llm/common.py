@@ -44,6 +44,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         df.write.option("compression", "zstd").parquet(path)
+        # what led to the table isn't needed any more: once its plan is collected, Spark's cleaner frees its shuffle files
+        self.spark._jvm.System.gc()
         return self.read(path, df)
 
     def read(self, path: str, like: DataFrame) -> DataFrame:

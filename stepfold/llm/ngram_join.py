@@ -14,10 +14,11 @@ are fewer and hold SHINGLES_A_WORD shingles, and enough independent layouts are
 threshold is missed with a probability of at most MISS, and closer pairs with less.
 
 Documents with equal sets are joined first and go on as one. A bucket of equal words never emits all its pairs: each
-member is compared with one leader (a chain of equal near copies takes one comparison each). Buckets whose members are
-not yet in one component are compared again with other leaders, and what is then left is compared in full, by sketch
-in tiles of bounded size, but only across components. So no link that joins components is lost, and no group costs
-its square unless its members really differ.
+member is compared with one leader, that which shares the most words with others (of edited copies, the least edited).
+Buckets whose members are not yet in one component are compared again with other leaders. What is then left is compared
+by sketch in tiles of bounded size, and only across components: first each member with its nearest, then with all that
+their sketches allow. So no link that joins components is lost, and no group costs its square in rows unless its
+members really differ.
 
 Words are maximal runs of anything but ASCII white space, A-Z in lower case. Null or empty text has the empty set and
 no links. Rows that repeat a doc_id are one node; each row keeps its own size. A null doc_id is never linked.
@@ -40,11 +41,13 @@ from stepfold.llm.textsets import mix, shingle_sets
 
 WHOLE, SHINGLES_A_WORD, MISS = 90, 9, 1e-5
 #: Words of 64 bits of the short sketch.
-SHORT = 16
+SHORT = 32
 #: Members that one leader is compared with in one place, and members of a tile.
 CHUNK, TILE = 256, 2048
-#: Further rounds of leaders before buckets are compared in full.
+#: Further rounds of leaders before buckets are compared by sketch.
 ROUNDS = 2
+#: Rows of 8 to 32 bytes up to which ids and pairs are broadcast to the texts.
+BROADCAST_ROWS = 100_000
 BLOCK = 1 << 20
 _SIGNATURE = "doc_id long, n int, f1 long, f2 long, keys array<long>, sketch array<long>"
 
@@ -139,7 +142,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     dealt = pairs.join(members, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / CHUNK)).alias("s"))
     leaders = dealt.select("a", "s", F.col("a").alias("id"), F.lit(0).alias("role")).distinct()
     wanted = leaders.unionByName(dealt.select("a", "s", F.col("b").alias("id"), F.lit(1).alias("role")))
-    rows = wanted.join(texts, "id").select("a", "s", "role", "id", "text").repartition("a", "s").sortWithinPartitions("a", "s", "role")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    rows = texts.join(wanted, "id").select("a", "s", "role", "id", "text").repartition("a", "s").sortWithinPartitions("a", "s", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
@@ -169,8 +174,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def across(entries: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket in different components that the short sketches allow, found tile by tile.
+def across(entries: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (a, b) of one bucket in different components that the short sketches allow, found tile by tile; or only that with the nearest for each member.
 
     entries: key, id, component, n, sketch. A bucket of m members has ceil(m / TILE) chunks and a tile for each two of
     them; a row goes to the tiles of its chunk, so no task holds more than two chunks of a bucket at a time.
@@ -191,9 +196,14 @@ def across(entries: DataFrame, percent: int) -> DataFrame:
                 break
             d = np.bitwise_count(sketch[e:] ^ sketch[i]).sum(axis=1, dtype=np.int64)
             small, large = np.minimum(n[e:], n[i]), np.maximum(n[e:], n[i])
+            if nearest:
+                at = np.argmin(d)
+                d, small, large, other = d[at : at + 1], small[at : at + 1], large[at : at + 1], ids[e:][at : at + 1]
+            else:
+                other = ids[e:]
             ok = np.flatnonzero((100 * small >= percent * large) & (d * (100 + percent) <= (small + large) * (100 - percent)))
             if len(ok):
-                other = ids[e:][ok]
+                other = other[ok]
                 yield np.minimum(other, ids[i]), np.maximum(other, ids[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,6 +229,11 @@ def across(entries: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def bounded(ids: DataFrame) -> DataFrame:
+    """`ids`, broadcast if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `docs`: the least doc_id that links reach."""
     scratch = Scratch(spark, "ngram-join")
@@ -228,31 +243,39 @@ def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80)
     first = linkable.join(copies.select("f1", "f2", F.col("id").alias("doc_id")), ["f1", "f2", "doc_id"]).dropDuplicates(["f1", "f2", "doc_id"])
     by_key = Window.partitionBy("key")
     entries = first.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    shared = entries.select("key", "id", F.min("id").over(by_key).alias("leader"), F.max("id").over(by_key).alias("last")).where("leader <> last").drop("last")
-    shared = scratch.write(shared, "shared")
+    several = F.min("id").over(by_key) != F.max("id").over(by_key)
+    found = scratch.write(entries.withColumn("several", several).where("several").drop("several"), "shared")
+    shared = scratch.write(found.join(found.groupBy("id").agg(F.count("*").alias("degree")), "id"), "ranked")
+    scratch.drop(found)
+    leaders = shared.groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("leader"))
     ids = shared.select("id").distinct()
     nodes = scratch.write(linkable.join(copies.select("f1", "f2", F.col("id").alias("doc_id")), ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch").distinct().join(ids, "id"), "nodes")
+    members = scratch.write(sets.select("doc_id", "n", "f1", "f2"), "members")
+    scratch.drop(sets)
 
-    tested = scratch.write(_near(shared.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), nodes, percent), "pairs")
+    starred = shared.join(leaders, "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    tested = scratch.write(_near(starred, nodes, percent), "pairs")
     needed = tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = scratch.write(source.join(needed, "id", "left_semi"), "texts")
+    texts = scratch.write(source.join(bounded(needed), "id", "left_semi"), "texts")
     # rows of one doc_id and different texts are one node
-    of_id = linkable.select("doc_id", "f1", "f2").join(copies, ["f1", "f2"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
+    of_id = members.where("n > 0 and doc_id is not null").join(copies, ["f1", "f2"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
     same = of_id.select("a", F.explode("ids").alias("b")).where("a <> b").distinct()
     links = scratch.write(verified(tested, texts, size, percent).unionByName(same), "links")
     parts = scratch.write(components(scratch, links), "components")
 
-    for turn in range(ROUNDS + 1):
-        told = shared.select("key", "id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    for turn in range(ROUNDS + 2):
+        told = shared.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         left = scratch.write(told.join(mixed, "key"), "left")
         if turn < ROUNDS:
-            lead = left.where("component = low").groupBy("key").agg(F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("a"))
-            more = left.where("component <> low").join(lead, "key").select("a", F.col("id").alias("b")).distinct()
+            # a leader of the least component for all others, then one of the others for the least
+            of = F.col("component") == F.col("low") if turn % 2 == 0 else F.col("component") != F.col("low")
+            lead = left.where(of).groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("degree", F.xxhash64("id", F.lit(turn)))).alias("lead"))
+            more = left.join(lead, "key").where("component <> lead.component").select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
             more = _near(more, nodes, percent)
         else:
-            more = across(left.select("key", "id", "component").join(nodes, "id"), percent)
+            more = across(left.select("key", "id", "component").join(nodes, "id"), percent, nearest=turn == ROUNDS)
         ordered = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more = scratch.write(ordered(more).distinct().join(ordered(tested), ["a", "b"], "left_anti"), "more")
         scratch.drop(left)
@@ -260,7 +283,7 @@ def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80)
             continue
         also = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(needed, "id", "left_anti")
         if not also.isEmpty():
-            extra = scratch.write(source.join(also, "id", "left_semi"), "texts")
+            extra = scratch.write(source.join(bounded(also), "id", "left_semi"), "texts")
             texts, needed = texts.unionByName(extra), needed.unionByName(also)
         new = scratch.write(verified(more, texts, size, percent), "links")
         tested = tested.unionByName(more)
@@ -269,7 +292,7 @@ def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80)
         links = links.unionByName(new)
         parts = scratch.write(components(scratch, links), "components")
 
-    rows = sets.select("doc_id", "n", "f1", "f2").join(copies, ["f1", "f2"], "left")
+    rows = members.join(copies, ["f1", "f2"], "left")
     out = rows.join(parts, "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "n", "id", "component")
     return out.select("doc_id", "n_shingles", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"))
 

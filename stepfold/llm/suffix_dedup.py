@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -115,10 +116,12 @@ def write_run(after: np.ndarray, n_after: np.ndarray, before: np.ndarray, n_befo
     tails = after[(mask >= shared[:, None]) & (mask < n_after[:, None])]
     lefts = before[np.arange(before.shape[1]) < n_before[:, None]]
     parts = [x.astype(np.uint8).tobytes() for x in (shared, n_after, n_before, twice)]
-    return b"".join([struct.pack("<q", len(shared)), *parts, c.astype("<u8").tobytes(), tails.tobytes(), lefts.tobytes()])
+    run = b"".join([struct.pack("<q", len(shared)), *parts, c.astype("<u8").tobytes(), tails.tobytes(), lefts.tobytes()])
+    return zstandard.compress(run, 3)
 
 
 def read_run(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    blob = zstandard.decompress(blob)
     n = struct.unpack_from("<q", blob)[0]
     shared, n_after, n_before, twice = (np.frombuffer(blob, np.uint8, n, 8 + k * n).astype(np.int64) for k in range(4))
     c = np.frombuffer(blob, "<u8", 2 * n, 8 + 4 * n).reshape(n, 2)
