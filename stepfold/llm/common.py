@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 class Scratch:
     """Intermediate tables in the shared folder. They survive lost executors; drop() frees their disk."""
@@ -43,9 +45,13 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
-        # what led to the table isn't needed any more: once its plan is collected, Spark's cleaner frees its shuffle files
-        self.spark._jvm.System.gc()
+        # what led to the table isn't needed once it is written, so Spark may remove its shuffle files then
+        old = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
+        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP, old)
         return self.read(path, df)
 
     def read(self, path: str, like: DataFrame) -> DataFrame:

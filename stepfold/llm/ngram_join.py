@@ -46,8 +46,6 @@ SHORT = 32
 CHUNK, TILE = 256, 2048
 #: Further rounds of leaders before buckets are compared by sketch.
 ROUNDS = 2
-#: Rows of 8 to 32 bytes up to which ids and pairs are broadcast to the texts.
-BROADCAST_ROWS = 100_000
 BLOCK = 1 << 20
 _SIGNATURE = "doc_id long, n int, f1 long, f2 long, keys array<long>, sketch array<long>"
 
@@ -142,8 +140,6 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     dealt = pairs.join(members, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("m") / CHUNK)).alias("s"))
     leaders = dealt.select("a", "s", F.col("a").alias("id"), F.lit(0).alias("role")).distinct()
     wanted = leaders.unionByName(dealt.select("a", "s", F.col("b").alias("id"), F.lit(1).alias("role")))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     rows = texts.join(wanted, "id").select("a", "s", "role", "id", "text").repartition("a", "s").sortWithinPartitions("a", "s", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,11 +225,6 @@ def across(entries: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def bounded(ids: DataFrame) -> DataFrame:
-    """`ids`, broadcast if they are few."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-
-
 def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of `docs`: the least doc_id that links reach."""
     scratch = Scratch(spark, "ngram-join")
@@ -255,9 +246,8 @@ def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80)
 
     starred = shared.join(leaders, "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     tested = scratch.write(_near(starred, nodes, percent), "pairs")
-    needed = tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = scratch.write(source.join(bounded(needed), "id", "left_semi"), "texts")
+    texts = scratch.write(source.join(ids, "id", "left_semi"), "texts")
     # rows of one doc_id and different texts are one node
     of_id = members.where("n > 0 and doc_id is not null").join(copies, ["f1", "f2"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
     same = of_id.select("a", F.explode("ids").alias("b")).where("a <> b").distinct()
@@ -269,10 +259,11 @@ def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80)
         mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
         left = scratch.write(told.join(mixed, "key"), "left")
         if turn < ROUNDS:
-            # a leader of the least component for all others, then one of the others for the least
-            of = F.col("component") == F.col("low") if turn % 2 == 0 else F.col("component") != F.col("low")
-            lead = left.where(of).groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("degree", F.xxhash64("id", F.lit(turn)))).alias("lead"))
-            more = left.join(lead, "key").where("component <> lead.component").select(F.col("lead.id").alias("a"), F.col("id").alias("b")).distinct()
+            # a member of the component of the most shared one leads those outside it; it is the same in most buckets
+            top = left.groupBy("key").agg(F.max_by("component", F.struct("degree", -F.col("component"))).alias("top"))
+            told = left.join(top, "key")
+            lead = told.where("component = top").groupBy("key").agg(F.max_by("id", F.struct(F.lit(turn) * F.xxhash64("id", F.lit(turn)), "degree", -F.col("id"))).alias("a"))
+            more = told.where("component <> top").join(lead, "key").select("a", F.col("id").alias("b")).distinct()
             more = _near(more, nodes, percent)
         else:
             more = across(left.select("key", "id", "component").join(nodes, "id"), percent, nearest=turn == ROUNDS)
@@ -281,10 +272,6 @@ def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80)
         scratch.drop(left)
         if more.isEmpty():
             continue
-        also = more.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(needed, "id", "left_anti")
-        if not also.isEmpty():
-            extra = scratch.write(source.join(bounded(also), "id", "left_semi"), "texts")
-            texts, needed = texts.unionByName(extra), needed.unionByName(also)
         new = scratch.write(verified(more, texts, size, percent), "links")
         tested = tested.unionByName(more)
         if new.isEmpty():
