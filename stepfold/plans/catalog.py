@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfold.functions import answers, rewards, wording
-from stepfold.model import LEADERBOARD_TASKS, ROOMS, TASKS
+from stepfold.model import LEADERBOARD_TASKS, ROOMS, TASKS, GenerationConfig
 from stepfold.operators import curation, leaderboard, segments
 from stepfold.operators.questions import QUESTIONS
-from stepfold.plans import outputs, question_sql
+from stepfold.plans import generate, outputs, question_sql
 from stepfold.plans.state import World, params_of, rooms_map, state_of_events, wide
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -289,3 +289,8 @@ def rw_scores(spark, sf_dir):
     text = F.concat(F.lit("<think>\n"), F.repeat(F.lit("because it is so. "), (q % 40).cast("int")), F.lit("\n</think>"), F.when(q % 2 == 0, "\n").otherwise(" then "), F.lit("<answer>\n"), said, F.lit("\n</answer>"))
     c = g.withColumn("t", text)
     return c.select("qid", "qtype", "seq_len", rewards.correctness(F.col("t"), F.col("gold")).alias("correctness"), rewards.form(F.col("t")).alias("form"))
+
+
+@query(None)
+def gen_questions(spark, sf_dir):
+    return generate.questions(spark, GenerationConfig(seq_lengths=[4, 8], n_questions=5, question_types=["spend_alone", "first_app", "n_empty"]))
