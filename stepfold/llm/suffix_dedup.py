@@ -38,6 +38,8 @@ BEFORE = LENGTH - GRAM
 #: Occurrences of a gram up to which its suffixes are merged in one place; suffixes of a merge.
 HOT, MERGE = 500_000, 60_000
 BLOCK = 1 << 20
+#: Kinds of the columns of a place.
+_PLACE = ("<u4", "<u1", "<i8", "<i8", "<i4")
 _OTHER = np.random.default_rng(7).integers(0, 2**64, 256, dtype=np.uint64)
 
 
@@ -109,30 +111,37 @@ def _order(grid: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return by_length[np.argsort(text, kind="stable")]
 
 
-def write_run(after: np.ndarray, n_after: np.ndarray, before: np.ndarray, n_before: np.ndarray, twice: np.ndarray, c: np.ndarray) -> bytes:
-    """A front-coded run of suffixes in ascending order, each with the bytes before it (backwards) and its id."""
+def write_run(after: np.ndarray, n_after: np.ndarray, before: np.ndarray, n_before: np.ndarray, twice: np.ndarray, places: tuple[np.ndarray, ...]) -> bytes:
+    """A front-coded run of suffixes in ascending order, each with the bytes before it (backwards), and the places of its anchors.
+
+    A place is the number of its suffix in the run, whether its document has an id, the id, the hash of its text and its position.
+    """
     shared = _shared(after, n_after)
     mask = np.arange(after.shape[1])
     tails = after[(mask >= shared[:, None]) & (mask < n_after[:, None])]
     lefts = before[np.arange(before.shape[1]) < n_before[:, None]]
     parts = [x.astype(np.uint8).tobytes() for x in (shared, n_after, n_before, twice)]
-    run = b"".join([struct.pack("<q", len(shared)), *parts, c.astype("<u8").tobytes(), tails.tobytes(), lefts.tobytes()])
+    spots = [np.ascontiguousarray(x, kind).tobytes() for x, kind in zip(places, _PLACE, strict=True)]
+    run = b"".join([struct.pack("<qq", len(shared), len(places[0])), *spots, *parts, tails.tobytes(), lefts.tobytes()])
     return zstandard.compress(run, 3)
 
 
-def read_run(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def read_run(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
     blob = zstandard.decompress(blob)
-    n = struct.unpack_from("<q", blob)[0]
-    shared, n_after, n_before, twice = (np.frombuffer(blob, np.uint8, n, 8 + k * n).astype(np.int64) for k in range(4))
-    c = np.frombuffer(blob, "<u8", 2 * n, 8 + 4 * n).reshape(n, 2)
-    at, out, last = 8 + 20 * n, [], b""
+    n, m = struct.unpack_from("<qq", blob)
+    at, places = 16, []
+    for kind in _PLACE:
+        places.append(np.frombuffer(blob, kind, m, at))
+        at += m * np.dtype(kind).itemsize
+    shared, n_after, n_before, twice = (np.frombuffer(blob, np.uint8, n, at + k * n).astype(np.int64) for k in range(4))
+    at, out, last = at + 4 * n, [], b""
     for s, e in zip(shared.tolist(), n_after.tolist(), strict=True):
         last = last[:s] + blob[at : at + e - s]
         at += e - s
         out.append(last)
     before = np.zeros((n, BEFORE), np.uint8)
     before[np.arange(BEFORE) < n_before[:, None]] = np.frombuffer(blob, np.uint8, int(n_before.sum()), at)
-    return out, shared, n_after, before, n_before, twice, c
+    return out, shared, n_after, before, n_before, twice, tuple(places)
 
 
 def merged(runs: list[tuple[list[bytes], np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -217,81 +226,103 @@ def repeated_offsets(shared: np.ndarray, n_after: np.ndarray, before: np.ndarray
     return low, high
 
 
-_MADE = "kind int, dest int, blob binary, doc_id long, t long, pos int, o int, c1 long, c2 long"
+_WINDOWS = "doc_id long, t long, pos int, o int, c1 long, c2 long"
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """Of each block of rows (doc_id, t, text, spots): its bytes, and for each anchor its row in the batch, its place in the bytes, in its text, its hash and how many bytes stand before and from it on."""
+    data, starts = text_bytes(batch.column("text"))
+    spots = batch.column("spots")
+    ends = np.concatenate([[0], np.cumsum(np.diff(spots.offsets.to_numpy()))])
+    flat = spots.flatten()
+    pos, h = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "h"))
+    for a, b in row_blocks(starts, BLOCK):
+        part = slice(ends[a], ends[b])
+        row = np.repeat(np.arange(a, b), np.diff(ends[a : b + 1]))
+        at = starts[row] - starts[a] + pos[part]
+        n_after = np.minimum(starts[row + 1] - starts[row] - pos[part], LENGTH)
+        yield data[starts[a] : starts[b]], row, at, pos[part], h[part], np.minimum(pos[part], BEFORE).astype(np.int64), n_after
+
+
+def _spans_of(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the bytes from each `first` to its `end`."""
+    sums = [prefix_hashes(text, table) for table in (BYTE, _OTHER)]
+    return [mix((x[end] - x[first]) * u[first]) for x, u in sums]
+
 
+def hot_windows(flagged: DataFrame) -> DataFrame:
+    """From doc_id, t, text, spots (pos, h): all windows around the anchors, o bytes before them, by two hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, row, at, pos, _, n_before, n_after in _blocks(batch):
+                low = np.maximum(LENGTH - n_after, 0)
+                each = np.maximum(n_before - low + 1, 0)
+                o, w = ranges(low, each), np.repeat(np.arange(len(at)), each)
+                c1, c2 = _spans_of(text, at[w] - o, at[w] - o + LENGTH)
+                ids, ts = (batch.column(c).take(pa.array(row[w])) for c in ("doc_id", "t"))
+                yield pa.RecordBatch.from_arrays([ids, ts, pa.array(pos[w], pa.int32()), pa.array(o, pa.int32()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))], ["doc_id", "t", "pos", "o", "c1", "c2"])
+
+    return flagged.select("doc_id", "t", "text", "spots").mapInArrow(run, _WINDOWS)
 
-def surroundings(flagged: DataFrame, dests: int) -> DataFrame:
-    """From doc_id, t, text, spots (pos, h, hot): kind 0 runs by dest, kind 1 the id of what surrounds each anchor, kind 2 the windows around hot anchors."""
-    kinds = [pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in _MADE.split(", ")]
 
-    def send(kind: int, n: int, **cells) -> pa.RecordBatch:
-        cells["kind"] = np.full(n, kind, np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(cells[c], k) if c in cells else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names)
+def sorted_runs(flagged: DataFrame, dests: int) -> DataFrame:
+    """From doc_id, t, text, spots (pos, h): front-coded runs of the anchors' suffixes, by dest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = text_bytes(batch.column("text"))
-            spots = batch.column("spots")
-            sizes = np.diff(spots.offsets.to_numpy())
-            flat = spots.flatten()
-            pos, h, hot = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "h", "hot"))
-            ends = np.concatenate([[0], np.cumsum(sizes)])
             ids, ts = batch.column("doc_id"), batch.column("t").to_numpy()
-            for a, b in row_blocks(starts, BLOCK):
-                text, own = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
-                part = slice(ends[a], ends[b])
-                row = np.repeat(np.arange(b - a), sizes[a:b])
-                at = own[row] + pos[part]
-                n_before = np.minimum(pos[part], BEFORE).astype(np.int64)
-                n_after = np.minimum(own[row + 1] - at, LENGTH)
-                sums = [prefix_hashes(text, table) for table in (BYTE, _OTHER)]
-                span = lambda s, e: [mix((x[e] - x[s]) * u[s]) for x, u in sums]  # noqa: E731, B023
-                is_hot = hot[part].astype(bool)
-                if is_hot.any():
-                    w = np.flatnonzero(is_hot)
-                    low = np.maximum(LENGTH - n_after[w], 0)
-                    each = np.maximum(n_before[w] - low + 1, 0)
-                    o = ranges(low, each)
-                    w = np.repeat(w, each)
-                    c1, c2 = span(at[w] - o, at[w] - o + LENGTH)
-                    yield send(2, len(w), doc_id=ids.take(pa.array(row[w] + a)), t=ts[row[w] + a], pos=pos[part][w], o=o.astype(np.int32), c1=c1.view(np.int64), c2=c2.view(np.int64))
-                cold = np.flatnonzero(~is_hot)
-                if not len(cold):
+            has_id = ids.is_valid().to_numpy(zero_copy_only=False)
+            numbers = ids.fill_null(0).to_numpy()
+            for text, row, at, pos, h, n_before, n_after in _blocks(batch):
+                if not len(at):
                     continue
-                at, n_before, n_after, row = at[cold], n_before[cold], n_after[cold], row[cold]
                 around = (n_before * 1000 + n_after).astype(np.uint64)
-                c = np.stack([mix(x + mix(around)) for x in span(at - n_before, at + n_after)], axis=1)
-                yield send(1, len(cold), doc_id=ids.take(pa.array(row + a)), t=ts[row + a], pos=pos[part][cold], c1=c[:, 0].view(np.int64), c2=c[:, 1].view(np.int64))
+                c = [mix(x + mix(around)) for x in _spans_of(text, at - n_before, at + n_after)]
                 # one of each equal surroundings goes into the run
-                order = np.lexsort((c[:, 1], c[:, 0]))
-                first = np.flatnonzero(np.concatenate([[True], (c[order][1:] != c[order][:-1]).any(axis=1)]))
-                twice = np.minimum(np.diff(np.concatenate([first, [len(order)]])), 2)
-                pick = order[first]
-                dest = (h[part][cold][pick].view(np.uint64) % np.uint64(dests)).astype(np.int64)
+                order = np.lexsort(c[::-1])
+                new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in c], axis=0)])
+                first = np.flatnonzero(new)
+                pick, twice = order[first], np.minimum(np.diff(np.append(first, len(order))), 2)
+                dest = (h[pick].view(np.uint64) % np.uint64(dests)).astype(np.int64)
                 after = _grid(text, at[pick], n_after[pick], LENGTH, 1)
                 before = _grid(text, at[pick] - 1, n_before[pick], BEFORE, -1)
                 by = _order(after, n_after[pick])
                 by = by[np.argsort(dest[by], kind="stable")]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(dest[by])) + 1, [len(by)]])
-                runs = [by[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
-                blobs = [write_run(after[r], n_after[pick][r], before[r], n_before[pick][r], twice[r], c[pick][r]) for r in runs]
-                yield send(0, len(runs), dest=np.array([dest[r[0]] for r in runs], np.int32), blob=blobs)
-
-    return flagged.select("doc_id", "t", "text", "spots").mapInArrow(run, _MADE)
+                cuts = np.append(np.flatnonzero(np.diff(dest[by], prepend=-1)), len(by))
+                # the suffix of each anchor, as its number among all runs; anchors in the order of runs
+                number = np.empty(len(at), np.int64)
+                number[order] = np.argsort(by)[np.cumsum(new) - 1]
+                of_run = np.searchsorted(cuts, number, side="right")
+                own = np.argsort(of_run, kind="stable")
+                member = np.searchsorted(of_run[own], np.arange(1, len(cuts) + 1))
+                blobs = []
+                for (x, y), (lo, hi) in zip(zip(cuts, cuts[1:], strict=False), zip(member, member[1:], strict=False), strict=True):
+                    r, w = by[x:y], own[lo:hi]
+                    places = (number[w] - x, has_id[row[w]], numbers[row[w]], ts[row[w]], pos[w])
+                    blobs.append(write_run(after[r], n_after[pick][r], before[r], n_before[pick][r], twice[r], places))
+                yield pa.RecordBatch.from_arrays([pa.array(dest[by[cuts[:-1]]], pa.int32()), pa.array(blobs, pa.binary())], ["dest", "blob"])
+
+    return flagged.select("doc_id", "t", "text", "spots").mapInArrow(run, "dest int, blob binary")
 
 
 def judged(runs: DataFrame, dests: int) -> DataFrame:
-    """c1, c2, low, high of the surroundings that hold a repeated window."""
+    """doc_id, t, start, end of what the repeated windows around each anchor cover."""
 
     def each(blobs: list[bytes]) -> pa.RecordBatch:
         runs = [read_run(b) for b in blobs]
         run, place, shared = merged([(r[0], r[1]) for r in runs])
-        first = np.concatenate([[0], np.cumsum([len(r[0]) for r in runs])])[run] + place
-        n_after, before, n_before, twice, c = (np.concatenate([r[k] for r in runs])[first] for k in range(2, 7))
-        low, high = repeated_offsets(shared, n_after, before, n_before, twice)
-        hit = low >= 0
-        return pa.RecordBatch.from_arrays([pa.array(c[hit, 0].view(np.int64)), pa.array(c[hit, 1].view(np.int64)), pa.array(low[hit], pa.int32()), pa.array(high[hit], pa.int32())], ["c1", "c2", "low", "high"])
+        base = np.concatenate([[0], np.cumsum([len(r[0]) for r in runs])])
+        first = base[run] + place
+        n_after, before, n_before, twice = (np.concatenate([r[k] for r in runs])[first] for k in range(2, 6))
+        low, high = np.empty((2, len(first)), np.int64)
+        low[first], high[first] = repeated_offsets(shared, n_after, before, n_before, twice)
+        suffix = np.concatenate([r[6][0] + b for r, b in zip(runs, base, strict=False)])
+        has_id, ids, ts, pos = (np.concatenate([r[6][k] for r in runs]) for k in range(1, 5))
+        hit = low[suffix] >= 0
+        start, end = (pos - high[suffix])[hit], (pos - low[suffix] + LENGTH)[hit]
+        cells = [pa.array(ids[hit], pa.int64(), mask=has_id[hit] == 0), pa.array(ts[hit], pa.int64()), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+        return pa.RecordBatch.from_arrays(cells, ["doc_id", "t", "start", "end"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, blobs = None, []
@@ -305,31 +336,42 @@ def judged(runs: DataFrame, dests: int) -> DataFrame:
         if blobs:
             yield each(blobs)
 
-    rows = runs.select("dest", "blob").repartition(dests, "dest").sortWithinPartitions("dest")
-    return rows.mapInArrow(merge, "c1 long, c2 long, low int, high int").groupBy("c1", "c2").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    rows = runs.repartition(dests, "dest").sortWithinPartitions("dest")
+    return rows.mapInArrow(merge, "doc_id long, t long, start int, end int")
+
+
+def _flagged(rows: DataFrame, spots: DataFrame) -> DataFrame:
+    """The rows that hold any of the anchors, with them."""
+    return rows.join(spots.groupBy("k").agg(F.collect_set(F.struct("pos", "h")).alias("spots")), "k")
+
+
+def _hot_spans(rows: DataFrame, spots: DataFrame) -> DataFrame:
+    windows = hot_windows(_flagged(rows, spots))
+    # a window of one text that two anchors see counts once; rows that are equal are two
+    places = windows.select("c1", "c2", "doc_id", "t", (F.col("pos") - F.col("o")).alias("start")).distinct()
+    equal = rows.groupBy("doc_id", "t").count().where("count > 1").select(F.col("doc_id").alias("d"), F.col("t").alias("u"), F.lit(True).alias("equal"))
+    told = places.join(equal, (F.col("t") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    seen = told.groupBy("c1", "c2").agg((F.count("*") + F.count("equal")).alias("n")).where("n > 1")
+    return places.join(seen, ["c1", "c2"]).select("doc_id", "t", "start", (F.col("start") + LENGTH).alias("end"))
 
 
 def removed_spans(spark: SparkSession, rows: DataFrame, hot: int = HOT, merge: int = MERGE) -> DataFrame:
-    """doc_id, t, spans (start, end) of the removed bytes of each row of `rows` (doc_id, t, k, text) that loses any."""
+    """doc_id, t, spans (start, end) of the removed bytes of each row of `rows` (doc_id, t, k, text) that loses any.
+
+    The spans are a table, so that no shuffle file of the search is left when they are used.
+    """
     scratch = Scratch(spark, "suffixes")
     found = anchor_rows(rows)
     counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
     spots = scratch.write(counted.select("k", "pos", "h", (F.col("n") > hot).alias("hot")), "spots")
-    dests = max(1, -(-spots.where("not hot").count() // merge))
-    by_row = spots.groupBy("k").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("spots"))
-    made = scratch.write(surroundings(rows.join(by_row, "k"), dests), "surroundings")
+    cold = spots.where("not hot")
+    dests = max(1, -(-cold.count() // merge))
+    spans = judged(sorted_runs(_flagged(rows, cold), dests), dests)
+    if not spots.where("hot").isEmpty():
+        spans = spans.unionByName(_hot_spans(rows, spots.where("hot")))
+    out = scratch.write(spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     scratch.drop(spots)
-    cold = made.where("kind = 1").select("doc_id", "t", "pos", "c1", "c2").join(judged(made.where("kind = 0"), dests), ["c1", "c2"]).select("doc_id", "t", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + LENGTH).alias("end"))
-    windows = made.where("kind = 2").select("doc_id", "t", "pos", "o", "c1", "c2")
-    # a window of one text that two anchors see counts once; rows that are equal are two
-    again = windows.select("c1", "c2", "doc_id", "t", (F.col("pos") - F.col("o")).alias("start"))
-    equal = rows.groupBy("doc_id", "t").count().where("count > 1").select(F.col("doc_id").alias("d"), F.col("t").alias("u"), F.lit(True).alias("equal"))
-    places = again.distinct()
-    told = places.join(equal, (F.col("t") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    seen = told.groupBy("c1", "c2").agg((F.count("*") + F.count("equal")).alias("n")).where("n > 1")
-    wide = places.join(seen, ["c1", "c2"]).select("doc_id", "t", "start", (F.col("start") + LENGTH).alias("end"))
-    spans = cold.unionByName(wide) if not windows.isEmpty() else cold
-    return spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return out
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, hot: int = HOT, merge: int = MERGE) -> DataFrame:
