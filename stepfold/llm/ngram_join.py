@@ -9,6 +9,11 @@ own band and, as the larger partner, of the one below. In each band the sketch i
 bits differ, so by the pigeonhole principle one word is equal. Equal words bring candidates together; a second, short
 sketch drops those whose Hamming distance is over their bound; the rest are compared shingle by shingle.
 
+A word without any parity is no evidence: it would bring all documents together that happen to leave it empty, more the
+more there are. A document that has such a word goes on to a further layout instead, with other words. Where the word
+that two documents must agree in is empty, both have it empty and both go on, so the principle holds in the next layout
+again; only the last one, which few reach, joins empty words too.
+
 Below t = WHOLE a word of k + 1 would hold so few shingles that unrelated documents would often agree. There the words
 are fewer and hold SHINGLES_A_WORD shingles, and enough independent layouts are joined that a pair at the very
 threshold is missed with a probability of at most MISS, and closer pairs with less.
@@ -46,18 +51,20 @@ SHORT = 32
 CHUNK, TILE = 256, 2048
 #: Further rounds of leaders before buckets are compared by sketch.
 ROUNDS = 2
+#: Layouts up to which documents with an empty word go on.
+TURNS = 8
 BLOCK = 1 << 20
 _SIGNATURE = "doc_id long, n int, f1 long, f2 long, keys array<long>, sketch array<long>"
 
 
 @lru_cache(maxsize=8)
 def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Largest size, largest size of a partner, words and layouts of each band, as far as the size `upto`."""
+    """Largest size, largest size of a partner, words and layouts of each band, as far as the size `upto`; 0 layouts where one is sure to do."""
     rows, low = [], 1
     while low <= upto:
         high = low * 100 // percent
         k = high * (100 - percent) // percent
-        words, layouts = k + 1, 1
+        words, layouts = k + 1, 0
         if percent < WHOLE and high >= 8 * SHINGLES_A_WORD:
             words = high // SHINGLES_A_WORD
             equal = (1 - 1 / words) ** k
@@ -85,15 +92,22 @@ def _keys(h: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray,
     for below in (0, 1):
         band = np.maximum(own - below, 0)
         takes = (counts > 0) & ((own >= 1) & (counts <= partner[band]) if below else True)
-        for layout in range(int(layouts[band[takes]].max(initial=0))):
-            use = takes & (layouts[band] > layout)
+        sure = layouts[band] == 0
+        goes_on = takes & sure
+        for layout in range(max(TURNS, int(layouts[band[takes]].max(initial=0)))):
+            use = goes_on | (takes & (layouts[band] > layout))
+            if not use.any():
+                break
             n = np.where(use, words[band], 0)
             pick = use[row]
             sketch = _xor_words(mix(h[pick] + np.uint64(layout * 0x9E3779B9 + 1)), row[pick], n)
             at = np.arange(len(sketch)) - np.repeat(np.cumsum(n) - n, n)
             seed = mix((np.repeat(band, n) << 40 | layout << 32 | at).astype(np.uint64))
-            keys.append(mix(sketch ^ seed) + seed)
-            owners.append(np.repeat(np.arange(len(counts)), n))
+            owner = np.repeat(np.arange(len(counts)), n)
+            put_off = (sketch == 0) & sure[owner] & (layout < TURNS - 1)
+            keys.append((mix(sketch ^ seed) + seed)[~put_off])
+            owners.append(owner[~put_off])
+            goes_on = np.bincount(owner[put_off], minlength=len(counts)) > 0
     keys, owners = np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
     return keys[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(counts))
 
