@@ -44,7 +44,7 @@ def candidates(docs: DataFrame, owner: list[str], repository: list[str]) -> Data
         "*",
         hits(text, ASSIGN).alias("assign"),
         only_if(text.contains("AKIA"), hits(text, ACCESS)).alias("access"),
-        only_if(coded, hits(text, HEX)).alias("hex"),
+        only_if(text.rlike(HEX), hits(text, HEX)).alias("hex"),
         only_if(coded, hits(text, KEY)).alias("key"),
     )
     rows = rows.select(
