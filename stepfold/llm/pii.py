@@ -2,10 +2,10 @@
 
 Base patterns find e-mail addresses, IPv4 addresses, payment cards (Luhn) and phone numbers. Their values are the
 protected entities. The corpus tells how strongly a term reveals one: with P(e) the share of texts that hold the
-entity and P(e | t) that of the texts with the term which hold both near each other (within CONTEXT code points), the
-disclosure of e by t is 1 + log P(e | t) / -log P(e): 1 if the term tells the entity for certain, 0 if it tells
-nothing. A term that at least SUPPORT distinct texts hold beside the entity and that reaches DISCLOSURE is
-generalised wherever it stands; so are the base spans.
+entity and P(e | t) that of the texts with the term which hold both, wherever they stand, the disclosure of e by t is
+1 + log P(e | t) / -log P(e): 1 if the term tells the entity for certain, 0 if it tells nothing. A term that at least
+SUPPORT distinct texts hold along with the entity and that reaches DISCLOSURE is generalised wherever it stands; so
+are the base spans.
 
 Co-occurrence and the counts of terms take every text; equal texts count once. Null text is empty and has no spans.
 Repeated rows are rows of their own: rows in as rows out. With no base span anywhere there are no terms.
@@ -26,7 +26,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{3,}"
-SUPPORT, DISCLOSURE, CONTEXT = 3, 0.95, 80
+SUPPORT, DISCLOSURE = 3, 0.95
 BROADCAST_ROWS = 50_000
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
@@ -71,33 +71,46 @@ def _flat(rows_of: tuple[str, ...] = KINDS[:4]) -> Column:
 
 
 def mentions(rows: DataFrame) -> DataFrame:
-    """t, e, terms: each entity of a text, as a hash, with the terms that stand near it."""
+    """t, entities, terms of each distinct text with entities: these as hashes, and all terms outside the base spans."""
     some = rows.withColumn("all", _flat()).where(F.size("all") > 0)
     blank = F.aggregate("all", F.col("text"), lambda text, x: F.overlay(text, F.repeat(F.lit(" "), x["end"] - x["start"]), x["start"] + 1, x["end"] - x["start"]))
     some = settled(some, "masked", blank)
-    each = some.select("t", "masked", F.explode("all").alias("x")).select("t", "masked", "x.*")
-    before = F.substr("masked", F.greatest(F.col("start") - CONTEXT + 1, F.lit(1)), F.least(F.lit(CONTEXT), F.col("start")))
-    after = F.substr("masked", F.col("end") + 1, F.lit(CONTEXT))
-    near = F.lower(F.concat(F.regexp_replace(before, r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "), F.lit(" "), F.regexp_replace(after, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$", " ")))
-    return each.select("t", F.xxhash64("kind", F.lower("value")).alias("e"), F.array_distinct(hits(near, TERM)).alias("terms"))
+    entities = F.array_distinct(F.transform("all", lambda x: F.xxhash64(x["kind"], F.lower(x["value"]))))
+    return some.select("t", entities.alias("entities"), F.array_distinct(hits(F.lower("masked"), TERM)).alias("terms")).dropDuplicates(["t"])
+
+
+def _each_term() -> Column:
+    return F.explode(F.array_distinct(hits(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), TERM))).alias("term")
 
 
 def _held(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     """t, term of the documents that hold any of these terms."""
-    words = docs.select(F.xxhash64("text").alias("t"), F.explode(F.array_distinct(hits(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), TERM))).alias("term"))
+    words = docs.select(F.xxhash64("text").alias("t"), _each_term())
     return words.join(F.broadcast(terms) if small else terms, "term")
 
 
+def term_counts(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """term, n_term: the distinct texts that hold each term. Only texts that repeat keep their hash beside a term, so others add up before the shuffle."""
+    again = scratch.write(docs.groupBy(F.xxhash64("text").alias("u")).count().where(F.col("count") > 1).select("u"), "repeated")
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    marked = docs.select("text", F.xxhash64("text").alias("t")).join(again, F.col("t") == F.col("u"), "left")
+    words = marked.select("u", _each_term())
+    each = words.groupBy("term", "u").agg(F.count("*").alias("n"))
+    return each.groupBy("term").agg(F.sum(F.when(F.col("u").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
+
+
 def revealing(spark: SparkSession, docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """term, disclosure of each term that reveals an entity."""
-    near = scratch.write(mentions(rows), "mentions")
-    each = near.select("t", "e", F.explode("terms").alias("term")).distinct()
+    held = scratch.write(mentions(rows), "mentions")
+    # an entity in fewer texts than SUPPORT has no term in as many
+    entities = scratch.write(held.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
+    some = entities.select("e")
+    of_text = held.select("t", F.explode("entities").alias("e")).join(F.broadcast(some) if entities.count() <= BROADCAST_ROWS else some, "e")
+    of_text = of_text.groupBy("t").agg(F.collect_list("e").alias("es"))
+    each = held.select("t", "terms").join(of_text, "t").select("es", F.explode("terms").alias("term")).select("term", F.explode("es").alias("e"))
     pairs = scratch.write(each.groupBy("term", "e").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "pairs")
-    terms = pairs.select("term").distinct()
-    held = _held(docs, terms, terms.count() <= BROADCAST_ROWS).select("term", "t").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    entities = near.select("e", "t").distinct().groupBy("e").agg(F.count("*").alias("n_e"))
     total = docs.count()
-    told = pairs.join(held, "term").join(entities, "e")
+    told = pairs.join(term_counts(docs, scratch), "term").join(entities, "e")
     share = F.col("n_e") / F.lit(float(max(total, 2)))
     # a term beside an entity counts at least there
     disclosure = 1 + F.log(F.col("both") / F.greatest("n_term", "both")) / -F.log(F.least(share, F.lit(0.5)))
