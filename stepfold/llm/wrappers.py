@@ -38,7 +38,9 @@ CONSTANT_CHARS, CONSTANT_PAGES = 300, 5
 # fixed names of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
-RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|object"
+#: Elements that are skipped whole, and those of them whose content is raw text in HTML: without an end tag it goes on to the end of the page.
+RAW = set("script style textarea title noscript template iframe svg math object".split())
+RAW_TEXT = set("script style textarea title iframe".split())
 NEVER = set("head nav header footer aside form button select option dialog menu".split())
 CLOSES_P = set("address article aside blockquote details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tr td th ul".split())
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -48,7 +50,8 @@ UNWANTED = re.compile(
     r"footer|foot|header|masthead|comments?|replies|respond|disqus|share|sharing|social|related|recommend\w*|search|pagination|pager|complementary|contentinfo|toolbar)(?:$|[-_ ])",
     re.I,
 )
-_TOKEN = re.compile(rf"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(?:!|\?)[^>]*>|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 #: A tree is [key, children]; a key is the tag and its names; a text child is a string.
@@ -58,6 +61,7 @@ Tree = list
 def parse(html: str) -> Tree:
     root: Tree = ["", []]
     stack, at = [("", root)], 0
+    endless: set[str] = set()
 
     def text(piece: str) -> None:
         children = stack[-1][1][1]
@@ -74,16 +78,26 @@ def parse(html: str) -> Tree:
             if stack[k][0] in stop:
                 return
 
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         if m.start() > at:
             text(unescape(html[at : m.start()]))
         at = m.end()
-        if m[3] is None:
+        if m[2] is None:
+            continue
+        tag = m[2].lower()
+        if tag in RAW:
+            # an end tag alone and what is closed at once have no content; other elements without an end tag keep theirs
+            if not m[1] and not (tag in ("svg", "math") and m[3].endswith("/")):
+                if tag not in endless and (end := _END[tag].search(html, at)):
+                    at = end.end()
+                elif tag in RAW_TEXT:
+                    at = len(html)
+                else:
+                    endless.add(tag)
             continue
-        tag = m[3].lower()
         if tag in INLINE:
             continue
-        if m[2]:
+        if m[1]:
             if tag in ("p", "br"):
                 text(" ")
             if tag != "br":
@@ -96,7 +110,7 @@ def parse(html: str) -> Tree:
             close({"p"}, CLOSES_P - {"p"})
         if tag in ITEMS:
             close({tag} | ({"dt", "dd"} & set(ITEMS) if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else set()), ITEMS[tag])
-        names = " ".join(sorted({x for a in _NAMES.findall(m[4]) for x in "".join(a).split()})) if m[4] else ""
+        names = " ".join(sorted({x for a in _NAMES.findall(m[3]) for x in "".join(a).split()})) if m[3] else ""
         node: Tree = [f"{tag} {names}" if names else tag, []]
         stack[-1][1][1].append(node)
         stack.append((tag, node))
