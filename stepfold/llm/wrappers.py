@@ -7,9 +7,9 @@ Aligning is done by each task for each host it meets, and tasks' wrappers are al
 salted hosts; no task holds the pages of a host, only one wrapper of them.
 
 From its wrapper a host gets the path to its main text: the article (or main) element, or else, from the body down,
-the group that holds most of the text in slots. A page gives the text under that path, without menus, headers,
-footers, sidebars, notices, adverts, forms and reader comments, told by tag, role or name. Under a path that is no
-article, constants are template text and are dropped as well. A page without the path is read by its own tree alone.
+the group that holds all text in slots but that of unwanted groups. A page gives all text under that path, constants
+too, without menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by tag, role or
+name; constants beside the path are left out by their place alone. A page without the path is read by its own tree.
 
 Null or empty html gives an empty text; a null url has the host ''. Repeated pages are rows of their own. Wrappers
 are broadcast while there are at most BROADCAST_ROWS hosts, else joined by host.
@@ -43,6 +43,8 @@ RAW = set("script style textarea title noscript template iframe svg math object"
 RAW_TEXT = set("script style textarea title iframe".split())
 NEVER = set("head nav header footer aside form button select option dialog menu".split())
 CLOSES_P = set("address article aside blockquote details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tr td th ul".split())
+#: Tags of running text: a constant heading or paragraph beside the text belongs to it.
+WRITTEN = set("blockquote dd dl dt figure h1 h2 h3 h4 h5 h6 li ol p pre ul".split())
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Names in class, id or role that mark what isn't main text.
 UNWANTED = re.compile(
@@ -128,13 +130,13 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
-def collect(tree: Tree, constants: frozenset[str], out: list[str]) -> list[str]:
+def collect(tree: Tree, out: list[str]) -> list[str]:
     for child in tree[1]:
         if isinstance(child, str):
-            if (block := squeeze(child)) and block not in constants:
+            if block := squeeze(child):
                 out.append(block)
         elif not unwanted(child[0]):
-            collect(child, constants, out)
+            collect(child, out)
     return out
 
 
@@ -205,27 +207,24 @@ def slots(w: list) -> int:
     return 0 if unwanted(w[0]) else sum(map(slots, w[3]))
 
 
-def constants_of(w: list) -> list[str]:
-    if not isinstance(w[3], list):
-        return [w[3]] if w[3] is not None and w[4] >= CONSTANT_PAGES else []
-    return [x for c in w[3] for x in constants_of(c)]
-
-
-def rule(w: list) -> dict:
-    """The path of keys to the main text, and the constants to drop under it."""
+def _descend(w: list, share: float, stop: set[str] = frozenset()) -> list[str]:
+    """The keys from single group to single group, each with at least that share of the text in slots of the one above, down to an article or main element, or to where groups of the tags in `stop` are."""
     path, here = [], w
-    while True:
+    while not (path and path[-1].partition(" ")[0] in ("article", "main")):
         groups = [c for c in here[3] if isinstance(c[3], list) and not unwanted(c[0])]
         total = slots(here)
         best = max(groups, key=slots, default=None)
-        if best is None or not total or slots(best) < 0.6 * total or best[2] > 1:
+        if best is None or not total or slots(best) < share * total or best[2] > 1 or any(c[0].partition(" ")[0] in stop for c in groups):
             break
         path.append(best[0])
         here = best
-        if best[0].partition(" ")[0] in ("article", "main"):
-            break
-    own = bool(path) and path[-1].partition(" ")[0] in ("article", "main")
-    return {"path": path, "constants": [] if own else constants_of(here)}
+    return path
+
+
+def rule(w: list) -> list[str]:
+    """The path of keys to the main text: to an article with most of the text, else to the lowest group with all of it and the headings beside it."""
+    path = _descend(w, 0.6)
+    return path if path and path[-1].partition(" ")[0] in ("article", "main") else _descend(w, 1, WRITTEN)
 
 
 def _find(tree: Tree, tags: tuple[str, ...]) -> list[Tree]:
@@ -236,18 +235,16 @@ def _find(tree: Tree, tags: tuple[str, ...]) -> list[Tree]:
     return out
 
 
-def main_text(html: str | None, known: dict | None) -> str:
+def main_text(html: str | None, path: list[str] | None) -> str:
     tree = parse(html or "")
-    found, constants = [tree], frozenset()
-    if known and known["path"]:
-        for key in known["path"]:
-            found = [c for t in found for c in t[1] if not isinstance(c, str) and c[0] == key]
-        constants = frozenset(known["constants"])
-    if not known or not known["path"] or not found:
-        found, constants = _find(tree, ("article",)) or _find(tree, ("main",)) or [tree], frozenset()
+    found = [tree]
+    for key in path or []:
+        found = [c for t in found for c in t[1] if not isinstance(c, str) and c[0] == key]
+    if not path or not found:
+        found = _find(tree, ("article",)) or _find(tree, ("main",)) or [tree]
     elif inner := [x for t in found if t[0].partition(" ")[0] not in ("article", "main") for x in _find(t, ("article",))]:
-        found, constants = inner, frozenset()
-    return " ".join(b for t in found for b in collect(t, constants, []))
+        found = inner
+    return " ".join(b for t in found for b in collect(t, []))
 
 
 _HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
@@ -302,7 +299,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
         found = F.broadcast(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules: dict[str, dict] = {}
+        rules: dict[str, list[str]] = {}
         for batch in batches:
             texts = []
             for html, w in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
