@@ -11,8 +11,10 @@ from stepfold.model import GenerationConfig, atype
 from stepfold.operators.questions import QUESTIONS
 from stepfold.plans.state import World, named, params_of
 
-#: Sequences that are made for each one that is wanted, as ties are rejected.
-OVERSAMPLE = 4
+#: Sequences that are made at first for each one that is wanted, as ties are rejected, and how many times more if a cell is short.
+OVERSAMPLE, GROWTH = 4, 4
+#: A cell that is still short of questions after so many sequences is an error, never a short result.
+LIMIT = 1 << 20
 
 
 def draw(n: int, seed: int, *keys: Column | str) -> Column:
@@ -38,15 +40,32 @@ def hashed(state: DataFrame) -> DataFrame:
 
 
 def questions(spark: SparkSession, config: GenerationConfig) -> DataFrame:
-    """qid, seq_len, qtype, atype, answer, seq_hash: n_questions of each type and length, no sequence twice in a cell."""
-    parts = []
-    for length in config.seq_lengths:
-        state = states(spark, config.n_questions * OVERSAMPLE, length, config)
+    """qid, seq_len, qtype, atype, answer, seq_hash: n_questions of each type and length, no sequence twice in a cell.
+
+    Sequences are made until each cell is full; a cell that isn't after LIMIT of them raises ValueError.
+    """
+    types = config.get_question_types()
+
+    def cells(length: int, n: int, some: list[str]) -> DataFrame:
+        state = states(spark, n, length, config)
         w = World(state, params_of(state, length), length, tuple(config.chars), tuple(config.rooms))
         hashes = hashed(state)
-        for k, q in enumerate(config.get_question_types()):
-            parts.append(QUESTIONS[q](w)[0].where("valid").join(hashes, "seq_id").select(F.lit(length).alias("seq_len"), F.lit(q).alias("qtype"), F.lit(k).alias("ord"), F.lit(atype(q)).alias("atype"), "seq_id", "answer", "seq_hash"))
-    rows = reduce(DataFrame.unionByName, parts).dropDuplicates(["seq_len", "qtype", "seq_hash"])
+        return reduce(DataFrame.unionByName, [QUESTIONS[q](w)[0].where("valid").join(hashes, "seq_id").select(F.lit(length).alias("seq_len"), F.lit(q).alias("qtype"), F.lit(types.index(q)).alias("ord"), F.lit(atype(q)).alias("atype"), "seq_id", "answer", "seq_hash") for q in some])
+
+    parts = []
+    for length in config.seq_lengths:
+        short, n = types, config.n_questions * OVERSAMPLE
+        while short:
+            made = cells(length, n, short)
+            sizes = {r.qtype: r.n for r in made.groupBy("qtype").agg(F.count_distinct("seq_hash").alias("n")).collect()}
+            if full := [q for q in short if sizes.get(q, 0) >= config.n_questions]:
+                parts.append(cells(length, n, full))
+            short = [q for q in short if q not in full]
+            n *= GROWTH
+            if short and n > LIMIT:
+                raise ValueError(f"fewer than {config.n_questions} questions at length {length} in {n // GROWTH} sequences: {short}")
+    first = Window.partitionBy("seq_len", "qtype", "seq_hash").orderBy("seq_id")
+    rows = reduce(DataFrame.unionByName, parts).withColumn("again", F.row_number().over(first)).where("again = 1").drop("again")
     cell = Window.partitionBy("seq_len", "qtype").orderBy("seq_id")
     kept = rows.withColumn("nth", F.row_number().over(cell)).where(F.col("nth") <= config.n_questions)
     # ids are the rank in (length, type, number), which the place of a cell and the number give without one global sort
