@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,14 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of `df`, whatever characters their names have."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def unused(df: DataFrame, n: int) -> list[str]:
+    """`n` names that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    return [x for x in (f"_{i}" for i in range(n + len(taken))) if x not in taken][:n]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a fresh local one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which all executors share. Where it is unset, a fresh local one will do if the session has one machine; on a cluster there is no such folder, so that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="stepfold-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
+
+#: Lets Spark remove the shuffle files of a query that has ended.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

@@ -7,9 +7,14 @@ probability; besides the difference the curve takes the size under the good dict
 repeats itself is small under either) and the logarithm of the raw size (short texts say less).
 
 Fitted on at most `sample` labelled rows of each class, those with the smallest hash of doc_id, whose text has at
-most FIT_CHARS characters; every text is scored. A document without text is scored like any other, by its size 0.
-Null, unknown or contradicting labels are not learnt from. Where a class has too few rows for a dictionary all
-scores are the share of good rows (0.5 without any label). Repeated rows are scored alike, rows in as rows out.
+most FIT_CHARS characters; every text is scored whole. Of the rows with an even hash a dictionary learns at most PIECES
+pieces each, evenly spaced over the text, which are cut out where the text lies; the rest calibrate, by numbers that are
+computed where the text lies. So the driver gets at most `sample` times PIECES times PIECE bytes of text of a class.
+
+A document without text is scored like any other, by its size 0. Null, unknown or contradicting labels are not learnt
+from; of rows that repeat a labelled doc_id the least text is taken. Where a class has too few rows for a dictionary all
+scores are the share of good rows (0.5 without any label). Repeated rows are scored alike, rows in as rows out; other
+columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +27,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import text_bytes
+from stepfold.llm.common import Scratch, text_bytes
 
 SAMPLE, FIT_CHARS = 2500, 100_000
-PIECE, DICTIONARY_BYTES, LEVEL = 2048, 65_536, 3
+PIECE, PIECES, DICTIONARY_BYTES, LEVEL = 2048, 16, 65_536, 3
 LEAST_ROWS = 20
 
 
@@ -34,18 +39,15 @@ def fold(doc_id) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4
 
 
-def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[tuple[int, str]]:
-    """(label, text) of at most `sample` rows of each class that are not held out, in an order of the ids alone."""
+def sample_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """doc_id, quality, text of at most `sample` rows of each class that are not held out, one for each id."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold("doc_id") != 2)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").drop("other")
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = [known.where(F.col("quality") == q).orderBy(*by_hash).limit(sample) for q in (0, 1)]
     chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample ids
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, FIT_CHARS)).join(chosen, "doc_id")
-    return [(r.quality, r.text) for r in sorted(texts.collect(), key=lambda r: (_mix(r.doc_id), r.text))]
-
-
-def _mix(doc_id: int) -> int:
-    return (doc_id * 0x9E3779B97F4A7C15 + 0x7F4A7C15) % 2**64
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.length("text").between(1, FIT_CHARS)).join(chosen, "doc_id")
+    rows = texts.groupBy("doc_id").agg(F.first("quality").cast("int").alias("quality"), F.min("text").alias("text"))
+    return Scratch(docs.sparkSession, "classifier").write(rows.withColumn("doc_id", F.col("doc_id").cast("long")), "sample")
 
 
 def _pieces(data: bytes) -> list[bytes]:
@@ -58,6 +60,10 @@ class Model:
     def __init__(self, dictionaries: list[bytes], weights: list[float], share: float):
         self.dictionaries, self.weights, self.share = dictionaries, weights, share
 
+    @property
+    def fitted(self) -> bool:
+        return bool(self.dictionaries)
+
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         out = []
         for data in self.dictionaries:
@@ -77,20 +83,45 @@ def features(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.ZstdCom
     return 1.0, difference, size, size * size, longer, difference * longer
 
 
-def fit(rows: list[tuple[int, str]]) -> Model:
-    share = float(np.mean([q for q, _ in rows])) if rows else 0.5
-    texts = [[t.encode() for q, t in rows if q == label] for label in (1, 0)]
-    if min(map(len, texts)) < LEAST_ROWS:
+def _spread(text: bytes) -> list[bytes]:
+    """At most PIECES of the pieces of a text, evenly spaced."""
+    all_of = _pieces(text)
+    return all_of if len(all_of) <= PIECES else [all_of[i * len(all_of) // PIECES] for i in range(PIECES)]
+
+
+def fit(sampled: DataFrame) -> Model:
+    """The model of the rows (doc_id, quality, text), one for each id."""
+    counts = dict(sampled.groupBy("quality").count().collect())
+    total = sum(counts.values())
+    share = counts.get(1, 0) / total if total else 0.5
+    if min(counts.get(q, 0) for q in (0, 1)) < LEAST_ROWS:
         return Model([], [], share)
-    learn, check = [x[::2] for x in texts], [x[1::2] for x in texts]
+    order, learns = F.xxhash64("doc_id"), F.xxhash64("doc_id", F.lit("part")) % 2 == 0
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces = [_spread(t.encode()) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(pieces, pa.list_(pa.binary()))], ["h", "doc_id", "quality", "pieces"])
+
+    rows = sampled.where(learns).select(order.alias("h"), "doc_id", "quality", "text").mapInArrow(cut, "h long, doc_id long, quality int, pieces array<binary>").collect()
+    rows.sort(key=lambda r: (r.h, r.doc_id))
     try:
-        dictionaries = [zstandard.train_dictionary(DICTIONARY_BYTES, [p for t in x for p in _pieces(t)][:20_000], level=LEVEL).as_bytes() for x in learn]
+        dictionaries = [zstandard.train_dictionary(DICTIONARY_BYTES, [bytes(p) for r in rows if r.quality == label for p in r.pieces], level=LEVEL).as_bytes() for label in (1, 0)]
     except zstandard.ZstdError:  # too little text to draw a dictionary from
         return Model([], [], share)
     model = Model(dictionaries, [], share)
-    good, bad = model.compressors()
-    x = np.array([features(t, good, bad) for part in check for t in part])
-    y = np.repeat([1.0, 0.0], [len(part) for part in check])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        good, bad = model.compressors()
+        for batch in batches:
+            x = [list(features(t.encode(), good, bad)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
+
+    found = sampled.where(~learns).select("doc_id", "quality", "text").mapInArrow(measure, "doc_id long, quality int, x array<double>").collect()
+    if len({r.quality for r in found}) < 2:
+        return Model([], [], share)
+    found.sort(key=lambda r: r.doc_id)
+    x, y = np.array([r.x for r in found]), np.array([float(r.quality) for r in found])
     w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -104,11 +135,11 @@ def fit(rows: list[tuple[int, str]]) -> Model:
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     """`docs` with a column (double), by default score: the probability of label 1."""
+    at = [c.lower() for c in docs.columns].index("text")
     schema = docs.withColumn(name, F.lit(0.0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good, bad = model.compressors() if model.dictionaries else (None, None)
-        at = schema.fieldNames().index("text")
         for batch in batches:
             data, starts = text_bytes(batch.column(at))
             view = data.tobytes()

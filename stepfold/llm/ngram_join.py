@@ -5,18 +5,17 @@ shingles, differ in at most k = s (1 - t) / t of them. Shingles are hashed to th
 a parity, so the Hamming distance of two sketches is never more than the sets differ by.
 
 Sizes are cut into bands so that a partner lies in the own band or the next, and a document joins as a member of its
-own band and, as the larger partner, of the one below. In each band the sketch is k + 1 words of 64 bits: at most k
-bits differ, so by the pigeonhole principle one word is equal. Equal words bring candidates together; a second, short
-sketch drops those whose Hamming distance is over their bound; the rest are compared shingle by shingle.
+own band and, as the larger partner, of the one below. In each band the sketch is k + 1 + r words of 2**32 parities, of
+which the 64-bit linear fingerprint is sent: the XOR of a mix of the number of each odd parity. At most k words differ,
+so by the pigeonhole principle r + 1 are equal. Equal words bring candidates together; a second, short sketch drops
+those whose Hamming distance is over their bound; the rest are compared shingle by shingle.
 
 A word without any parity is no evidence: it would bring all documents together that happen to leave it empty, more the
-more there are. A document that has such a word goes on to a further layout instead, with other words. Where the word
-that two documents must agree in is empty, both have it empty and both go on, so the principle holds in the next layout
-again; only the last one, which few reach, joins empty words too.
-
-Below t = WHOLE a word of k + 1 would hold so few shingles that unrelated documents would often agree. There the words
-are fewer and hold SHINGLES_A_WORD shingles, and enough independent layouts are joined that a pair at the very
-threshold is missed with a probability of at most MISS, and closer pairs with less.
+more there are. So empty words aren't joined. Of two similar documents, one with at most r empty words has a word that
+isn't empty among the r + 1 equal ones; r is chosen by band so that nearly all have that few. A document with more goes
+on to a further layout, with other words; if both do, the principle holds in that layout again. The last of TURNS
+layouts joins empty words too; the chance to get there is that of more than r empty words, TURNS - 1 times over. So no
+link is lost at any size.
 
 Documents with equal sets are joined first and go on as one. A bucket of equal words never emits all its pairs: each
 member is compared with one leader, that which shares the most words with others (of edited copies, the least edited).
@@ -26,7 +25,9 @@ their sketches allow. So no link that joins components is lost, and no group cos
 members really differ.
 
 Words are maximal runs of anything but ASCII white space, A-Z in lower case. Null or empty text has the empty set and
-no links. Rows that repeat a doc_id are one node; each row keeps its own size. A null doc_id is never linked.
+no links; texts of any length are taken whole. Rows that repeat a doc_id are one node, unless `by_text` is set; each row
+keeps its own size. A null doc_id is never linked. Ties between leaders go to the row that comes first. Only doc_id and
+text are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -44,70 +45,90 @@ from stepfold.llm.common import Scratch, row_blocks, text_bytes
 from stepfold.llm.components import components
 from stepfold.llm.textsets import mix, shingle_sets
 
-WHOLE, SHINGLES_A_WORD, MISS = 90, 9, 1e-5
+#: Share of documents of a band that may have more empty words than it spares.
+GOES_ON = 0.05
 #: Words of 64 bits of the short sketch.
 SHORT = 32
 #: Members that one leader is compared with in one place, and members of a tile.
 CHUNK, TILE = 256, 2048
 #: Further rounds of leaders before buckets are compared by sketch.
 ROUNDS = 2
-#: Layouts up to which documents with an empty word go on.
-TURNS = 8
+#: Layouts up to which documents with too many empty words go on.
+TURNS = 16
+#: Rows of a list of copies up to which it is broadcast, 8 bytes each.
+BROADCAST_ROWS = 500_000
 BLOCK = 1 << 20
-_SIGNATURE = "doc_id long, n int, f1 long, f2 long, keys array<long>, sketch array<long>"
+_SIGNATURE = "doc_id long, t long, u long, n int, f1 long, f2 long, keys array<long>, sketch array<long>"
+
+
+def _spare(low: int, least: int) -> int:
+    """The fewest words beyond `least` so that a set of `low` shingles rarely leaves more than these empty (by Poisson), or where few words make that impossible, the number that does best."""
+    tails = []
+    for r in range(least + 1):
+        mean = (least + r) * math.exp(-low / (least + r))
+        tails.append(1 - sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(r + 1)))
+        if tails[-1] <= GOES_ON:
+            break
+        if r > 100:  # the normal distribution is close, and factorials are large
+            break
+    return int(np.argmin(tails))
 
 
 @lru_cache(maxsize=8)
 def bands(percent: int, upto: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Largest size, largest size of a partner, words and layouts of each band, as far as the size `upto`; 0 layouts where one is sure to do."""
+    """Largest size, largest size of a partner, words and spare words of each band, as far as the size `upto`."""
     rows, low = [], 1
     while low <= upto:
         high = low * 100 // percent
         k = high * (100 - percent) // percent
-        words, layouts = k + 1, 0
-        if percent < WHOLE and high >= 8 * SHINGLES_A_WORD:
-            words = high // SHINGLES_A_WORD
-            equal = (1 - 1 / words) ** k
-            layouts = math.ceil(math.log(MISS) / math.log1p(-equal) / words)
-        rows.append((high, high * 100 // percent, words, layouts))
+        spare = _spare(low, k + 1) if k else 0
+        rows.append((high, high * 100 // percent, k + 1 + spare, spare))
         low = high + 1
     return tuple(np.array(x, np.int64) for x in zip(*rows, strict=True))
 
 
-def _xor_words(h: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The sketches of all rows end to end: words[row] words of 64 parities each."""
+def _xor(values: np.ndarray, h: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """The values of the shingles of each word by XOR, all rows end to end: words[row] words, chosen by the upper half of h."""
     first = np.cumsum(words) - words
     slot = first[row] + ((h >> np.uint64(32)) * words[row].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     out = np.zeros(int(words.sum()), np.uint64)
-    np.bitwise_xor.at(out, slot, np.uint64(1) << (h & np.uint64(63)))
+    np.bitwise_xor.at(out, slot, values)
     return out
 
 
+def _short(h: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Sketches of words of 64 parities."""
+    return _xor(np.uint64(1) << (h & np.uint64(63)), h, row, words)
+
+
+def _wide(h: np.ndarray, row: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Fingerprints of words of 2**32 parities."""
+    return _xor(mix((h & np.uint64(0xFFFFFFFF)) + np.uint64(1)), h, row, words)
+
+
 def _keys(h: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the sketch words of each row, grouped by row, and how many each has."""
-    high, partner, words, layouts = bands(percent, int(counts.max(initial=1)))
+    high, partner, words, spare = bands(percent, int(counts.max(initial=1)))
     own = np.searchsorted(high, counts)
     row = np.repeat(np.arange(len(counts)), counts)
     keys, owners = [], []
     for below in (0, 1):
         band = np.maximum(own - below, 0)
-        takes = (counts > 0) & ((own >= 1) & (counts <= partner[band]) if below else True)
-        sure = layouts[band] == 0
-        goes_on = takes & sure
-        for layout in range(max(TURNS, int(layouts[band[takes]].max(initial=0)))):
-            use = goes_on | (takes & (layouts[band] > layout))
+        use = (counts > 0) & ((own >= 1) & (counts <= partner[band]) if below else True)
+        for layout in range(TURNS):
             if not use.any():
                 break
             n = np.where(use, words[band], 0)
             pick = use[row]
-            sketch = _xor_words(mix(h[pick] + np.uint64(layout * 0x9E3779B9 + 1)), row[pick], n)
+            sketch = _wide(mix(h[pick] + np.uint64(layout * 0x9E3779B9 + 1)), row[pick], n)
             at = np.arange(len(sketch)) - np.repeat(np.cumsum(n) - n, n)
             seed = mix((np.repeat(band, n) << 40 | layout << 32 | at).astype(np.uint64))
             owner = np.repeat(np.arange(len(counts)), n)
-            put_off = (sketch == 0) & sure[owner] & (layout < TURNS - 1)
-            keys.append((mix(sketch ^ seed) + seed)[~put_off])
-            owners.append(owner[~put_off])
-            goes_on = np.bincount(owner[put_off], minlength=len(counts)) > 0
+            empty = sketch == 0
+            kept = ~empty if layout < TURNS - 1 else np.ones(len(empty), bool)
+            keys.append((mix(sketch ^ seed) + seed)[kept])
+            owners.append(owner[kept])
+            use = use & (np.bincount(owner[empty], minlength=len(counts)) > spare[band])
     keys, owners = np.concatenate(keys) if keys else np.zeros(0, np.uint64), np.concatenate(owners) if owners else np.zeros(0, np.int64)
     return keys[np.argsort(owners, kind="stable")], np.bincount(owners, minlength=len(counts))
 
@@ -117,12 +138,12 @@ def _lists(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 
 
 def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, n, a 128-bit fingerprint of the set, the keys of its sketch words and a short sketch."""
+    """doc_id, two hashes of the text, n, a 128-bit fingerprint of the set, the keys of its sketch words and a short sketch."""
     names = [x.split()[0] for x in _SIGNATURE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = text_bytes(batch.column(1))
+            data, starts = text_bytes(batch.column(3))
             for a, b in row_blocks(starts, BLOCK):
                 h, counts = shingle_sets(data[starts[a] : starts[b]], starts[a : b + 1] - starts[a], size)
                 row = np.repeat(np.arange(b - a), counts)
@@ -130,10 +151,16 @@ def signatures(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 for k, total in enumerate(sums):
                     np.add.at(total, row, mix(h + np.uint64(77 + k)))
                 keys, n = _keys(h, counts, percent)
-                short = _xor_words(mix(h + np.uint64(5)), row, np.full(b - a, SHORT))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int32()), *(pa.array(x.view(np.int64)) for x in sums), _lists(keys, n), _lists(short, np.full(b - a, SHORT))], names)
+                short = _short(mix(h + np.uint64(5)), row, np.full(b - a, SHORT))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in range(3)), pa.array(counts, pa.int32()), *(pa.array(x.view(np.int64)) for x in sums), _lists(keys, n), _lists(short, np.full(b - a, SHORT))], names)
+
+    return docs.select(F.col("doc_id").cast("long"), *text_hashes(), F.col("text").cast("string")).mapInArrow(run, _SIGNATURE)
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _SIGNATURE)
+def text_hashes() -> tuple[Column, Column]:
+    """128 bits that tell a text."""
+    text = F.col("text").cast("string")
+    return F.xxhash64(text).alias("t"), F.xxhash64(F.lit("second"), text).alias("u")
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -239,39 +266,59 @@ def across(entries: DataFrame, percent: int, nearest: bool) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of `docs`: the least doc_id that links reach."""
+def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80, by_text: bool = False) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of `docs`: the least doc_id that links reach.
+
+    With by_text, rows that share a doc_id are nodes of their own where their texts differ, and t, u (text_hashes) and
+    first are returned as well: whether no row of the component comes before this one, by doc_id, then by t and u.
+    """
     scratch = Scratch(spark, "ngram-join")
-    sets = scratch.write(signatures(docs, size, percent), "signatures")
+    sets = scratch.write(signatures(docs, size, percent).withColumn("uid", F.monotonically_increasing_id()), "signatures")
     linkable = sets.where("n > 0 and doc_id is not null")
-    copies = scratch.write(linkable.groupBy("f1", "f2").agg(F.min("doc_id").alias("id")), "copies")
-    first = linkable.join(copies.select("f1", "f2", F.col("id").alias("doc_id")), ["f1", "f2", "doc_id"]).dropDuplicates(["f1", "f2", "doc_id"])
-    by_key = Window.partitionBy("key")
-    entries = first.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
-    several = F.min("id").over(by_key) != F.max("id").over(by_key)
-    found = scratch.write(entries.withColumn("several", several).where("several").drop("several"), "shared")
-    shared = scratch.write(found.join(found.groupBy("id").agg(F.count("*").alias("degree")), "id"), "ranked")
+    # each distinct set goes on as one of its rows
+    copies = scratch.write(linkable.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "t", "u", "uid")).alias("x"), F.count("*").alias("m")).select("f1", "f2", "x.*", "m"), "copies")
+    chosen = copies.select("uid")
+    if not by_text and (repeated := linkable.groupBy("doc_id").agg(F.min("f1").alias("low"), F.max("f1").alias("high")).where("low <> high").select("doc_id")).limit(1).count():
+        of_id = linkable.select("doc_id", "f1", "f2").join(repeated, "doc_id").distinct().join(copies.select("f1", "f2", "uid"), ["f1", "f2"])
+        pairs = of_id.join(of_id.groupBy("doc_id").agg(F.min("uid").alias("a")), "doc_id").select("a", F.col("uid").alias("b"))
+        same = scratch.write(pairs.where("a <> b").distinct(), "same")
+    else:
+        same = None
+    # rows that only repeat a set are left out; their list is broadcast if it is short
+    others = linkable.select("uid", "f1", "f2").join(copies.where("m > 1").select("f1", "f2", F.col("uid").alias("one")), ["f1", "f2"]).where("uid <> one").select("uid")
+    others = scratch.write(others, "others")
+    if others.count() <= BROADCAST_ROWS:
+        first = linkable.join(F.broadcast(others), "uid", "left_anti")
+    else:
+        first = scratch.write(linkable.join(chosen, "uid", "left_semi"), "first")
+    entries = first.select(F.col("uid").alias("id"), F.explode("keys").alias("key"))
+    # the number of a key's rows adds up before it is shuffled, and the join that follows splits frequent keys
+    several = scratch.write(entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "several")
+    found = scratch.write(entries.join(several, "key"), "shared")
+    scratch.drop(several)
+    degree = scratch.write(found.groupBy("id").agg(F.count("*").alias("degree")), "degree")
+    shared = scratch.write(found.join(degree, "id"), "ranked")
     scratch.drop(found)
-    leaders = shared.groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("leader"))
-    ids = shared.select("id").distinct()
-    nodes = scratch.write(linkable.join(copies.select("f1", "f2", F.col("id").alias("doc_id")), ["f1", "f2", "doc_id"]).select(F.col("doc_id").alias("id"), "n", "sketch").distinct().join(ids, "id"), "nodes")
-    members = scratch.write(sets.select("doc_id", "n", "f1", "f2"), "members")
-    scratch.drop(sets)
+    leaders = scratch.write(shared.groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("leader")), "leaders")
+    nodes = scratch.write(sets.select(F.col("uid").alias("id"), "n", "sketch").join(degree.select("id"), "id"), "nodes")
+    members = scratch.write(sets.select("doc_id", "t", "u", "n", "f1", "f2"), "members")
+    scratch.drop(sets, *([first] if hasattr(first, "_scratch_path") else []))
 
     starred = shared.join(leaders, "key").where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     tested = scratch.write(_near(starred, nodes, percent), "pairs")
-    source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = scratch.write(source.join(ids, "id", "left_semi"), "texts")
-    # rows of one doc_id and different texts are one node
-    of_id = members.where("n > 0 and doc_id is not null").join(copies, ["f1", "f2"]).groupBy("doc_id").agg(F.min("id").alias("a"), F.collect_set("id").alias("ids")).where(F.size("ids") > 1)
-    same = of_id.select("a", F.explode("ids").alias("b")).where("a <> b").distinct()
-    links = scratch.write(verified(tested, texts, size, percent).unionByName(same), "links")
+    scratch.drop(leaders)
+    wanted = copies.select(F.col("uid").alias("id"), "doc_id", "t", "u").join(degree.select("id"), "id")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_hashes(), F.col("text").cast("string").alias("text"))
+    # rows that repeat an id and its text have one text
+    texts = scratch.write(source.join(wanted, ["doc_id", "t", "u"]).select("id", "text").dropDuplicates(["id"]), "texts")
+    links = verified(tested, texts, size, percent)
+    links = scratch.write(links if same is None else links.unionByName(same), "links")
     parts = scratch.write(components(scratch, links), "components")
 
     for turn in range(ROUNDS + 2):
         told = shared.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # of two members the one pair is tested already
-        mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").drop("m")
+        mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key")
         left = scratch.write(told.join(mixed, "key"), "left")
         if turn < ROUNDS:
             # a member of the component of the most shared one leads those outside it; it is the same in most buckets
@@ -294,9 +341,16 @@ def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80)
         links = links.unionByName(new)
         parts = scratch.write(components(scratch, links), "components")
 
-    rows = members.join(copies, ["f1", "f2"], "left")
-    out = rows.join(parts, "id", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "n", "id", "component")
-    return out.select("doc_id", "n_shingles", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "id")).otherwise(F.col("doc_id")).alias("component_id"))
+    scratch.drop(shared, texts, nodes)
+    # the first row of each component, of those of each set
+    of_set = copies.select("f1", "f2", "uid", F.struct("doc_id", "t", "u").alias("one")).join(parts.withColumnRenamed("id", "uid"), "uid", "left").withColumn("component", F.coalesce("component", "uid"))
+    firsts = of_set.groupBy("component").agg(F.min("one").alias("least"))
+    labels = scratch.write(of_set.join(firsts, "component").select("f1", "f2", "least"), "labels")
+    out = members.join(labels, ["f1", "f2"], "left").withColumn("linked", F.coalesce((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.lit(False)))
+    answer = ["doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("linked"), F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("component_id")]
+    if by_text:
+        answer += ["t", "u", (~F.col("linked") | (F.struct("doc_id", "t", "u") == F.col("least"))).alias("first")]
+    return out.select(*answer)
 
 
 #: The query with three words and a similarity of 0.9, by comparing all documents that share a shingle.

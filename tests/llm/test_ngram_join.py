@@ -111,6 +111,30 @@ def test_words_of_a_pair_agree_somewhere():
                 assert set(keys[: counts[0]]) & set(keys[counts[0] :])
 
 
+@pytest.mark.parametrize("percent", [90, 80, 60])
+def test_no_pair_of_large_sets_is_missed(percent):
+    """Pairs at the very threshold, of sets of 72 to 3,000 shingles that differ by replacement or by growth."""
+    rng = np.random.default_rng(2)
+    for n in [72, 73, 100, 150, 333, 800, 3000]:
+        for _ in range(40 if n < 800 else 8):
+            grown = bool(rng.integers(2))
+            # as many shared shingles as the threshold lets be
+            both = -(-n * percent // 100) if grown else -(-2 * n * percent // (100 + percent))
+            a = rng.integers(0, 2**64, n, dtype=np.uint64)
+            b = a[:both] if grown else np.concatenate([a[:both], rng.integers(0, 2**64, n - both, dtype=np.uint64)])
+            keys, counts = ngram_join._keys(np.concatenate([a, b]), np.array([len(a), len(b)]), percent)
+            assert set(keys[: counts[0]]) & set(keys[counts[0] :])
+
+
+def test_unrelated_sets_rarely_share_a_word():
+    """Twice the documents make about four times the chance pairs, so there must be next to none."""
+    rng = np.random.default_rng(3)
+    for n in (30, 60, 200):
+        h, counts = rng.integers(0, 2**64, 3000 * n, dtype=np.uint64), np.full(3000, n)
+        keys, _ = ngram_join._keys(h, counts, 80)
+        assert len(keys) - len(np.unique(keys)) == 0
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
     got = dict(components(Scratch(spark, "test"), spark.createDataFrame(edges, "a long, b long")).collect())

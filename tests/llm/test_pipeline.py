@@ -65,6 +65,27 @@ def test_repeated_null_and_empty_rows(spark):
     assert corpus_pipeline.personal_data(spark, docs, "").columns == docs.columns
 
 
+def test_texts_that_share_an_id_are_no_copies(spark):
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "something else in other words altogether"), (2, "x"), (2, "x"), (3, "Alpha beta gamma delta epsilon ZETA"), (1, "something else in other words altogether")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = Counter((r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == Counter([(1, "alpha beta gamma delta epsilon zeta"), (1, "something else in other words altogether"), (2, "x")])
+
+
+def test_columns_of_any_name(spark):
+    docs = cases.docs(spark)
+    names = ["_0", "_1", "_2", "_t", "_nth", "_quality", "t", "u", "n", "key", "id", "first", "component", "a.b", "all", "email", "terms", "masked", "owner"]
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, docs.doc_id + k)
+    # a label or two is too few to learn from
+    want = Counter(docs.collect())
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        got = stage(spark, docs, cases.DATA)
+        assert got.columns == docs.columns
+        rows = [r for r in got.collect() if name != "personal_data"]
+        assert not Counter(rows) - want
+
+
 def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
@@ -72,5 +93,5 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(tmp_path))
         assert docs.count() == 0
-    model = compression_classifier.fit([])
-    assert model.share == 0.5
+    model = compression_classifier.fit(compression_classifier.sample_rows(cases.docs(spark, []), spark.read.parquet(str(tmp_path / "labels.parquet"))))
+    assert model.share == 0.5 and not model.fitted
