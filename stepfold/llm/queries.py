@@ -48,7 +48,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan(spark, table(spark, sf_dir, "documents"), owner=["source"], repository=["source", "lang"])
+    # a source owns its documents, each of which is a repository
+    found = secrets.scan(spark, table(spark, sf_dir, "documents"), owner=["source"], repository=["source", "doc_id"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_example")
 
 

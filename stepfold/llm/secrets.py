@@ -3,13 +3,16 @@
 Base patterns find assignments, access keys and long hexadecimal strings. A further pattern finds candidates of no
 known form: runs of 20 or more key characters with both digits and letters of either case. Each distinct candidate
 value is then counted by the distinct repositories and distinct owners that hold it, over the whole corpus. A value
-that WIDE or more owners hold is a widely copied example; one that fewer hold looks like a live credential. Live
+that WIDE or more owners hold is a widely copied example, and so is one that two owners hold in COPIED or more
+repositories; any other looks like a live credential, however many repositories of its one owner hold it. Live
 candidates outside the base spans are added as kind `key`; base spans always stay, and are told apart in n_live and
-n_example.
+n_example. Which columns name an owner and a repository are parameters.
 
-Counting drops repeats of (value, owner, repository) before it shuffles by value, so that a value in a third of all
-rows weighs no more than its owners. Null or empty text has no spans. Rows with a null owner share one owner.
-Repeated rows are rows of their own: rows in as rows out.
+Counting drops repeats of (value, owner, repository) before it shuffles by value, and then counts repositories by
+owner, so that a value in a third of all rows meets in one place only as its owners, and of these as a count each.
+Null or empty text has no spans. Rows with a null owner share one owner, those with a null repository one of that owner.
+Repeated rows are rows of their own: rows in as rows out. Equal spans of several kinds are all listed, by start, then by
+kind. Texts of any length are scanned whole. Only the named columns are read, so others of any name do not matter.
 """
 
 from __future__ import annotations
@@ -27,7 +30,8 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "key")
 #: Candidates of no known form.
 KEY = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
-WIDE = 3
+#: Owners of an example; repositories that make one of a value with two owners.
+WIDE, COPIED = 3, 10
 
 
 def _typed(kind: str, spans: Column, value: str = "value") -> Column:
@@ -67,6 +71,11 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("h1", "h2").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
+def is_example() -> Column:
+    """Whether n_owners and n_repositories tell a widely copied value."""
+    return (F.col("n_owners") >= WIDE) | ((F.col("n_owners") >= 2) & (F.col("n_repositories") >= COPIED))
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda x: text_of(F.get(names, x["kind"]), x["start"], x["end"])), ",")
@@ -74,8 +83,10 @@ def _joined(spans: Column) -> Column:
 
 def scan(spark: SparkSession, docs: DataFrame, owner: list[str], repository: list[str]) -> DataFrame:
     """doc_id, counts by base kind, base_sha256, spans, n_live and n_example of each row."""
-    found = Scratch(spark, "secrets").write(candidates(docs, owner, repository), "candidates")
-    wide = ownership(found).where(F.col("n_owners") >= WIDE).select("h1", "h2", F.lit(True).alias("wide"))
+    scratch = Scratch(spark, "secrets")
+    found = scratch.write(candidates(docs, owner, repository), "candidates")
+    # a table of its own, so that the join can split a value that many rows hold
+    wide = scratch.write(ownership(found).where(is_example()).select("h1", "h2", F.lit(True).alias("wide")), "wide")
     rows = found.select("uid", F.explode(F.concat("base", "keys")).alias("x")).select("uid", "x.*")
     judged = rows.join(wide, ["h1", "h2"], "left").withColumn("wide", F.coalesce("wide", F.lit(False)))
     of_key = F.col("kind") == KINDS.index("key")

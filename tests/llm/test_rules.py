@@ -71,6 +71,38 @@ def test_log_ratio_is_the_mean_over_all_grams(spark):
         assert r.log_ratio == pytest.approx(sum(model[bucket[g]] for g in own) / len(own) if own else 0.0)
 
 
+def test_threshold_parts_the_labels_best():
+    cut = quality_rules.best_cut
+    assert cut([]) is None and cut([(1.0, 1), (2.0, 1)]) is None
+    assert cut([(0.0, 0), (1.0, 0), (2.0, 1), (5.0, 1)]) == 1.5
+    assert cut([(0.0, 0), (1.0, 1), (1.0, 0), (2.0, 1), (2.0, 1), (2.0, 1)]) == 1.5
+    import random
+
+    rng = random.Random(5)
+    for _ in range(200):
+        rows = [(rng.randrange(8) / 4, rng.randrange(2)) for _ in range(rng.randrange(2, 12))]
+        n = [sum(q == k for _, q in rows) for k in (0, 1)]
+        gain = lambda t: sum(x >= t and q == 1 for x, q in rows) / n[1] - sum(x >= t and q == 0 for x, q in rows) / n[0]
+        if min(n) and (t := cut(rows)) is not None:
+            assert gain(t) == pytest.approx(max(map(gain, [x + 0.01 for x, _ in rows][:-1] + [t])))
+
+
+def test_kept_on_labels_that_nothing_was_drawn_from(spark):
+    if not cases.has_data():
+        pytest.skip("no test data")
+    folder = cases.DATA.replace("0.001", "0.1")
+    docs, marks = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    truth = {r.doc_id: r.quality for r in marks.collect()}
+    held = {i for i in truth if zlib.crc32(str(i).encode()) % 4 == 1}
+    few = docs.where(F.col("doc_id").isin(*sorted(held)))
+    ratios = quality_rules.log_ratios(docs, marks)
+    threshold = quality_rules.threshold_of(docs, marks, ratios)
+    rows = quality_rules.base_rules(few.select("doc_id", "text")).withColumn("x", quality_rules.mean_ratio(F.col("words"), quality_rules._literal(ratios))).where("not base_failed").select("doc_id", "x").collect()
+    good, bad = ([r.x >= threshold for r in rows if truth[r.doc_id] == q] for q in (1, 0))
+    assert len(good) > 500 and len(bad) > 30
+    assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.1
+
+
 def test_rules_on_empty_tables(spark):
     assert quality_rules.assess(cases.docs(spark, []), labels(spark)).count() == 0
     assert all(r.log_ratio == 0 for r in quality_rules.assess(cases.docs(spark), labels(spark)).collect())
@@ -115,6 +147,18 @@ def test_secrets(spark):
     assert secrets.scan(spark, cases.docs(spark, []), ["source"], ["lang"]).count() == 0
 
 
+def test_ownership_takes_owners_and_repositories(spark):
+    token = "Zm9vYmFyQmF6UXV4MTIz"
+    one = [(i, f"x {token}AA y", "a", f"r{i}") for i in range(40)]  # one owner, many repositories
+    two = [(100 + i, f"x {token}BB y", "ab"[i % 2], f"r{i}") for i in range(secrets.COPIED)]
+    few = [(200 + i, f"x {token}CC y", "ab"[i % 2], f"r{i}") for i in range(secrets.COPIED - 1)]
+    wide = [(300 + i, f"x {token}DD y", "abc"[i], "r0") for i in range(3)]
+    docs = spark.createDataFrame(one + two + few + wide, "doc_id long, text string, owner string, repository string")
+    rows = secrets.scan(spark, docs, ["owner"], ["owner", "repository"]).collect()
+    assert {r.doc_id for r in rows if r.spans} == {r[0] for r in one + few}
+    assert {r.spans for r in rows} == {"", "key:2:24"}
+
+
 def test_classifier_on_held_out_rows(spark):
     if not cases.has_data():
         pytest.skip("no test data")
