@@ -11,12 +11,18 @@ rest) and drops repeats within a run. Runs meet by gram; a loser tree merges the
 the prefix that both are known to share with the last one out. The merged order gives the shared prefix of neighbours,
 so equal prefixes of any length are ranges of it; with the same for the bytes before, the windows at every offset
 around an anchor are pairs of range numbers, and the repeated ones are pairs that occur twice. No two suffixes of a
-group are compared for their own sake, and the result is exact: hashes choose what to compare, bytes decide.
-
-A gram that occurs over HOT times isn't merged in one place: the windows around it are hashed to 128 bits and counted.
-
-Null text is empty. A text shorter than LENGTH keeps all. Rows that repeat a doc_id, or a whole row, are documents of
-their own, so a long text in two rows goes from both. Matches never cross documents.
+group are compared for their own sake.
+
+Hashes of 64 bits choose what to compare; a wrong match of them costs time alone. Bytes decide between runs. 128 bits
+of hashes decide in two places: which suffixes of one task repeat each other with all that stands around them, and for
+a gram that occurs over HOT times, which isn't merged in one place. Its occurrences are first counted by the hash of
+what stands around them, one row each; of each distinct surrounding one occurrence sends the hashes of its windows. A
+wrong match among n of them has a chance of n * n / 2**129, so 1e-15 for 10**12.
+
+Null text is empty. A text shorter than LENGTH keeps all; longer ones of any length are taken whole. Rows that repeat a
+doc_id, or a whole row, are documents of their own, so a long text in two rows goes from both: no copy of a repeated
+string is kept, so ties don't arise. Matches never cross documents. Only doc_id and text are read, so other columns of
+any name do not matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfold.llm.common import Scratch, ranges, row_blocks, text_bytes
@@ -36,7 +42,7 @@ from stepfold.llm.textsets import BYTE, mix, prefix_hashes
 LENGTH, GRAM = 200, 100
 BEFORE = LENGTH - GRAM
 #: Occurrences of a gram up to which its suffixes are merged in one place; suffixes of a merge.
-HOT, MERGE = 500_000, 60_000
+HOT, MERGE = 100_000, 60_000
 BLOCK = 1 << 20
 #: Kinds of the columns of a place.
 _PLACE = ("<u4", "<u1", "<i8", "<i8", "<i4")
@@ -226,22 +232,31 @@ def repeated_offsets(shared: np.ndarray, n_after: np.ndarray, before: np.ndarray
     return low, high
 
 
-_WINDOWS = "doc_id long, t long, pos int, o int, c1 long, c2 long"
+_AROUND = "doc_id long, t long, pos int, s1 long, s2 long, k long, h long"
+_WINDOWS = "s1 long, s2 long, k long, start int, o int, c1 long, c2 long"
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """Of each block of rows (doc_id, t, text, spots): its bytes, and for each anchor its row in the batch, its place in the bytes, in its text, its hash and how many bytes stand before and from it on."""
+    """Of each block of rows (text, spots): its bytes, and for each anchor its row in the batch, its place in the bytes, in its text, its hash and how many bytes stand before and from it on.
+
+    Spots come by a hash of their row; one that belongs to another row has no such gram here and is left out.
+    """
     data, starts = text_bytes(batch.column("text"))
     spots = batch.column("spots")
     ends = np.concatenate([[0], np.cumsum(np.diff(spots.offsets.to_numpy()))])
     flat = spots.flatten()
-    pos, h = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "h"))
+    every_pos, every_h = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "h"))
     for a, b in row_blocks(starts, BLOCK):
-        part = slice(ends[a], ends[b])
         row = np.repeat(np.arange(a, b), np.diff(ends[a : b + 1]))
-        at = starts[row] - starts[a] + pos[part]
-        n_after = np.minimum(starts[row + 1] - starts[row] - pos[part], LENGTH)
-        yield data[starts[a] : starts[b]], row, at, pos[part], h[part], np.minimum(pos[part], BEFORE).astype(np.int64), n_after
+        pos, h = every_pos[ends[a] : ends[b]], every_h[ends[a] : ends[b]]
+        fits = np.flatnonzero(starts[row] + pos + GRAM <= starts[row + 1])
+        row, pos, h = row[fits], pos[fits], h[fits]
+        at, text = starts[row] - starts[a] + pos, data[starts[a] : starts[b]]
+        sums, down = prefix_hashes(text, BYTE)
+        own = np.flatnonzero(mix((sums[at + GRAM] - sums[at]) * down[at]) == h.view(np.uint64))
+        row, pos, h, at = row[own], pos[own], h[own], at[own]
+        n_after = np.minimum(starts[row + 1] - starts[row] - pos, LENGTH)
+        yield text, row, at, pos, h, np.minimum(pos, BEFORE).astype(np.int64), n_after
 
 
 def _spans_of(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
@@ -250,20 +265,40 @@ def _spans_of(text: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[np.n
     return [mix((x[end] - x[first]) * u[first]) for x, u in sums]
 
 
+def _around(text: np.ndarray, at: np.ndarray, n_before: np.ndarray, n_after: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of what stands around each anchor and of how much that is."""
+    size = (n_before * 1000 + n_after).astype(np.uint64)
+    return [mix(x + mix(size)) for x in _spans_of(text, at - n_before, at + n_after)]
+
+
+def hot_surroundings(flagged: DataFrame) -> DataFrame:
+    """From doc_id, t, k, text, spots (pos, h): a row for each anchor, with two hashes of what stands around it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text, row, at, pos, h, n_before, n_after in _blocks(batch):
+                s1, s2 = _around(text, at, n_before, n_after)
+                ids, ts, ks = (batch.column(c).take(pa.array(row)) for c in ("doc_id", "t", "k"))
+                yield pa.RecordBatch.from_arrays([ids, ts, pa.array(pos, pa.int32()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), ks, pa.array(h)], [x.split()[0] for x in _AROUND.split(", ")])
+
+    return flagged.select("doc_id", "t", "k", "text", "spots").mapInArrow(run, _AROUND)
+
+
 def hot_windows(flagged: DataFrame) -> DataFrame:
-    """From doc_id, t, text, spots (pos, h): all windows around the anchors, o bytes before them, by two hashes."""
+    """From k, text, spots (pos, h): all windows around the anchors, o bytes before them, by two hashes, and those of the surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, row, at, pos, _, n_before, n_after in _blocks(batch):
+                s1, s2 = _around(text, at, n_before, n_after)
                 low = np.maximum(LENGTH - n_after, 0)
                 each = np.maximum(n_before - low + 1, 0)
                 o, w = ranges(low, each), np.repeat(np.arange(len(at)), each)
                 c1, c2 = _spans_of(text, at[w] - o, at[w] - o + LENGTH)
-                ids, ts = (batch.column(c).take(pa.array(row[w])) for c in ("doc_id", "t"))
-                yield pa.RecordBatch.from_arrays([ids, ts, pa.array(pos[w], pa.int32()), pa.array(o, pa.int32()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))], ["doc_id", "t", "pos", "o", "c1", "c2"])
+                cells = [pa.array(s1[w].view(np.int64)), pa.array(s2[w].view(np.int64)), batch.column("k").take(pa.array(row[w])), pa.array(pos[w] - o, pa.int32()), pa.array(o, pa.int32()), pa.array(c1.view(np.int64)), pa.array(c2.view(np.int64))]
+                yield pa.RecordBatch.from_arrays(cells, [x.split()[0] for x in _WINDOWS.split(", ")])
 
-    return flagged.select("doc_id", "t", "text", "spots").mapInArrow(run, _WINDOWS)
+    return flagged.select("k", "text", "spots").mapInArrow(run, _WINDOWS)
 
 
 def sorted_runs(flagged: DataFrame, dests: int) -> DataFrame:
@@ -277,8 +312,7 @@ def sorted_runs(flagged: DataFrame, dests: int) -> DataFrame:
             for text, row, at, pos, h, n_before, n_after in _blocks(batch):
                 if not len(at):
                     continue
-                around = (n_before * 1000 + n_after).astype(np.uint64)
-                c = [mix(x + mix(around)) for x in _spans_of(text, at - n_before, at + n_after)]
+                c = _around(text, at, n_before, n_after)
                 # one of each equal surroundings goes into the run
                 order = np.lexsort(c[::-1])
                 new = np.concatenate([[True], np.any([x[order][1:] != x[order][:-1] for x in c], axis=0)])
@@ -345,14 +379,18 @@ def _flagged(rows: DataFrame, spots: DataFrame) -> DataFrame:
     return rows.join(spots.groupBy("k").agg(F.collect_set(F.struct("pos", "h")).alias("spots")), "k")
 
 
-def _hot_spans(rows: DataFrame, spots: DataFrame) -> DataFrame:
-    windows = hot_windows(_flagged(rows, spots))
-    # a window of one text that two anchors see counts once; rows that are equal are two
-    places = windows.select("c1", "c2", "doc_id", "t", (F.col("pos") - F.col("o")).alias("start")).distinct()
-    equal = rows.groupBy("doc_id", "t").count().where("count > 1").select(F.col("doc_id").alias("d"), F.col("t").alias("u"), F.lit(True).alias("equal"))
-    told = places.join(equal, (F.col("t") == F.col("u")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    seen = told.groupBy("c1", "c2").agg((F.count("*") + F.count("equal")).alias("n")).where("n > 1")
-    return places.join(seen, ["c1", "c2"]).select("doc_id", "t", "start", (F.col("start") + LENGTH).alias("end"))
+def _hot_spans(scratch: Scratch, rows: DataFrame, spots: DataFrame) -> DataFrame:
+    """doc_id, t, start, end of what the repeated windows around each anchor of a hot gram cover."""
+    around = scratch.write(hot_surroundings(_flagged(rows, spots)), "around")
+    groups = scratch.write(around.groupBy("s1", "s2").agg(F.min(F.struct("k", "pos", "h")).alias("one"), F.count("*").alias("m")), "surroundings")
+    windows = hot_windows(_flagged(rows, groups.select("one.*")))
+    # a window of one text that two anchors see counts once; one in surroundings that occur twice is repeated anyhow
+    windows = scratch.write(windows.join(groups.select("s1", "s2", "m"), ["s1", "s2"]), "windows")
+    seen = windows.select("c1", "c2", "k", "start").distinct().groupBy("c1", "c2").agg(F.count("*").alias("n"))
+    several = windows.groupBy("c1", "c2").agg(F.max("m").alias("m")).join(seen, ["c1", "c2"]).where("m > 1 or n > 1").select("c1", "c2")
+    # all windows around an anchor hold its gram, so what they cover has no gap
+    told = windows.join(scratch.write(several, "several"), ["c1", "c2"]).groupBy("s1", "s2").agg(F.min("o").alias("low"), F.max("o").alias("high"))
+    return around.join(scratch.write(told, "told"), ["s1", "s2"]).select("doc_id", "t", (F.col("pos") - F.col("high")).alias("start"), (F.col("pos") - F.col("low") + LENGTH).alias("end"))
 
 
 def removed_spans(spark: SparkSession, rows: DataFrame, hot: int = HOT, merge: int = MERGE) -> DataFrame:
@@ -361,14 +399,16 @@ def removed_spans(spark: SparkSession, rows: DataFrame, hot: int = HOT, merge: i
     The spans are a table, so that no shuffle file of the search is left when they are used.
     """
     scratch = Scratch(spark, "suffixes")
-    found = anchor_rows(rows)
-    counted = found.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1")
-    spots = scratch.write(counted.select("k", "pos", "h", (F.col("n") > hot).alias("hot")), "spots")
+    found = scratch.write(anchor_rows(rows), "anchors")
+    # occurrences add up before they are shuffled, and the join of the two tables splits a frequent gram
+    repeated = scratch.write(found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "repeated")
+    spots = scratch.write(found.join(repeated, "h").select("k", "pos", "h", (F.col("n") > hot).alias("hot")), "spots")
+    scratch.drop(found, repeated)
     cold = spots.where("not hot")
     dests = max(1, -(-cold.count() // merge))
     spans = judged(sorted_runs(_flagged(rows, cold), dests), dests)
     if not spots.where("hot").isEmpty():
-        spans = spans.unionByName(_hot_spans(rows, spots.where("hot")))
+        spans = spans.unionByName(_hot_spans(scratch, rows, spots.where("hot")))
     out = scratch.write(spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "spans")
     scratch.drop(spots)
     return out
