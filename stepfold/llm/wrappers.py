@@ -1,25 +1,34 @@
 """HTML extraction by wrappers: union-free regular expressions inferred from the pages of a host.
 
-A page is read into a tree (tags that HTML leaves open are closed, inline markup melts into its text). Pages of one
-host are aligned, one after the other, into a wrapper: neighbours of one kind fold into a repeated group, what only
-some pages have becomes an optional group, texts that differ become text slots, texts that never differ are constants.
+A page is read into a tree (tags that HTML leaves open are closed, inline markup melts into its text; what is nested
+over DEPTH deep is part of the element there, and no text is lost). Elements are told by their tag and names; names
+that number things are alike, and ids count only where they say something. Pages of one host are aligned, one after the
+other, into a wrapper: neighbours of one kind fold into a repeated group, what only some pages have becomes an optional
+group, texts that differ become text slots, texts that never differ are constants, long ones by their hash. Groups
+that under one page in RARE has are left out of wrappers of many pages, so a wrapper's size doesn't grow with the pages.
+Two lists of groups are aligned between their common ends and the keys that occur once in either, in about linear time.
 Aligning is done by each task for each host it meets, and tasks' wrappers are aligned in turn, in two rounds with
 salted hosts; no task holds the pages of a host, only one wrapper of them.
 
-From its wrapper a host gets the path to its main text: the article (or main) element, or else, from the body down,
-the group that holds all text in slots but that of unwanted groups. A page gives all text under that path, constants
-too, without menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by tag, role or
-name; constants beside the path are left out by their place alone. A page without the path is read by its own tree.
+From its wrapper a host gets the path to its main text: an article (or main) element with most of the text in slots, or
+else, from the body down, the group that holds all text in slots but that of unwanted groups. A page gives all text
+under that path, constants too, without menus, headers, footers, sidebars, notices, adverts, forms and reader comments,
+told by tag, role or name; constants beside the path are left out by their place alone. Only a page without the path,
+or the one page of a host, is read by its own tree alone: by its article or main elements, or whole.
 
-Null or empty html gives an empty text; a null url has the host ''. Repeated pages are rows of their own. Wrappers
-are broadcast while there are at most BROADCAST_ROWS hosts, else joined by host.
+Null or empty html gives an empty text; a null url has the host ''. Repeated pages are rows of their own. Pages of any
+length are read whole. Only page_id, url and html are read, so other columns of any name do not matter. Of groups with
+equal text the first leads. Wrappers are broadcast while there are at most BROADCAST_ROWS hosts, else joined by host.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
@@ -32,8 +41,14 @@ from stepfold.llm.common import Scratch
 BROADCAST_ROWS = 20_000
 #: Shares of salted hosts that are merged before a host's wrappers meet.
 SALT = 32
-#: Longest constant that a wrapper remembers, and pages that must agree before a text is one.
-CONSTANT_CHARS, CONSTANT_PAGES = 300, 5
+#: Longest constant that a wrapper holds as it is, and pages that must agree before a text is one.
+CONSTANT_CHARS, CONSTANT_PAGES = 80, 5
+#: Depth of a tree; below it there are only unwanted and main elements, a few deep.
+DEPTH, MORE = 80, 10
+#: A wrapper of this many pages or more leaves out groups that fewer than one in so many have.
+RARE = 64
+#: Pairs of groups that a table of common subsequences may have.
+PAIRS = 2500
 
 # fixed names of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,15 +69,28 @@ UNWANTED = re.compile(
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NUMBER = re.compile(r"[0-9]+")
 
 #: A tree is [key, children]; a key is the tag and its names; a text child is a string.
 Tree = list
 
 
+def key_of(tag: str, attributes: str) -> str:
+    """The tag and the names of an element that other pages share: no numbers of three digits in classes and roles, none at all in ids, and ids only of elements without a class or that aren't wanted."""
+    found: dict[str, list[str]] = {"class": [], "id": [], "role": []}
+    for kind, *values in _NAMES.findall(attributes):
+        found[kind.lower()] += "".join(values).split()
+    short = [_NUMBER.sub(lambda m: m[0] if len(m[0]) < 3 else "#", x) for x in found["class"] + found["role"]]
+    ids = [_NUMBER.sub("#", x) for x in found["id"]]
+    names = {*short, *(x for x in ids if UNWANTED.search(x) or not short and tag not in WRITTEN | {"article", "main", "body"})}
+    return " ".join([tag, *sorted(names)])
+
+
 def parse(html: str) -> Tree:
     root: Tree = ["", []]
     stack, at = [("", root)], 0
+    depth = {id(root): 0}
     endless: set[str] = set()
 
     def text(piece: str) -> None:
@@ -75,7 +103,10 @@ def parse(html: str) -> Tree:
     def close(tags: set[str], stop: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k][0] in tags:
+                within = stack[k][1] is stack[k - 1][1]
                 del stack[k:]
+                if within:
+                    text(" ")
                 return
             if stack[k][0] in stop:
                 return
@@ -112,10 +143,16 @@ def parse(html: str) -> Tree:
             close({"p"}, CLOSES_P - {"p"})
         if tag in ITEMS:
             close({tag} | ({"dt", "dd"} & set(ITEMS) if tag in ("dt", "dd") else {"td", "th"} if tag in ("td", "th") else set()), ITEMS[tag])
-        names = " ".join(sorted({x for a in _NAMES.findall(m[3]) for x in "".join(a).split()})) if m[3] else ""
-        node: Tree = [f"{tag} {names}" if names else tag, []]
-        stack[-1][1][1].append(node)
-        stack.append((tag, node))
+        key, above = key_of(tag, m[3]) if m[3] else tag, stack[-1][1]
+        deep = depth[id(above)]
+        if deep < DEPTH or deep < DEPTH + MORE and (tag in ("article", "main") or unwanted(key)):
+            node: Tree = [key, []]
+            depth[id(node)] = deep + 1
+            above[1].append(node)
+            stack.append((tag, node))
+        else:
+            text(" ")
+            stack.append((tag, above))
     if at < len(html):
         text(unescape(html[at:]))
     return root
@@ -144,12 +181,16 @@ def collect(tree: Tree, out: list[str]) -> list[str]:
 # is ["", least, most, constant or None, pages, characters].
 
 
+def _hashed(text: str) -> str:
+    return "#" + blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+
+
 def wrap(tree: Tree, least: int = 1) -> list:
     children = []
     for child in tree[1]:
         if isinstance(child, str):
             if block := squeeze(child):
-                children.append(["", 1, 1, block if len(block) <= CONSTANT_CHARS else None, 1, len(block)])
+                children.append(["", 1, 1, block if len(block) <= CONSTANT_CHARS else _hashed(block), 1, len(block)])
         elif child[0].partition(" ")[0] != "head":
             children.append(wrap(child))
     return [tree[0], least, 1, folded(children), 1]
@@ -175,28 +216,93 @@ def merge(a: list, b: list, same_page: bool = False) -> list:
     pages = max(a[4], b[4]) if same_page else a[4] + b[4]
     least, most = min(a[1], b[1]), max(a[2], b[2])
     if a[0] == "" and not isinstance(a[3], list) and not isinstance(b[3], list):
-        return ["", least, most, a[3] if a[3] == b[3] else None, pages, a[5] + b[5]]
-    return [a[0], least, most, align(a[3], b[3], same_page), pages]
+        # the texts of a repeated group on one page are a constant together
+        both = None if None in (a[3], b[3]) or not same_page else _hashed(f"{a[3]}\0{b[3]}")
+        return ["", least, most, a[3] if a[3] == b[3] else both, pages, a[5] + b[5]]
+    children = align(a[3], b[3], same_page)
+    if pages >= RARE:
+        children = [c for c in children if c[4] * RARE >= pages]
+    return [a[0], least, most, children, pages]
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of a common subsequence of two lists of keys: a longest one of short lists; of long ones that between the keys which either has once, in the order that keeps most of these."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        lo, hi, x, y = todo.pop()
+        while lo < hi and x < y and a[lo] == b[x]:
+            out.append((lo, x))
+            lo, x = lo + 1, x + 1
+        while lo < hi and x < y and a[hi - 1] == b[y - 1]:
+            hi, y = hi - 1, y - 1
+            out.append((hi, y))
+        if lo == hi or x == y:
+            continue
+        if (hi - lo) * (y - x) <= PAIRS:
+            out += _longest(a[lo:hi], b[x:y], lo, x)
+            continue
+        once = Counter(a[lo:hi]), Counter(b[x:y])
+        place = {k: j for j, k in enumerate(b[x:y], x) if once[1][k] == 1}
+        anchors = _ascending([(i, place[k]) for i, k in enumerate(a[lo:hi], lo) if once[0][k] == 1 and k in place])
+        if not anchors:  # each key with its next occurrence
+            spots: dict[str, list[int]] = {}
+            for j in range(x, y):
+                spots.setdefault(b[j], []).append(j)
+            for i in range(lo, hi):
+                own = spots.get(a[i], [])
+                if (k := bisect_left(own, x)) < len(own):
+                    out.append((i, own[k]))
+                    x = own[k] + 1
+            continue
+        out += anchors
+        ends = [(lo - 1, x - 1), *anchors, (hi, y)]
+        todo += [(i + 1, p, j + 1, q) for (i, j), (p, q) in zip(ends, ends[1:], strict=False) if i + 1 < p and j + 1 < q]
+    return sorted(out)
 
 
-def align(a: list, b: list, same_page: bool = False) -> list:
-    """Longest common subsequence of two lists of groups; what one of them lacks becomes optional."""
+def _longest(a: list[str], b: list[str], at: int, by: int) -> list[tuple[int, int]]:
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j], same_page))
+    while i < n and j < m:
+        if a[i] == b[j]:
+            out.append((at + i, by + j))
             i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
         else:
-            if j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-                one, i = a[i], i + 1
-            else:
-                one, j = b[j], j + 1
-            out.append([one[0], 0, *one[2:]])
+            j += 1
+    return out
+
+
+def _ascending(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of the pairs, ascending in the first, that ascends in the second as well."""
+    ends: list[int] = []
+    last: list[int] = []
+    before = []
+    for n, (_, j) in enumerate(pairs):
+        k = bisect_left(ends, j)
+        ends[k : k + 1] = [j]
+        last[k : k + 1] = [n]
+        before.append(last[k - 1] if k else -1)
+    out, n = [], last[-1] if last else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = before[n]
+    return out[::-1]
+
+
+def align(a: list, b: list, same_page: bool = False) -> list:
+    """The groups of two lists in a common order; what one of them lacks becomes optional."""
+    out, i, j = [], 0, 0
+    for p, q in [*_common([x[0] for x in a], [x[0] for x in b]), (len(a), len(b))]:
+        out += [[x[0], 0, *x[2:]] for x in [*a[i:p], *b[j:q]]]
+        if p < len(a):
+            out.append(merge(a[p], b[q], same_page))
+        i, j = p + 1, q + 1
     return folded(out)
 
 
@@ -223,6 +329,8 @@ def _descend(w: list, share: float, stop: set[str] = frozenset()) -> list[str]:
 
 def rule(w: list) -> list[str]:
     """The path of keys to the main text: to an article with most of the text, else to the lowest group with all of it and the headings beside it."""
+    if w[4] < 2:
+        return []
     path = _descend(w, 0.6)
     return path if path and path[-1].partition(" ")[0] in ("article", "main") else _descend(w, 1, WRITTEN)
 
