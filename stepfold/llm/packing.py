@@ -2,15 +2,16 @@
 
 Only the length of a piece matters to a packing, and a length is at most the capacity, so the instance is the
 table of how many pieces have each length: at most `capacity` numbers, whatever the input. On these
-  1. Martello and Toth's dominance reduction fixes sets of one or two lengths that can be shown to be as good as
-     any other set with the longer one, and shrinks the instance by them;
+  1. Martello and Toth's dominance reduction fixes sets of one, two or three lengths that can be shown to be as good
+     as any other set with the longest one, and shrinks the instance by them;
   2. best-fit decreasing packs the remainder, whole runs of equal sequences at a time.
 The plan is a list of (length, first rank, how many, first sequence, offset); the pieces get their ranks within
 their length by counting, in parts of bounded size, and look themselves up.
 
 Null text is an empty document: one piece, its end id. Rows that repeat a doc_id are documents of their own.
-A document over the capacity is cut into pieces of the full capacity, its first piece takes the rest.
-An empty table gives no rows.
+A document over the capacity is cut into pieces of the full capacity, its first piece takes the rest, however long it
+is. Ties of a length are ranked by doc_id, piece and checksum; rows that tie in these are alike. An empty table gives no
+rows. Only doc_id and text are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepfold.llm.common import Scratch
-from stepfold.llm.tokens import encoder
+from stepfold.llm.tokens import SLICE, encoder
 
 #: Pieces of a part within which ranks are counted by a sort.
 PART_ROWS = 200_000
@@ -35,8 +36,8 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
                 ids, counts = encoder(tokenizer).encode(part.column(1))
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
                 sizes = counts + 1
@@ -68,11 +69,31 @@ def _sums(lengths: list[int], least: int, most: int) -> bool:
     return bool(total >> least) and one > 0
 
 
+def _third(left: dict[int, int], j: int, room: int) -> tuple[int, ...] | None:
+    """The two lengths a >= b that beside j dominate all else, if any do.
+
+    They do if no three items fit beside j, a is the longest that fits alone, b the longest that fits with it, and no
+    two lengths between them fit together: then of any two others the longer is at most a and the shorter at most b.
+    """
+    own = {x: n - (x == j) for x, n in left.items() if x <= room and n > (x == j)}
+    lengths = sorted(own)
+    least = [x for x in lengths for _ in range(min(own[x], 3))][:3]
+    if len(least) == 3 and sum(least) <= room:
+        return None
+    a = lengths[-1]
+    b = max((x for x in lengths if a + x <= room and own[x] > (x == a)), default=None)
+    if b is None:
+        return None
+    between = [x for x in lengths if b < x < a for _ in range(min(own[x], 2))][:2]
+    return None if len(between) == 2 and sum(between) <= room else (a, b)
+
+
 def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
     """Sets that dominance fixes, each with how often, and the counts that remain.
 
     A set with j dominates every other set with j if it holds, beside j, one item k, and nothing else that fits
-    beside j can sum to more than k: whatever another packing puts beside j fits where k was.
+    beside j can sum to more than k: whatever another packing puts beside j fits where k was. So does one that holds
+    two items, if what another packing puts beside j can be split to fit where these were.
     """
     left = {x: n for x, n in counts.items() if n}
     fixed = []
@@ -85,10 +106,14 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[t
                 break
             k = own[-1]
             if k < room and (k + own[0] <= room or _sums([x for x in own if x <= room], k + 1, room)):
-                break
-            n = left[j] // 2 if k == j else min(left[j], left[k])
-            fixed.append(((j, k), n))
-            for x in (j, k):
+                if (two := _third(left, j, room)) is None:
+                    break
+                held = (j, *two)
+            else:
+                held = (j, k)
+            n = min(left[x] // held.count(x) for x in held)
+            fixed.append((held, n))
+            for x in held:
                 left[x] -= n
             left = {x: n for x, n in left.items() if n}
     return fixed, left

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepfold.llm.common import Scratch
-from stepfold.llm.tokens import encoder
+from stepfold.llm.tokens import SLICE, encoder
 
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 19
@@ -45,8 +45,9 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     ends = np.cumsum(extra.astype(np.int64) + 1)
     first = ends - extra - 1
     data = np.empty(int(ends[-1]) if len(v) else 0, np.uint8)
-    for k in range(4):
-        has = extra >= k
+    data[first] = v & 0xFF
+    for k in (1, 2, 3):
+        has = np.flatnonzero(extra >= k)
         data[first[has] + k] = (v[has] >> (8 * k)) & 0xFF
     return control.tobytes(), data.tobytes()
 
@@ -55,9 +56,9 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     """The n values that pack() wrote."""
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:n]
     first, data = np.cumsum(lengths) - lengths, np.frombuffer(data, np.uint8)
-    out = np.zeros(n, np.uint32)
-    for k in range(4):
-        has = lengths > k
+    out = data[first].astype(np.uint32)
+    for k in (1, 2, 3):
+        has = np.flatnonzero(lengths > k)
         out[has] |= data[first[has] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
@@ -68,38 +69,43 @@ def id_type(tokenizer: str) -> str:
 
 
 def encoded(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian, of numpy type `kind`) of each row, the end id included."""
+    """doc_id, n_tokens, ids (little-endian, of numpy type `kind`) of each row, the end id included.
+
+    Each task ends with one more row, whose n_tokens is -1 and whose ids say how often it has met each id (64 bits).
+    """
     width = np.dtype(kind).itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, seen = ["doc_id", "n_tokens", "ids"], np.zeros(0, np.int64)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, len(batch), SLICE):
+                part = batch.slice(at, SLICE)
                 ids, counts = encoder(tokenizer).encode(part.column(1))
                 ends = np.cumsum(counts)
-                ids = np.insert(ids, ends, end_id).astype(kind)
+                ids = np.insert(ids.astype(kind), ends, end_id)
+                n = np.bincount(ids)
+                if len(n) > len(seen):
+                    n, seen = seen, n
+                seen[: len(n)] += n
                 offsets = np.concatenate([[0], width * np.cumsum(counts + 1)]).astype(np.int32)
                 column = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(offsets), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts + 1), column], ["doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts + 1), column], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([-1]), pa.array([seen.astype("<i8").tobytes()])], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _ENCODED)
 
 
-def token_counts(ids: DataFrame, kind: str) -> DataFrame:
-    """id, n: how often each token occurs in the whole table. A task sends a row for each token it has seen."""
+def token_counts(ids: DataFrame) -> DataFrame:
+    """id, n: how often each token occurs in the whole table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(0, np.int64)
         for batch in batches:
             for x in batch.column(0):
-                seen = np.bincount(np.frombuffer(x.as_buffer(), kind))
-                if len(seen) > len(n):
-                    n, seen = seen, n
-                n[: len(seen)] += seen
-        found = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n[found], pa.int64())], ["id", "n"])
+                n = np.frombuffer(x.as_buffer(), "<i8")
+                found = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(n[found], pa.int64())], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.where("n_tokens = -1").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -108,7 +114,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str,
     kind = id_type(tokenizer)
     ids = scratch.write(encoded(docs, tokenizer, end_id, kind), "ids")
     # the vocabulary bounds this: at most one row for each id of the tokenizer
-    counts = sorted(((-n, i) for i, n in token_counts(ids, kind).collect()))
+    counts = sorted(((-n, i) for i, n in token_counts(ids).collect()))
     spark.createDataFrame([(rank, i, -n) for rank, (n, i) in enumerate(counts)] or [], "rank int, id long, n long").coalesce(1).write.parquet(f"{path}/ranks")
     rank = np.zeros(max((i for _, i in counts), default=0) + 1, np.uint32)
     rank[[i for _, i in counts]] = np.arange(len(counts))
@@ -138,7 +144,7 @@ def write_store(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str,
             yield flush()
 
     shards = max(1, -(-total // SHARD_BYTES), min(ids.rdd.getNumPartitions(), -(-total // (4 << 20))))
-    in_order = ids.repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
+    in_order = ids.where("n_tokens >= 0").repartitionByRange(int(shards), "doc_id").sortWithinPartitions("doc_id", "n_tokens", "ids")
     in_order.select("doc_id", "ids").mapInArrow(run, _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     scratch.drop(ids)
 

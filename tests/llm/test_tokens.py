@@ -120,3 +120,19 @@ def test_reduction_loses_nothing(counts):
     packed = packing.best_fit(dict(left), 12)
     assert all(sum(held) <= 12 for held, _ in packed)
     assert Counter(x for held, n in packed for x in held for _ in range(n)) == Counter(rest)
+
+
+def test_reduction_fixes_sets_of_three():
+    fixed, left = packing.reduce_instance({6: 2, 3: 2, 2: 2}, 12)
+    assert (((6, 3, 2), 2) in fixed or ((6, 6), 1) in fixed) and not left
+    fixed, left = packing.reduce_instance({9: 3, 6: 3, 5: 3}, 21)
+    assert fixed == [((9, 6, 6), 1), ((9, 6, 5), 1), ((9, 5, 5), 1)] and not left
+
+
+def test_packing_meets_the_lower_bound(spark):
+    """Of the test table, within one sequence of what the sum of lengths allows."""
+    if not cases.has_data():
+        pytest.skip("no test data")
+    docs = spark.read.parquet(f"{cases.DATA.replace('0.001', '0.01')}/documents.parquet")
+    rows = packing.pack(spark, docs, str(public_tokenizers.path("byte_bpe_50k.json")), 0, 2048).collect()
+    assert len({r.sequence_id for r in rows}) <= -(-sum(r.length for r in rows) // 2048) + 1
