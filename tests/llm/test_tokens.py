@@ -123,10 +123,11 @@ def test_reduction_loses_nothing(counts):
 
 
 def test_reduction_fixes_sets_of_three():
-    fixed, left = packing.reduce_instance({6: 2, 3: 2, 2: 2}, 12)
-    assert (((6, 3, 2), 2) in fixed or ((6, 6), 1) in fixed) and not left
-    fixed, left = packing.reduce_instance({9: 3, 6: 3, 5: 3}, 21)
-    assert fixed == [((9, 6, 6), 1), ((9, 6, 5), 1), ((9, 5, 5), 1)] and not left
+    fixed, left = packing.reduce_instance({10: 1, 7: 1, 4: 1, 3: 1}, 20)
+    assert fixed == [((10, 7, 3), 1), ((4,), 1)] and not left
+    # two lengths between that fit together may do better
+    assert packing._third({10: 1, 7: 1, 5: 1, 4: 1, 3: 1}, 10, 10) is None
+    assert packing._third({11: 3, 7: 3, 5: 1, 3: 1}, 11, 10) == (7, 3)
 
 
 def test_packing_meets_the_lower_bound(spark):
