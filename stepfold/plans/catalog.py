@@ -13,7 +13,7 @@ from stepfold.model import LEADERBOARD_TASKS, ROOMS, TASKS, GenerationConfig
 from stepfold.operators import curation, leaderboard, segments
 from stepfold.operators.questions import QUESTIONS
 from stepfold.plans import generate, outputs, question_sql
-from stepfold.plans.state import World, params_of, rooms_map, state_of_events, wide
+from stepfold.plans.state import World, rooms_map, wide, world_of_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -34,8 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def world(spark: SparkSession, sf_dir: str, length: int = 32, ranged: bool = False) -> World:
-    state = state_of_events(table(spark, sf_dir, "events"), length)
-    return World(state, params_of(state, length, ranged), length)
+    return world_of_events(table(spark, sf_dir, "events"), length, ranged)
 
 
 P = question_sql.prelude()
@@ -100,19 +99,26 @@ def rel_counts(spark, sf_dir):
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = outputs.model_output(outputs.gold({n: world(spark, sf_dir, n) for n in outputs.LENGTHS}))
-    out = out.withColumn("pred", answers.extracted(F.col("resp"), F.col("atype"))).withColumn("want", answers.normalized(F.col("gold"), F.col("atype")))
+    out = answers.with_answer(out).withColumn("want", answers.normalized(F.col("gold"), F.col("atype")))
     return leaderboard.with_task(out.withColumn("em", answers.exact(F.col("pred"), F.col("want"))))
 
 
-_said_en, _said_ru = answers.SAID_EN.replace("'", "''"), answers.SAID_RU.replace("(?iu)", "(?i)").replace("'", "''")
-_names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in answers.SYNONYMS.items())
+# the SQL states names and patterns for itself, so that a wrong one of the library shows
+_names = (
+    "WHEN 'kitchen' THEN 'Кухня' WHEN 'bathroom' THEN 'Ванная' WHEN 'garden' THEN 'Сад' WHEN 'office' THEN 'Офис' WHEN 'bedroom' THEN 'Спальня' WHEN 'hallway' THEN 'Коридор' "
+    "WHEN 'sandra' THEN 'Сандра' WHEN 'mary' THEN 'Мария' WHEN 'john' THEN 'Иван' WHEN 'daniel' THEN 'Даниил' WHEN 'michael' THEN 'Михаил' "
+    "WHEN 'nobody' THEN 'Никто' WHEN 'no one' THEN 'Никто' WHEN 'none' THEN 'Никто' WHEN 'никого' THEN 'Никто' WHEN 'никто' THEN 'Никто'"
+)
+_json = """\\{ *["'']answer["''] *: *["'']?([^"''} ]+)"""
+_said = """(?:answer|result|Answer|Result) *(?:is|:) *([A-Za-zА-Яа-я0-9]+)"""
+_ru = """(?:ответ|Ответ|результат|Результат) *[:—–-] *([A-Za-zА-Яа-я0-9]+)"""
 _norm = "CASE WHEN {0} = '' THEN '' WHEN atype = 'number' THEN coalesce(nullif(regexp_replace({0}, '[^0-9]', '', 'g'), ''), '0') ELSE CASE lower(regexp_replace(trim({0}), '[.,!?;:]+$', '')) " + _names + " ELSE upper(left(trim({0}), 1)) || lower(substr(regexp_replace(trim({0}), '[.,!?;:]+$', ''), 2)) END END"
 SCORED = (
     outputs.output_sql()
     + rf""",
 r1 AS (SELECT *, regexp_replace(trim(resp), '(?s)<think>.*?</think>', '', 'g') AS t FROM outputs),
 r2 AS (SELECT *, trim(CASE WHEN contains(t, '<channel|>') THEN split_part(list_last(string_split(t, '<channel|>')), '<|channel>', 1) ELSE t END) AS rest FROM r1),
-r3 AS (SELECT *, coalesce(nullif(regexp_extract(rest, '{answers.JSON_ANSWER.replace("'", "''")}', 1), ''), list_last(regexp_extract_all(rest, '{_said_en}', 1)), list_last(regexp_extract_all(rest, '{_said_ru}', 1)), nullif(regexp_extract(rest, '\\boxed\{{([^}}]+)\}}', 1), ''), list_last(regexp_extract_all(rest, '\*\*([A-Za-zА-Яа-я0-9]+)\*\*', 1)), CASE WHEN atype = 'number' THEN nullif(regexp_extract(rest, '\d+'), '') ELSE string_split(rest, ' ')[1] END, '') AS raw FROM r2),
+r3 AS (SELECT *, coalesce(nullif(regexp_extract(rest, '{_json}', 1), ''), list_last(regexp_extract_all(rest, '{_said}', 1)), list_last(regexp_extract_all(rest, '{_ru}', 1)), nullif(regexp_extract(rest, '\\boxed\{{([^}}]+)\}}', 1), ''), list_last(regexp_extract_all(rest, '\*\*([A-Za-zА-Яа-я0-9]+)\*\*', 1)), CASE WHEN atype = 'number' THEN nullif(regexp_extract(rest, '\d+'), '') ELSE string_split(rest, ' ')[1] END, '') AS raw FROM r2),
 scored AS (SELECT *, {_norm.format('raw')} AS pred, {_norm.format('gold')} AS want, CASE qtype {' '.join(f"WHEN '{q}' THEN '{t}'" for q, t in TASKS.items())} END AS task FROM r3),
 s AS (SELECT *, CAST(lower(pred) = lower(want) AS DOUBLE) AS em FROM scored)
 """

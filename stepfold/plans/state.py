@@ -21,29 +21,49 @@ def ordinal(name: Column, names: list[str]) -> Column:
     return (F.array_position(F.array(*map(F.lit, names)), name) - 1).cast("int")
 
 
+def _filled(cells: DataFrame, chars: list[str], default: str) -> DataFrame:
+    """State from one row for each step and character, whose room is null where it didn't move."""
+    order = Window.partitionBy("seq_id", "ch_ord").orderBy("step_id").rowsBetween(Window.unboundedPreceding, 0)
+    room = F.coalesce(F.last("room", ignorenulls=True).over(order), F.lit(default))
+    return cells.select("seq_id", "step_id", "ch_ord", named(F.col("ch_ord"), chars).alias("ch"), room.alias("room"))
+
+
 def forward_filled(moves: DataFrame, length: int, chars: list[str] = CHARS, default: str = ROOMS[0]) -> DataFrame:
     """state(seq_id, step_id, ch_ord, ch, room) from moves (seq_id, step_id, ch_ord, room): the last room of each character at each step."""
     grid = moves.select("seq_id").distinct().withColumn("step_id", F.explode(F.sequence(F.lit(1), F.lit(length)))).withColumn("ch_ord", F.explode(F.sequence(F.lit(0), F.lit(len(chars) - 1))))
-    order = Window.partitionBy("seq_id", "ch_ord").orderBy("step_id").rowsBetween(Window.unboundedPreceding, 0)
-    filled = grid.join(moves, ["seq_id", "step_id", "ch_ord"], "left").withColumn("room", F.coalesce(F.last("room", ignorenulls=True).over(order), F.lit(default)))
-    return filled.select("seq_id", "step_id", "ch_ord", named(F.col("ch_ord"), chars).alias("ch"), "room")
+    return _filled(grid.join(moves, ["seq_id", "step_id", "ch_ord"], "left"), chars, default)
 
 
-def state_of_events(events: DataFrame, length: int = 32) -> DataFrame:
-    """Events as moves: `length` consecutive event ids are a sequence; only full sequences count."""
+def moves_of_events(events: DataFrame, length: int = 32) -> DataFrame:
+    """seq_id, step_id, ch_ord, room: `length` consecutive event ids are a sequence with a move a step; only full sequences count.
+
+    The one shuffle of everything that follows: all later grouping is by seq_id and more, which this partitioning serves.
+    """
     room = F.create_map(*(F.lit(x) for kv in EVENT_ROOMS.items() for x in kv))[F.col("event_type")]
     moves = events.select(F.floor(F.col("event_id") / length).cast("long").alias("seq_id"), (F.col("event_id") % length + 1).cast("int").alias("step_id"), (F.col("user_id") % len(CHARS)).cast("int").alias("ch_ord"), room.alias("room"))
-    full = moves.withColumn("n", F.count("*").over(Window.partitionBy("seq_id"))).where(F.col("n") == length).drop("n")
-    return forward_filled(full, length)
+    return moves.withColumn("n", F.count("*").over(Window.partitionBy("seq_id"))).where(F.col("n") == length).drop("n")
+
+
+def state_of_moves(moves: DataFrame, chars: list[str] = CHARS, default: str = ROOMS[0]) -> DataFrame:
+    """State where every step has exactly one move: a step's row for each character needs no join."""
+    cells = moves.select("seq_id", "step_id", "ch_ord", "room", F.explode(F.sequence(F.lit(0), F.lit(len(chars) - 1))).alias("k"))
+    return _filled(cells.select("seq_id", "step_id", F.col("k").alias("ch_ord"), F.when(F.col("k") == F.col("ch_ord"), F.col("room")).alias("room")), chars, default)
+
+
+def state_of_events(events: DataFrame, length: int = 32) -> DataFrame:
+    return state_of_moves(moves_of_events(events, length))
 
 
-def params_of(state: DataFrame, length: int, ranged: bool = False, n_crowd: int = 3) -> DataFrame:
-    """Bindings of every sequence as data: two characters, two rooms, a step, most or least, a range of steps."""
+def params_of(sequences: DataFrame, length: int, ranged: bool = False, n_crowd: int = 3) -> DataFrame:
+    """Bindings of every sequence as data: two characters, two rooms, a step, most or least, a range of steps.
+
+    `sequences` needs a column seq_id; moves will do, so that no state is computed for it.
+    """
     s, c, r = F.col("seq_id"), len(CHARS), len(ROOMS)
     c0, r0 = s % c, s % r
     c1 = (c0 + 1 + F.floor(s / c) % (c - 1)) % c
     r1 = (r0 + 1 + F.floor(s / r) % (r - 1)) % r
-    return state.select("seq_id").distinct().select(
+    return sequences.select("seq_id").distinct().select(
         "seq_id",
         named(c0, CHARS).alias("c0"),
         named(c1, CHARS).alias("c1"),
@@ -57,6 +77,11 @@ def params_of(state: DataFrame, length: int, ranged: bool = False, n_crowd: int
     )
 
 
+def world_of_events(events: DataFrame, length: int = 32, ranged: bool = False) -> World:
+    moves = moves_of_events(events, length)
+    return World(state_of_moves(moves), params_of(moves, length, ranged), length)
+
+
 @dataclass(frozen=True)
 class World:
     """State, bindings and dimensions that every query is asked of."""
@@ -85,15 +110,20 @@ def wide(state: DataFrame, chars: list[str] = CHARS) -> DataFrame:
     return state.groupBy("seq_id", "step_id").pivot("ch", chars).agg(F.first("room"))
 
 
+def _entries(occupants: Column, rooms: list[str]) -> Column:
+    """Map from each configured room to its occupants in character order, of an array of (ch_ord, ch, room)."""
+
+    def entry(room: str) -> Column:
+        return F.struct(F.lit(room).alias("key"), F.transform(F.filter(occupants, lambda x: x["room"] == room), lambda x: x["ch"]).alias("value"))
+
+    return F.map_from_entries(F.array(*map(entry, rooms)))
+
+
 def rooms_map(state: DataFrame, rooms: list[str] = ROOMS) -> DataFrame:
     """seq_id, step_id, rooms: map from each configured room to its occupants in character order."""
     at = F.array_sort(F.collect_list(F.struct("ch_ord", "ch", "room")))
     steps = state.groupBy("seq_id", "step_id").agg(at.alias("at"))
-
-    def entry(room: str) -> Column:
-        return F.struct(F.lit(room).alias("key"), F.transform(F.filter("at", lambda x: x["room"] == room), lambda x: x["ch"]).alias("value"))
-
-    return steps.select("seq_id", "step_id", F.map_from_entries(F.array(*map(entry, rooms))).alias("rooms"))
+    return steps.select("seq_id", "step_id", _entries(F.col("at"), rooms).alias("rooms"))
 
 
 def sequences(state: DataFrame, rooms: list[str] = ROOMS) -> DataFrame:

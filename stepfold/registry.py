@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stepfold.operators.questions import DENSE, QUESTIONS
 from stepfold.plans import catalog, question_sql
-from stepfold.plans.state import World, params_of, state_of_events
+from stepfold.plans.state import World, world_of_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -19,8 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def world(spark: SparkSession, sf_dir: str, ranged: bool = False, length: int = 32) -> World:
-    state = state_of_events(table(spark, sf_dir, "events"), length)
-    return World(state, params_of(state, length, ranged), length)
+    return world_of_events(table(spark, sf_dir, "events"), length, ranged)
 
 
 def _question(qtype: str, part: int, ranged: bool) -> Callable[[SparkSession, str], DataFrame]:
