@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from stepfold.functions.answers import tagged
 from stepfold.model import CHARS, NOBODY, ROOMS
 
-# Lengths in characters, words that show reasoning, weights.
+# Lengths in characters, words that show reasoning, weights, bands of correctness, patterns of form.
 SHORT, BEST, LONG = 50, 300, 1000
 INDICATORS = ["because", "therefore", "thus", "since", "as a result", "if", "then", "otherwise", "however", "although", "consequently", "given that", "first", "second", "third", "finally", "lastly", "consider", "assume", "suppose", "let's", "we know"]
 WEIGHTS = {"correctness": 1.0, "format": 0.5, "reasoning": 0.8, "consistency": 0.7, "atype": 0.3, "length": 0.4}
+EXACT, SAME_LETTERS, PART, SIMILAR, ALIKE = 2.0, 1.5, 1.0, 0.75, 0.8
+STRICT, GOOD, LEAST = r"(?sm)\A^<think>\n.*?\n</think>\n<answer>\n.*?\n</answer>$", r"(?sm)\A<think>.*?</think>\s*<answer>.*?</answer>", r"(?sm)\A<think>.*?</think>.*?<answer>.*?</answer>"
+STRICT_JSON, GOOD_JSON, LEAST_JSON = r"(?sm)\A^.*?</think>\n\{\"answer\":\s.*?\}$", r"(?sm)\A.*?</think>\s*\{\"answer\":\s.*?\}", r"(?sm)\A.*?</think>.*?\{\"answer\":\s.*?\}"
 NAMES = ROOMS + [NOBODY] + CHARS
 
 
@@ -26,7 +29,7 @@ def _bare(x: Column) -> Column:
 
 def correctness(text: Column, gold: Column, json: bool = False) -> Column:
     said, gold = _bare(tagged(text, "answer", json)), F.trim(gold)
-    return F.when(said == gold, 2.0).when(F.lower(said) == F.lower(gold), 1.5).when(gold.contains(said) | said.contains(gold), 1.0).when(similarity(said, gold) > 0.8, 0.75).otherwise(0.0)
+    return F.when(said == gold, EXACT).when(F.lower(said) == F.lower(gold), SAME_LETTERS).when(gold.contains(said) | said.contains(gold), PART).when(similarity(said, gold) > ALIKE, SIMILAR).otherwise(0.0)
 
 
 def kind(text: Column, json: bool = False) -> Column:
@@ -35,10 +38,7 @@ def kind(text: Column, json: bool = False) -> Column:
 
 
 def form(text: Column, json: bool = False) -> Column:
-    if json:
-        strict, good, least = r"(?sm)\A^.*?</think>\n\{\"answer\":\s.*?\}$", r"(?sm)\A.*?</think>\s*\{\"answer\":\s.*?\}", r"(?sm)\A.*?</think>.*?\{\"answer\":\s.*?\}"
-    else:
-        strict, good, least = r"(?sm)\A^<think>\n.*?\n</think>\n<answer>\n.*?\n</answer>$", r"(?sm)\A<think>.*?</think>\s*<answer>.*?</answer>", r"(?sm)\A<think>.*?</think>.*?<answer>.*?</answer>"
+    strict, good, least = (STRICT_JSON, GOOD_JSON, LEAST_JSON) if json else (STRICT, GOOD, LEAST)
     return F.when(text.rlike(strict), 1.0).when(text.rlike(good), 0.75).when(text.rlike(least), 0.5).otherwise(0.0)
 
 
@@ -47,10 +47,15 @@ def sentences(text: Column) -> Column:
     return F.array_remove(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), "")
 
 
+def _ramp(n: Column) -> Column:
+    """0.1 up to SHORT characters, rising to 0.5 at BEST; null beyond."""
+    return F.when(n < SHORT, 0.1).when(n < BEST, 0.1 + 0.4 * (n - SHORT) / (BEST - SHORT))
+
+
 def reasoning(text: Column) -> Column:
     thought = tagged(text, "think")
     n = F.length(thought)
-    by_length = F.when(n < SHORT, 0.1).when(n < BEST, 0.1 + 0.4 * (n - SHORT) / (BEST - SHORT)).when(n <= LONG, 0.5 * (1 - (n - BEST) / (LONG - BEST))).otherwise(0.1)
+    by_length = _ramp(n).when(n <= LONG, 0.5 * (1 - (n - BEST) / (LONG - BEST))).otherwise(0.1)
     hits = sum((F.lower(thought).contains(w).cast("int") for w in INDICATORS), F.lit(0))
     parts = F.size(sentences(thought))
     return by_length + F.least(F.lit(0.3), 0.05 * hits) + F.when(parts >= 3, 0.2).when(parts == 2, 0.1).otherwise(0.0)
@@ -65,7 +70,7 @@ def consistency(text: Column) -> Column:
 def length(text: Column, gold: Column) -> Column:
     n = F.length(tagged(text, "think"))
     decay = 0.5 * F.cos(F.least(F.lit(1.0), (n - BEST) / (LONG - BEST)) * (F.pi() / 2))
-    return F.when(correctness(text, gold) <= 0, 0.0).when(n < SHORT, 0.1).when(n < BEST, 0.1 + 0.4 * (n - SHORT) / (BEST - SHORT)).otherwise(decay)
+    return F.when(correctness(text, gold) <= 0, 0.0).otherwise(_ramp(n).otherwise(decay))
 
 
 def combined(text: Column, gold: Column, weights: dict[str, float] = WEIGHTS) -> Column:

@@ -40,10 +40,25 @@ BETWEEN = (" between steps {f0} and {f1}?", " между шагами {f0} и {f
 _PART = re.compile(r"\{([^}]*)\}")
 
 
-def translated(name: Column, source: list[str], target: list[str]) -> Column:
-    """The name of the same place in another list; an unknown name stays."""
+def translated(name: Column, source: list[str], target: list[str], default: Column | None = None) -> Column:
+    """The name of the same place in another list; an unknown name is the default, or else stays."""
     pairs = [F.lit(x) for kv in zip(source, target, strict=True) for x in kv]
-    return F.coalesce(F.element_at(F.create_map(*pairs), name), name)
+    return F.coalesce(F.element_at(F.create_map(*pairs), name), name if default is None else default)
+
+
+def place(room: Column) -> Column:
+    """Where something is in Russian; an unknown room is named as it is."""
+    return translated(room, ROOMS, RU_PLACES, F.concat(F.lit("в "), room))
+
+
+def verb(name: Column, man: str, woman: str) -> Column:
+    """The form of a verb for a character; one that isn't known counts as a man."""
+    return F.when(F.coalesce(name.isin(FEMALE), F.lit(False)), woman).otherwise(man)
+
+
+def language_of(code: str) -> str:
+    """Any code but 'ru' is English."""
+    return "ru" if code == "ru" else "en"
 
 
 def question(qtype: str, language: str = "en", length: int | None = None) -> Column:
@@ -58,7 +73,7 @@ def question(qtype: str, language: str = "en", length: int | None = None) -> Col
             said = rendered(BETWEEN[ru])
             return said if length is None else F.when((F.col("f0") == 1) & (F.col("f1") == length), "?").otherwise(said)
         if ru and name[0] in "cr" and name[1:].isdigit():
-            return translated(F.col(name), CHARS, RU_CHARS) if name[0] == "c" else translated(F.col(name), ROOMS, RU_PLACES)
+            return translated(F.col(name), CHARS, RU_CHARS) if name[0] == "c" else place(F.col(name))
         return F.col(name).cast("string")
 
     def rendered(text: str) -> Column:
@@ -118,7 +133,7 @@ def translate_question(text: Column) -> Column:
             if name == "e":
                 steps = F.concat(F.lit(" между шагами "), F.regexp_extract(value, r"(\d+) and", 1), F.lit(" и "), F.regexp_extract(value, r"and (\d+)", 1), F.lit("?"))
                 return F.when(value == "?", "?").otherwise(steps)
-            return translated(value, CHARS, RU_CHARS) if name[0] == "c" and name[1:].isdigit() else translated(value, ROOMS, RU_PLACES) if name[0] == "r" else value
+            return translated(value, CHARS, RU_CHARS) if name[0] == "c" and name[1:].isdigit() else place(value) if name[0] == "r" else value
 
         out = F.when(text.rlike(pattern), F.concat(*(said(p) if k % 2 else F.lit(p) for k, p in enumerate(_PART.split(ru))))).otherwise(out)
     return out

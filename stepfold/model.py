@@ -44,7 +44,7 @@ class GenerationConfig:
     question_types: list[str] | None = None
     rooms: list[str] = field(default_factory=lambda: list(ROOMS))
     chars: list[str] = field(default_factory=lambda: list(CHARS))
-    target_keyframes: int | tuple[int, int] | None = None
+    target_keyframes: int | list[int] | tuple[int, int] | None = None
 
     def __post_init__(self):
         for name in ("seq_lengths", "rooms", "chars"):
@@ -53,10 +53,20 @@ class GenerationConfig:
         if self.n_questions < 1:
             raise ValueError("n_questions is below 1")
         goal = self.target_keyframes
-        low, high = goal if isinstance(goal, tuple) else (goal, goal)
+        if isinstance(goal, list | tuple) and len(goal) != 2:
+            raise ValueError("target_keyframes is neither a number nor a range of two")
+        low, high = self.keyframes
+        if goal is not None and not (isinstance(low, int) and isinstance(high, int)):
+            raise ValueError("target_keyframes is not whole numbers")
         if goal is not None and (low < 1 or high < low):
             raise ValueError("target_keyframes is below 1 or an inverted range")
 
+    @property
+    def keyframes(self) -> tuple[int | None, int | None]:
+        """Least and greatest number of key frames; None for any."""
+        goal = self.target_keyframes
+        return tuple(goal) if isinstance(goal, list | tuple) else (goal, goal)
+
     def to_dict(self) -> dict:
         return asdict(self)
 

@@ -57,3 +57,44 @@ def masked(state: DataFrame, share: float, seed: int = 42, mask: str = "?") -> D
     """State with a share of its cells hidden, chosen by hash."""
     at = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), "seq_id", "step_id", "ch_ord"), 256), 1, 8), 16, 10).cast("double") / 2**32
     return state.withColumn("room", F.when(at < share, mask).otherwise(F.col("room")))
+
+
+def indexed(rows: DataFrame, order: list[str], by: list[str] | None = None) -> DataFrame:
+    """`rows` with idx, their place from 0, within each of `by`. Over all rows, ranges are ordered in parallel and offset by their sizes."""
+    if by:
+        return rows.withColumn("idx", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    parted = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    sizes = parted.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("_least"))
+    offsets = sizes.select("_part", "_least", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))  # a row for each partition
+    return parted.join(F.broadcast(offsets), "_part").withColumn("idx", F.col("_before") + F.col("_at") - F.col("_least")).drop("_part", "_at", "_least", "_before")
+
+
+def selected(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows in an order (all if there are fewer), with idx."""
+    return indexed(rows.orderBy(*order).limit(n), list(order))
+
+
+def subsample(rows: DataFrame, n: int, by: list[str], key: str, seed: int = 42) -> DataFrame:
+    """n rows of each stratum, or of all rows without strata, in an order of hashes."""
+    return first_per(rows, n, by, hash_order(key, seed), key) if by else rows.orderBy(hash_order(key, seed), key).limit(n)
+
+
+def within_segments(rows: DataFrame, most: int, column: str = "num_segments") -> DataFrame:
+    return rows.where(F.col(column) <= most)
+
+
+def stages(rows: DataFrame, limits: list[int], column: str = "num_segments") -> list[DataFrame]:
+    """The rows of each stage of a curriculum, those with at most so many segments; raises ValueError for a stage without any."""
+    counts = rows.agg(*(F.count_if(F.col(column) <= n).alias(f"n{k}") for k, n in enumerate(limits))).first()
+    if empty := [n for n, found in zip(limits, counts, strict=True) if not found]:
+        raise ValueError(f"no rows with at most {empty} segments")
+    return [within_segments(rows, n, column) for n in limits]
+
+
+def full_quota(rows: DataFrame, quotas: dict[int, int], by: str, order: str) -> DataFrame:
+    """quota(), raising ValueError where a group has fewer rows than its quotas ask for."""
+    out = quota(rows, quotas, by, order)
+    short = rows.select(by).distinct().join(out.groupBy(by).agg(F.count("*").alias("n")), by, "left").where(F.coalesce("n", F.lit(0)) < sum(quotas.values()))
+    if missing := [r[by] for r in short.orderBy(by).limit(20).collect()]:
+        raise ValueError(f"fewer than {sum(quotas.values())} shots: {missing}")
+    return out

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stepfold.functions import answers
 from stepfold.model import TASKS
 
 # Fixed values of the gates and of the weighted mean.
 PER_CELL = 50
 EPSILON = 1e-6
+SHORT_TOKENS = 32
+#: Names of models up to which their table is broadcast to the loop join.
+BROADCAST_ROWS = 10_000
 
 
 def hit_rates(scored: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
@@ -45,7 +49,20 @@ def weighted(cells: DataFrame) -> DataFrame:
     return tasks.groupBy("model").agg((F.count("*") / F.sum(1 / (F.col("em") + EPSILON))).alias("score"), F.count("*").alias("n_tasks"))
 
 
+def ranked_values(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """by, value, n, upto, total: how many rows have each value, how many have it or less, and how many there are. Ranks come from a table of counts, so no group is ever held in one row."""
+    counts = rows.groupBy(by, value).agg(F.count("*").alias("n"))
+    of = Window.partitionBy(by)
+    return counts.withColumn("upto", F.sum("n").over(of.orderBy(value))).withColumn("total", F.sum("n").over(of))
+
+
+def at_rank(rank: Column, value: str) -> Column:
+    """An aggregate over ranked_values: the value at a rank from 0."""
+    return F.min(F.when(F.col("upto") > rank, F.col(value)))
+
+
 def upper_median(x: str) -> Column:
+    """Of a bounded group, such as the cells of a report; run_stats ranks by counts instead."""
     return F.element_at(F.array_sort(F.collect_list(x)), F.floor(F.count(x) / 2).cast("int") + 1)
 
 
@@ -58,19 +75,18 @@ def rescored(new: DataFrame, old: DataFrame, least: float = 0.005) -> DataFrame:
 
 def run_stats(samples: DataFrame) -> DataFrame:
     """One row for each model of samples (model, resp, em): counts, upper median and 90th length, and rates."""
-    n = F.length("resp")
+    rows = samples.select("model", "em", "resp", F.length("resp").alias("len"))
     rate = lambda c: F.avg(c.cast("double"))
-    lens = F.array_sort(F.collect_list(n))
-    return samples.groupBy("model").agg(
+    rates = rows.groupBy("model").agg(
         F.count("*").alias("n"),
         F.avg("em").alias("em"),
-        F.element_at(lens, F.floor(F.count("*") / 2).cast("int") + 1).alias("median_len"),
-        F.element_at(lens, F.floor((F.count("*") - 1) * 0.9).cast("int") + 1).alias("p90_len"),
         rate(F.col("resp").contains("<think>") | F.col("resp").contains("<|channel>thought")).alias("think_rate"),
         rate(F.trim("resp") == "").alias("empty_rate"),
         rate(F.col("resp").contains("<think>") & ~F.col("resp").contains("</think>")).alias("truncation_rate"),
-        rate(n < 32 * 4).alias("short_rate"),
+        rate(F.col("len") < SHORT_TOKENS * 4).alias("short_rate"),
     )
+    lengths = ranked_values(rows.where("len is not null"), "model", "len").groupBy("model").agg(at_rank(F.floor(F.col("total") / 2), "len").alias("median_len"), at_rank(F.floor((F.col("total") - 1) * 0.9), "len").alias("p90_len"))
+    return rates.join(lengths, "model", "left").select("model", "n", "em", "median_len", "p90_len", "think_rate", "empty_rate", "truncation_rate", "short_rate")
 
 
 def gated(stats: DataFrame, expect_thinking: bool) -> DataFrame:
@@ -83,13 +99,22 @@ def gated(stats: DataFrame, expect_thinking: bool) -> DataFrame:
 def fuzzy_matched(models: DataFrame, external: DataFrame) -> DataFrame:
     """models (model) left join external (id, ...): the shortest id that holds the model's last name part, without the characters of '-Instruct' at its ends.
 
-    The names of models are a handful, so their side is the small one of the loop join; its size is bounded by the
-    leaderboard, not by the data.
+    The loop join streams external past a broadcast of the names of models, whose number is checked; beyond
+    BROADCAST_ROWS every part of an id is looked up by an equi-join instead.
     """
     tail = F.btrim(F.element_at(F.split("model", "/"), -1), F.lit("-Instruct"))
-    pairs = models.withColumn("tail", tail).join(external, F.col("id").contains(F.col("tail")), "left")
-    first = Window.partitionBy("model").orderBy(F.length("id"), "id")
-    return pairs.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth", "tail")
+    named = models.select("model", tail.alias("tail")).distinct()
+    others = [c for c in external.columns if c != "id"]
+    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        pairs = external.join(F.broadcast(named), F.col("id").contains(F.col("tail")))
+    else:
+        n = F.length("id")
+        starts = F.explode(F.sequence(F.lit(1), n)).alias("at")
+        parts = external.where(n > 0).select("*", starts).select("*", F.explode(F.sequence(F.lit(1), n - F.col("at") + 1)).alias("m"))
+        parts = parts.withColumn("tail", F.substr("id", F.col("at"), F.col("m"))).drop("at", "m").distinct()
+        pairs = parts.join(named.where("tail <> ''"), "tail").unionByName(external.join(named.where("tail = ''").limit(1), F.lit(True)).select(*external.columns, "model", "tail"))
+    best = pairs.groupBy("model").agg(F.min(F.struct(F.length("id").alias("n"), "id", *others)).alias("x"))
+    return models.join(best, "model", "left").select(*models.columns, *(F.col(f"x.{c}").alias(c) for c in external.columns))
 
 
 def correlated(pairs: DataFrame, *by: str) -> DataFrame:
@@ -97,3 +122,64 @@ def correlated(pairs: DataFrame, *by: str) -> DataFrame:
     got = pairs.where("x is not null and y is not null").groupBy(*by).agg(F.count("*").alias("n"), F.corr("x", "y").alias("c"))
     r = F.when(F.col("n") <= 1, 0.0).otherwise(F.col("c"))
     return got.select(*by, "n", r.alias("r"), F.sqrt((1 - r * r) / (F.greatest("n", F.lit(3)) - 2)).alias("std"))
+
+
+def only_models(rates: DataFrame, wanted: list[str]) -> tuple[DataFrame, list[str]]:
+    """The rows of the wanted models, and which of these are missing; all rows where none is wanted or none is there."""
+    if not wanted:
+        return rates, []
+    found = {r.model for r in rates.where(F.col("model").isin(wanted)).select("model").distinct().collect()}
+    return (rates.where(F.col("model").isin(wanted)) if found else rates), [m for m in wanted if m not in found]
+
+
+def of_model(rates: DataFrame, model: str) -> DataFrame:
+    """seq_len by question type, of one model."""
+    return pivoted(rates.where(F.col("model") == model), "seq_len", "qtype")
+
+
+def ordered_tasks(rates: DataFrame, order: list[str]) -> DataFrame:
+    """`rates` with code (null for an unknown type) and place, the rank of the code in `order` (null beyond it)."""
+    coded = with_task(rates).withColumnRenamed("task", "code")
+    return coded.withColumn("place", F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("code")), F.lit(0)) - 1)
+
+
+def token_table(samples: DataFrame) -> DataFrame:
+    """Of samples (task, seq_len, em, resp): exact match, count, reasoning and output tokens by cell, and the share with more than 10 reasoning tokens."""
+    rows = samples.withColumn("reasoning", answers.reasoning_tokens(F.col("resp")))
+    return rows.groupBy("task", "seq_len").agg(
+        F.avg("em").alias("em"),
+        F.count("*").alias("n"),
+        F.avg("reasoning").alias("reasoning_tokens"),
+        (F.sum(F.length("resp")) / (4 * F.count("*"))).alias("output_tokens"),
+        F.avg((F.col("reasoning") > 10).cast("double")).alias("share_reasoning"),
+    )
+
+
+def model_summary(cells: DataFrame) -> DataFrame:
+    """Of cells (model, task, seq_len, em, n, reasoning_tokens, output_tokens): a row for each model, best mean first, with the weighted score."""
+    plain = cells.groupBy("model").agg(F.avg("em").alias("em"), F.sum("n").alias("n"), F.avg("reasoning_tokens").alias("reasoning_tokens"), F.avg("output_tokens").alias("output_tokens"))
+    return plain.join(weighted(cells.select("model", "task", "seq_len", "em")), "model").orderBy(F.desc("em"), "model")
+
+
+def mean_hits(rates: DataFrame) -> DataFrame:
+    """seq_len, model, hit: the mean over questions, without models that never hit anything."""
+    out = rates.groupBy("seq_len", "model").agg(F.avg("hit").alias("hit"))
+    return out.join(rates.where("hit <> 0").select("model").distinct(), "model", "left_semi").select("seq_len", "model", "hit")
+
+
+def histogram(rows: DataFrame, column: str) -> DataFrame:
+    """value, n: how often each value occurs."""
+    return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+
+
+def described(rows: DataFrame, column: str) -> DataFrame:
+    """One row: count, mean, standard deviation, least, quartiles (interpolated) and greatest of a column."""
+    x = F.col(column).cast("double")
+    quartile = lambda q: F.percentile(x, F.lit(q)).alias(f"p{int(q * 100)}")
+    return rows.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev(x).alias("std"), F.min(x).alias("min"), *map(quartile, (0.25, 0.5, 0.75)), F.max(x).alias("max"))
+
+
+def run_report(samples: DataFrame) -> DataFrame:
+    """task, n, em of samples (task, em), with a TOTAL row."""
+    out = samples.rollup("task").agg(F.count("*").alias("n"), F.avg("em").alias("em"), F.grouping("task").alias("g"))
+    return out.select(F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("task")).alias("task"), "n", "em")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -61,3 +61,23 @@ def proxy_tokens(text: Column) -> Column:
 
 def messages(*turns: tuple[str, Column]) -> Column:
     return F.array(*(F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in turns))
+
+
+def filled_segments(tokens: Column, size: int, pad: int = 0, final: Column | None = None) -> tuple[Column, Column]:
+    """Tokens in full segments, the last one padded, then the final one as it is if there is one; and how many segments these are."""
+    parts = F.ceil(F.size(tokens) / size).cast("int")
+    whole = padded(tokens, parts * size, pad)
+    return (whole, parts) if final is None else (F.concat(whole, final), parts + 1)
+
+
+def collated(rows: DataFrame, ids: str, batch: str, pad: int, ignore: int | None = None, left: bool = False) -> DataFrame:
+    """`rows` with ids padded to the longest of their batch (ignore pads labels instead), and mask, which is 1 where a token is."""
+    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
+    out = rows.withColumn("_longest", longest)
+    mask = padded(F.transform(ids, lambda _: F.lit(1)), F.col("_longest"), 0, left)
+    return out.withColumn("mask", mask).withColumn(ids, padded(F.col(ids), F.col("_longest"), pad if ignore is None else ignore, left)).drop("_longest")
+
+
+def quoted_steps(text: Column, schema: str = "array<struct<step_id:int,rooms:map<string,array<string>>>>") -> Column:
+    """Steps from a text that has single quotes where JSON has double ones."""
+    return F.from_json(F.replace(text, F.lit("'"), F.lit('"')), schema)

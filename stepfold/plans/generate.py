@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stepfold.functions import wording
 from stepfold.model import GenerationConfig, atype
 from stepfold.operators.questions import QUESTIONS
-from stepfold.plans.state import World, named, params_of
+from stepfold.plans import records
+from stepfold.plans.state import World, named, sequences, wide
 
 #: Sequences that are made at first for each one that is wanted, as ties are rejected, and how many times more if a cell is short.
 OVERSAMPLE, GROWTH = 4, 4
@@ -33,24 +36,98 @@ def states(spark: SparkSession, n: int, length: int, config: GenerationConfig, o
     return grid.select("seq_id", "step_id", "ch_ord", named(F.col("ch_ord"), config.chars).alias("ch"), named(any_room, config.rooms).alias("room"))
 
 
+def controlled(spark: SparkSession, n: int, length: int, config: GenerationConfig, keyframe: Column, target: int | tuple[int, int], attempts: int = 1000) -> DataFrame:
+    """state of up to n sequences with as many key frames as asked for, of `attempts` that are made for each.
+
+    keyframe is a condition over a step's row of wide state (a column for each character); a step where it holds counts.
+    Sequences are numbered by the request that they serve; one that no attempt met is left out.
+    """
+    low, high = target if isinstance(target, tuple) else (target, target)
+    tries = states(spark, n * attempts, length, config)
+    hits = wide(tries, config.chars).groupBy("seq_id").agg(F.count_if(keyframe).alias("hits")).where(F.col("hits").between(low, high))
+    served = hits.groupBy((F.col("seq_id") % n).alias("request")).agg(F.min("seq_id").alias("seq_id"))
+    return tries.join(served, "seq_id").select(F.col("request").alias("seq_id"), "step_id", "ch_ord", "ch", "room")
+
+
+def sampled_steps(length: int | Column, fraction: float, *keys: Column | str, seed: int = 0) -> tuple[Column, Column, Column]:
+    """First and last step of a stretch of a sequence's steps, from 1, and how a question about it ends."""
+    length = F.lit(length) if isinstance(length, int) else length
+    n = F.greatest(F.lit(1), F.bround(length * fraction).cast("int"))
+    first = (F.pmod(F.xxhash64(F.lit(seed), F.lit("steps"), *keys), F.greatest(length - n + 1, F.lit(1)).cast("long")) + 1).cast("int")
+    last = (first + n - 1).cast("int")
+    tail = F.lit("?") if fraction == 1 else F.concat(F.lit(" between steps "), first.cast("string"), F.lit(" and "), last.cast("string"), F.lit("?"))
+    return first, last, tail
+
+
+def comparison(*keys: Column | str, superlative: bool = True, is_more: Column | bool | None = None, seed: int = 0) -> tuple[Column, Column]:
+    """Whether more is asked for, by a flip unless it is given, and the words for it."""
+    flip = draw(2, seed, F.lit("more"), *keys) == 1
+    more = flip if is_more is None else F.coalesce(F.lit(is_more) if isinstance(is_more, bool) else is_more, flip)
+    words = ("most", "least amount of") if superlative else ("more", "fewer")
+    return more, F.when(more, words[0]).otherwise(words[1])
+
+
+def forced_more(qtype: str, length: int) -> bool:
+    """Whether a question is only asked for the most, as its sequences are too short to tell the least."""
+    return (qtype == "where_spend" and length <= 4) or (qtype == "spend_alone" and length <= 2)
+
+
+def random_params(sequences: DataFrame, length: int, config: GenerationConfig, fraction: float = 1.0, qtype: str | None = None, n_crowd: int = 3) -> DataFrame:
+    """Bindings of sequences by hash of the seed: two characters and two rooms that differ, a step, most or least, and a stretch of steps that is the share `fraction` of all."""
+    c, r, seed = len(config.chars), len(config.rooms), config.seed + length
+    of = lambda n, name: draw(n, seed, F.lit(name), "seq_id")
+    c0, r0 = of(c, "c0"), of(r, "r0")
+    c1, r1 = (c0 + 1 + of(max(1, c - 1), "c1")) % c, (r0 + 1 + of(max(1, r - 1), "r1")) % r
+    more, _ = comparison("seq_id", is_more=True if qtype and forced_more(qtype, length) else None, seed=seed)
+    first, last, _ = sampled_steps(length, fraction, "seq_id", seed=seed)
+    names = lambda o, of: named(o, of)
+    return sequences.select("seq_id").distinct().select(
+        "seq_id", names(c0, config.chars).alias("c0"), names(c1, config.chars).alias("c1"), names(r0, config.rooms).alias("r0"), names(r1, config.rooms).alias("r1"),
+        (of(length, "frame") + 1).alias("frame"), more.alias("is_more"), first.alias("f0"), last.alias("f1"), F.lit(n_crowd).alias("n_crowd"),
+    )
+
+
+def count_by_length(samples: DataFrame) -> DataFrame:
+    return samples.groupBy("seq_len").agg(F.count("*").alias("n"))
+
+
+def _ascii_json(text: Column) -> Column:
+    """A text as JSON in ASCII, characters beyond it as escapes."""
+    plain = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    escaped = F.array_join(F.transform(F.split(plain, ""), lambda c: F.when(F.ascii(c) < 128, c).otherwise(F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(F.ascii(c))), 4, "0")))), "")
+    return F.concat(F.lit('"'), F.when(plain.rlike(r"[^\x00-\x7F]"), escaped).otherwise(plain), F.lit('"'))
+
+
 def hashed(state: DataFrame) -> DataFrame:
-    """seq_id, seq_hash of each sequence."""
-    cells = F.array_sort(F.collect_list(F.struct("step_id", "ch_ord", "room")))
-    return state.groupBy("seq_id").agg(F.sha2(F.to_json(cells), 256).alias("seq_hash"))
+    """seq_id, seq_hash of each sequence: SHA-256 of a JSON array of steps, each an array of the rooms in character order, in ASCII with ', ' between."""
+    steps = state.groupBy("seq_id", "step_id").agg(F.array_sort(F.collect_list(F.struct("ch_ord", "room"))).alias("at"))
+    row = F.concat(F.lit("["), F.array_join(F.transform("at", lambda x: _ascii_json(x["room"])), ", "), F.lit("]"))
+    whole = steps.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("step_id", row.alias("row")))).alias("s"))
+    return whole.select("seq_id", F.sha2(F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["row"]), ", "), F.lit("]")), 256).alias("seq_hash"))
 
 
-def questions(spark: SparkSession, config: GenerationConfig) -> DataFrame:
-    """qid, seq_len, qtype, atype, answer, seq_hash: n_questions of each type and length, no sequence twice in a cell.
+def questions(spark: SparkSession, config: GenerationConfig, fraction: float = 1.0) -> DataFrame:
+    """qid, seq_len, qtype, atype, answer, seq_hash, seq_id: n_questions of each type and length, no sequence twice in a cell.
 
-    Sequences are made until each cell is full; a cell that isn't after LIMIT of them raises ValueError.
+    Dense questions ask about the share `fraction` of the steps. With target_keyframes only sequences count whose answer
+    rests on as many steps. Sequences are made until each cell is full; one that isn't after LIMIT raises ValueError.
     """
     types = config.get_question_types()
+    low, high = config.keyframes
 
     def cells(length: int, n: int, some: list[str]) -> DataFrame:
         state = states(spark, n, length, config)
-        w = World(state, params_of(state, length), length, tuple(config.chars), tuple(config.rooms))
         hashes = hashed(state)
-        return reduce(DataFrame.unionByName, [QUESTIONS[q](w)[0].where("valid").join(hashes, "seq_id").select(F.lit(length).alias("seq_len"), F.lit(q).alias("qtype"), F.lit(types.index(q)).alias("ord"), F.lit(atype(q)).alias("atype"), "seq_id", "answer", "seq_hash") for q in some])
+        worlds = {forced: World(state, random_params(state, length, config, fraction, "where_spend" if forced else None), length, tuple(config.chars), tuple(config.rooms)) for forced in (False, True)}
+        parts = []
+        for q in some:
+            answered, support = QUESTIONS[q](worlds[forced_more(q, length)])
+            rows = answered.where("valid")
+            if low is not None:
+                steps = support.select("seq_id", "step_id").distinct().groupBy("seq_id").agg(F.count("*").alias("n"))
+                rows = rows.join(steps.where(F.col("n").between(low, high)), "seq_id", "left_semi")
+            parts.append(rows.join(hashes, "seq_id").select(F.lit(length).alias("seq_len"), F.lit(q).alias("qtype"), F.lit(types.index(q)).alias("ord"), F.lit(atype(q)).alias("atype"), "seq_id", "answer", "seq_hash"))
+        return reduce(DataFrame.unionByName, parts)
 
     parts = []
     for length in config.seq_lengths:
@@ -71,4 +148,34 @@ def questions(spark: SparkSession, config: GenerationConfig) -> DataFrame:
     # ids are the rank in (length, type, number), which the place of a cell and the number give without one global sort
     sizes = kept.groupBy("seq_len", "ord").agg(F.count("*").alias("n"))
     before = sizes.select("seq_len", "ord", (F.sum("n").over(Window.orderBy("seq_len", "ord")) - F.col("n")).alias("before"))
-    return kept.join(F.broadcast(before), ["seq_len", "ord"]).select(F.format_string("%07d", F.col("before") + F.col("nth") - 1).alias("qid"), "seq_len", "qtype", "atype", "answer", "seq_hash")
+    return kept.join(F.broadcast(before), ["seq_len", "ord"]).select(F.format_string("%07d", F.col("before") + F.col("nth") - 1).alias("qid"), "seq_len", "qtype", "atype", "answer", "seq_hash", "seq_id")
+
+
+def samples(spark: SparkSession, config: GenerationConfig, fraction: float = 1.0, language: str = "en") -> DataFrame:
+    """Questions with their text, sequence, metadata and counts of relevant rooms, in the shape that a dataset is saved in."""
+    made = questions(spark, config, fraction)
+    parts = []
+    for length in config.seq_lengths:
+        of_length = made.where(F.col("seq_len") == length)
+        wanted = of_length.select("seq_id").distinct()
+        most = wanted.agg(F.max("seq_id")).first()[0]
+        if most is None:
+            continue
+        state = states(spark, most + 1, length, config).join(wanted, "seq_id")
+        steps = sequences(state, config.rooms)
+        for q in config.get_question_types():
+            forced = "where_spend" if forced_more(q, length) else None
+            w = World(state, random_params(state, length, config, fraction, forced), length, tuple(config.chars), tuple(config.rooms))
+            rows = of_length.where(F.col("qtype") == q)
+            text = w.param.select("seq_id", wording.question(q, language, length).alias("question"))
+            meta = records.dense_metadata(QUESTIONS[q](w)[1], w.param.select("seq_id", F.lit(length).alias("seq_len")), config.rooms)
+            parts.append(rows.join(text, "seq_id").join(steps, "seq_id").join(meta, "seq_id"))
+    out = reduce(DataFrame.unionByName, parts)
+    per_step, total = records.relevant_counts(F.col("metadata"))
+    return out.select("qid", "seq_len", "qtype", "atype", "question", "answer", "sequence", "metadata", per_step.alias("n_relevant_rooms_per_step"), total.alias("n_relevant_rooms"))
+
+
+def in_context_examples(spark: SparkSession, config: GenerationConfig, n: int = 5, lengths: tuple[int, ...] = (1, 2, 4, 8, 16)) -> DataFrame:
+    """n samples for each type and each of the short lengths, under example_id, with a seed of their own."""
+    own = replace(config, seed=config.seed + 12345, n_questions=n, seq_lengths=list(lengths))
+    return samples(spark, own).withColumnRenamed("qid", "example_id")

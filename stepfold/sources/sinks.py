@@ -1,8 +1,10 @@
-"""Sinks: partitioned datasets, request files, result tables and manifests."""
+"""Sinks: datasets by config, request files, result tables, manifests and cards."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,15 +12,66 @@ def jsonl(df: DataFrame, path: str, *by: str) -> None:
     (df.write.partitionBy(*by) if by else df.write).mode("overwrite").json(path)
 
 
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Appends JSON lines, a file for each task; Spark's commit takes the place of a lock."""
+    df.write.mode("append").json(path)
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Appends CSV files with a header each; Spark's commit keeps a failed attempt out."""
     df.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
-def requests(df: DataFrame, path: str, model: str, url: str = "/v1/chat/completions") -> None:
-    """Batch request lines of df (custom_id, messages)."""
-    body = F.struct(F.lit(model).alias("model"), F.col("messages"))
-    df.select(F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body"))).alias("value")).write.mode("overwrite").text(path)
+def append_stream(stream: DataFrame, path: str, checkpoint: str):
+    """Rows of a stream appended as they finish, each micro-batch once; gives the query."""
+    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_rows(df, path)).start()
+
+
+def dataset(df: DataFrame, path: str, *by: str) -> None:
+    """Parquet, in a folder for each value of `by`."""
+    (df.write.partitionBy(*by) if by else df.write).mode("overwrite").parquet(path)
+
+
+def results(rates: DataFrame, folder: str, experiment: str) -> str:
+    """One CSV of hit rates, <folder>/<experiment>_newest_results; a row for each cell of a leaderboard, so one file will do."""
+    path = f"{folder}/{experiment}_newest_results"
+    order = ["model", "seq_len", "qtype"]
+    rates.select("seq_len", "qtype", "model", "hit").coalesce(1).sortWithinPartitions(*order).write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text as one file of that name, by Hadoop's file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _values(df: DataFrame, *leave: str) -> list:
+    rows = df.select(F.to_json(F.struct(*(c for c in df.columns if c not in leave)), {"ignoreNullFields": "false"}).alias("x")).collect()
+    return [json.loads(r.x) for r in rows]
+
+
+def json_array(df: DataFrame, path: str, order: str) -> int:
+    """One pretty JSON array in a single file: an export of a benchmark for programs that read nothing else, gathered by the driver. Larger data goes by jsonl(). Gives the number of rows."""
+    rows = _values(df.orderBy(order))
+    write_text(df.sparkSession, path, json.dumps(rows, ensure_ascii=False, indent=2))
+    return len(rows)
+
+
+def config_files(records: DataFrame, shots: DataFrame, folder: str) -> list[str]:
+    """test.json ({"access": "public", "data": [...]}) and shots.json ({"data": [...]}) of each config, config by config, gathered by the driver; records and shots have a column config. Gives the configs."""
+    spark = records.sparkSession
+    configs = [r.config for r in records.select("config").distinct().orderBy("config").collect()]
+    for config in configs:
+        data = _values(records.where(F.col("config") == config).orderBy("meta.id"), "config")
+        few = _values(shots.where(F.col("config") == config).orderBy("meta.id"), "config")
+        write_text(spark, f"{folder}/{config}/test.json", json.dumps({"access": "public", "data": data}, ensure_ascii=False, indent=2))
+        write_text(spark, f"{folder}/{config}/shots.json", json.dumps({"data": few}, ensure_ascii=False, indent=2))
+    return configs
 
 
 def summary(df: DataFrame) -> DataFrame:
@@ -26,6 +79,38 @@ def summary(df: DataFrame) -> DataFrame:
     return df.agg(F.array_sort(F.collect_set("config")).alias("configs"), F.count("*").alias("n"))
 
 
+def dataset_info(df: DataFrame, path: str, name: str, language: str, mode: str, version: str = "1.0.0") -> dict:
+    """The summary of a set of configs, written as dataset_info.json."""
+    row = summary(df).first()
+    info = {"name": name, "version": version, "language": language, "mode": mode, "tasks": row.configs, "total_samples": row.n}
+    write_text(df.sparkSession, f"{path}/dataset_info.json", json.dumps(info, indent=2))
+    return info
+
+
+def manifest(stats: DataFrame, path: str, **said) -> dict:
+    """eval_manifest.json: what was said of a run and its one row of statistics."""
+    row = stats.first()
+    out = {**said, "sample_stats": row.asDict() if row else None}
+    write_text(stats.sparkSession, f"{path}/eval_manifest.json", json.dumps(out, ensure_ascii=False, indent=2))
+    return out
+
+
+def dataset_card(configs: list[str], splits: tuple[str, ...] = ("test", "shots")) -> str:
+    """The YAML head of a dataset card: where the files of each split of each config are."""
+    lines = ["---", "configs:"]
+    for config in configs:
+        lines += [f"- config_name: {config}", "  data_files:"]
+        for split in splits:
+            lines += [f"  - split: {split}", f"    path: {config}/{split}-*"]
+    return "\n".join([*lines, "---", ""])
+
+
+def requests(df: DataFrame, path: str, model: str, url: str = "/v1/chat/completions") -> None:
+    """Batch request lines of df (custom_id, messages)."""
+    body = F.struct(F.lit(model).alias("model"), F.col("messages"))
+    df.select(F.to_json(F.struct("custom_id", F.lit("POST").alias("method"), F.lit(url).alias("url"), body.alias("body"))).alias("value")).write.mode("overwrite").text(path)
+
+
 def records(df: DataFrame, prefix: str, instruction: str) -> DataFrame:
     """Records (instruction, inputs, outputs, meta) and config <prefix>_<task>_<seq_len> of df (qid, task, qtype, seq_len, atype, context, question, answer)."""
     meta = F.struct(F.col("qid").cast("int").alias("id"), F.struct(F.col("task").alias("task_type"), "seq_len", "atype").alias("categories"))

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stepfold.operators.curation import padded_id
+
 SAMPLE = "qid string, seq_len int, qtype string, atype string, question string, answer string, sequence array<struct<step_id:int,rooms:map<string,array<string>>>>, metadata array<struct<step_id:int,rooms:map<string,boolean>>>, n_relevant_rooms_per_step array<int>, n_relevant_rooms int"
 LOG = "resps array<array<string>>, filtered_resps array<string>, target string, exact_match double, doc struct<inputs:struct<question:string>,meta:struct<id:int,atype:string,seq_len:int,categories:struct<task_type:string,seq_len:int,atype:string>>>"
+ANSWERS = "qid string, seq_len string, qtype string, atype string, question string, answer string, Predicted_Answer string"
 LEGACY_NAMES = {"Answer": "answer", "N_steps": "seq_len", "Type": "qtype"}
 
 
@@ -18,11 +24,30 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("n_relevant_rooms_per_step", steps).withColumn("n_relevant_rooms", F.coalesce("n_relevant_rooms", F.aggregate(steps, F.lit(0), lambda a, x: a + x)))
 
 
-def answer_files(spark: SparkSession, path: str) -> DataFrame:
-    """Answer CSVs, with the model from the file name (answers_ORG_NAME.csv) and old column names made new; malformed rows are dropped."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("mode", "DROPMALFORMED").csv(path)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"answers_(.*)\.csv$", 1)
-    return df.select("*", F.regexp_replace(name, "^([^_]*)_", "$1/").alias("model")).withColumnsRenamed(LEGACY_NAMES)
+def answer_files(spark: SparkSession, path: str, columns: str = ANSWERS) -> DataFrame:
+    """Answer CSVs, with the model from the file name (answers_ORG_NAME.csv) and old column names made new.
+
+    A line that doesn't fit the header stays, as a row whose column malformed holds it; count them, or see well_formed.
+    """
+    kinds: dict[tuple[str, ...], list[str]] = {}
+    for file in listed(spark, path):  # one file a model; of each only the first line is read here
+        kinds.setdefault(tuple(spark.read.option("header", True).csv(file).columns), []).append(file)
+    parts = []
+    for header, files in kinds.items():
+        schema = ", ".join(f"`{c}` string" for c in (*header, "malformed"))
+        reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").option("columnPruning", False)
+        name = F.regexp_extract(F.col("_metadata.file_name"), r"answers_(.*)\.csv$", 1)
+        parts.append(reader.csv(files).select("*", F.regexp_replace(name, "^([^_]*)_", "$1/").alias("model")).withColumnsRenamed(LEGACY_NAMES))
+    if not parts:
+        return spark.createDataFrame([], columns + ", malformed string, model string")
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+
+
+def well_formed(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows that fit their header, and how many do not."""
+    # Spark refuses a query of the malformed column alone, so another one of the file is counted with it
+    bad = df.agg(F.count("malformed"), F.count(F.coalesce(*(c for c in df.columns if c not in ("malformed", "model"))))).first()[0]
+    return df.where("malformed is null").drop("malformed"), bad
 
 
 def usable(df: DataFrame, column: str = "Predicted_Answer") -> DataFrame:
@@ -36,33 +61,111 @@ def sample_logs(spark: SparkSession, path: str, prefix: str = r"[a-z]+_\w+?") ->
     return df.select("*", F.regexp_extract(F.col("_metadata.file_name"), rf"samples_({prefix})_\d{{4}}", 1).alias("config"))
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """The files that a glob names, or those of a folder, in order of their names."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = list(fs.globStatus(at) or [])
+    if len(found) == 1 and found[0].isDirectory():
+        found = list(fs.listStatus(found[0].getPath()))
+    names = (x.getPath().toString() for x in found)
+    return sorted((f for f in names if f.rsplit("/", 1)[-1][0] not in "_."), key=lambda f: f.rsplit("/", 1)[-1])
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
-    """task, old_em of the newest results file by name."""
-    df = spark.read.schema("results map<string,map<string,string>>").option("multiLine", True).json(path).select("*", F.col("_metadata.file_name").alias("f"))
-    newest = df.agg(F.max_by("results", "f").alias("results"))
+    """task, old_em of the newest results file by name; the others aren't read. No rows without a file."""
+    files = listed(spark, path)
+    if not files:
+        return spark.createDataFrame([], "task string, old_em double")
+    newest = spark.read.schema("results map<string,map<string,string>>").option("multiLine", True).json(files[-1])
     return newest.select(F.explode("results").alias("task", "m")).select("task", F.col("m")["exact_match,scoring"].cast("double").alias("old_em"))
 
 
+def completed(spark: SparkSession, path: str) -> DataFrame:
+    """qid of the rows of output CSVs that are done: a prediction is there and isn't an error. No rows where no file is there yet."""
+    if not listed(spark, path):
+        return spark.createDataFrame([], "qid string")
+    return usable(answer_files(spark, path)).select(padded_id(F.col("qid")).alias("qid")).distinct()
+
+
+def in_context(spark: SparkSession, path: str | None) -> DataFrame:
+    """Few-shot examples, none (with a warning) where the file isn't there."""
+    if path and listed(spark, path):
+        return samples(spark, path)
+    if path:
+        warnings.warn(f"no in-context examples at {path}", stacklevel=2)
+    return spark.createDataFrame([], SAMPLE)
+
+
+def hub_dataset(spark: SparkSession, root: str, config: str, split: str) -> DataFrame:
+    """Parquet files of one config and split, under <root>/<config>/<split>*.parquet or <root>/<config>/<split>/."""
+    for pattern in (f"{root}/{config}/{split}", f"{root}/{config}/{split}*.parquet", f"{root}/{config}/{split}-*"):
+        if files := listed(spark, pattern):
+            return spark.read.parquet(*files)
+    raise FileNotFoundError(f"no split {split} of {config} under {root}")
+
+
+def external_scores(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
+    """Scores of other benchmarks: id and the columns of `names` (theirs: ours) as numbers, without rows that lack any; '.' in ids becomes '_'."""
+    df = spark.read.option("header", True).option("escape", '"').csv(path)
+    (first, ident), *rest = names.items()
+    scores = [F.col(f"`{a}`").try_cast("double").alias(b) for a, b in rest]
+    return df.select(F.replace(F.col(f"`{first}`"), F.lit("."), F.lit("_")).alias(ident), *scores).dropna()
+
+
 def sequences_csv(spark: SparkSession, path: str, chars: list[str]) -> DataFrame:
     """Wide sequence files, a row for each step, as state rows; seq is the file name."""
     df = spark.read.schema(", ".join(f"`{c}` string" for c in chars)).option("header", True).csv(path)
-    df = df.select("*", F.col("_metadata.file_name").alias("seq"), (F.row_number().over(_in_file()) - F.lit(0)).alias("step_id"))
+    df = df.select("*", F.col("_metadata.file_name").alias("seq")).select("*", F.row_number().over(_in_file()).alias("step_id"))
     return df.select("seq", "step_id", F.posexplode(F.array(*(F.struct(F.lit(c).alias("ch"), F.col(c).alias("room")) for c in chars))).alias("ch_ord", "x")).select("seq", "step_id", "ch_ord", "x.*")
 
 
 def _in_file():
     from pyspark.sql import Window
 
-    return Window.partitionBy(F.col("_metadata.file_name")).orderBy(F.monotonically_increasing_id())
+    return Window.partitionBy("seq").orderBy(F.monotonically_increasing_id())
+
+
+def with_sequences(questions: DataFrame, sequences: DataFrame, path: str = "sequence_path") -> DataFrame:
+    """Question rows with the sequence of the file that each names: an array of (step_id, map of character to room), null where the file isn't there."""
+    steps = sequences.groupBy("seq", "step_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ch", "room")))).alias("rooms"))
+    whole = steps.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("step_id", F.map_entries("rooms").alias("e")))).alias("s"))
+    whole = whole.select("seq", F.transform("s", lambda x: F.struct(x["step_id"].alias("step_id"), F.map_from_entries(x["e"]).alias("at"))).alias("sequence"))
+    return questions.join(whole, F.substring_index(F.col(path), "/", -1) == F.col("seq"), "left").drop("seq")
+
+
+#: The start of every PNG file, and a black picture of one pixel that stands for one that can't be read.
+PNG = "89504E470D0A1A0A"
+DUMMY = "iVBORw0KGgoAAAANSUhEUgAAAAEAAAABCAAAAAA6fptVAAAACklEQVR4nGNgAAAAAgABSK+kcQAAAABJRU5ErkJggg=="
+
+
+def image_files(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
+    """path, content of the images under a folder."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """folder, frames: data URLs of the frames of each folder in order."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
-    rows = df.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "path", F.concat(F.lit("data:image/png;base64,"), F.base64("content")).alias("url"))
+    """folder, frames: data URLs of the frames of each folder in order; a file that is no PNG counts as a dummy."""
+    df = image_files(spark, path)
+    good = F.startswith(F.hex("content"), F.lit(PNG))
+    url = F.concat(F.lit("data:image/png;base64,"), F.when(good, F.base64("content")).otherwise(DUMMY))
+    rows = df.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("folder"), "path", url.alias("url"))
     return rows.groupBy("folder").agg(F.array_sort(F.collect_list(F.struct("path", "url"))).alias("x")).select("folder", F.transform("x", lambda e: e["url"]).alias("frames"))
 
 
+def with_images(rows: DataFrame, files: DataFrame, key: str, paths: str = "images") -> tuple[DataFrame, int]:
+    """`rows` with contents, the images that each names in order, without those that aren't there; and how many aren't."""
+    each = rows.select(key, F.posexplode(paths).alias("nth", "path"))
+    named = files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("name"), "content")
+    joined = each.withColumn("name", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)).join(named, "name", "left")
+    missing = joined.where("content is null").count()
+    if missing:
+        warnings.warn(f"{missing} images are missing and skipped", stacklevel=2)
+    got = joined.where("content is not null").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", "content"))).alias("x"))
+    got = got.select(key, F.transform("x", lambda e: e["content"]).alias("contents"))
+    return rows.join(got, key, "left"), missing
+
+
 def text_steps(line: F.Column) -> F.Column:
     """Steps of the old text form 'Step N: Room: [a, b]; ...', one a line; raises on a malformed line."""
 
