@@ -7,8 +7,11 @@ entity and P(e | t) that of the texts with the term which hold both, wherever th
 SUPPORT distinct texts hold along with the entity and that reaches DISCLOSURE is generalised wherever it stands; so
 are the base spans.
 
-Co-occurrence and the counts of terms take every text; equal texts count once. Null text is empty and has no spans.
-Repeated rows are rows of their own: rows in as rows out. With no base span anywhere there are no terms.
+Co-occurrence, the counts of terms and their total take every text; equal texts count once. Texts are told by 128 bits
+of hashes. Terms are counted over the corpus before they are joined with anything. Null text is empty and has no spans.
+Repeated rows are rows of their own: rows in as rows out. With no base span anywhere there are no terms. Overlapping
+spans of several kinds all stay in the report; in the sanitised text the first, then the longest, then the kind listed
+first counts. Texts of any length are scanned whole. Columns are carried under other names, so theirs may be any.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import Scratch, settled
+from stepfold.llm.common import Scratch, columns, settled
 from stepfold.llm.spans import SPANS, hits, located, only_if, text_of
 
 #: Fixed patterns of the base scan, as Java regular expressions that never backtrack.
@@ -51,10 +54,15 @@ def _phone(value: Column, _: Column) -> Column:
     return F.length(F.regexp_replace(value, "[^0-9]", "")).between(9, 15)
 
 
+def _hashes() -> tuple[Column, Column]:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.xxhash64(text).alias("t"), F.xxhash64(F.lit("second"), text).alias("u")
+
+
 def with_spans(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """The carried columns, text, t (a hash of the text) and the base spans by kind: email, ip, card, phone."""
+    """The carried columns, text, t and u (hashes of the text) and the base spans by kind: email, ip, card, phone."""
     text, digits = F.col("text"), F.col("text").rlike("[0-9]")
-    rows = docs.select(*carried, F.xxhash64("text").alias("t"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(*carried, *_hashes(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     patterns = {"email": (EMAIL, text.contains("@"), None), "ip": (IP, digits & text.contains("."), lambda x, _: x.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")), "card": (CARD, digits, _card), "phone": (PHONE, text.contains("+"), _phone)}
     for kind, (pattern, when, _) in patterns.items():
         rows = settled(rows, f"_{kind}", only_if(when, hits(text, pattern)))
@@ -71,12 +79,12 @@ def _flat(rows_of: tuple[str, ...] = KINDS[:4]) -> Column:
 
 
 def mentions(rows: DataFrame) -> DataFrame:
-    """t, entities, terms of each distinct text with entities: these as hashes, and all terms outside the base spans."""
+    """t, u, entities, terms of each distinct text with entities: these as hashes, and all terms outside the base spans."""
     some = rows.withColumn("all", _flat()).where(F.size("all") > 0)
     blank = F.aggregate("all", F.col("text"), lambda text, x: F.overlay(text, F.repeat(F.lit(" "), x["end"] - x["start"]), x["start"] + 1, x["end"] - x["start"]))
     some = settled(some, "masked", blank)
     entities = F.array_distinct(F.transform("all", lambda x: F.xxhash64(x["kind"], F.lower(x["value"]))))
-    return some.select("t", entities.alias("entities"), F.array_distinct(hits(F.lower("masked"), TERM)).alias("terms")).dropDuplicates(["t"])
+    return some.select("t", "u", entities.alias("entities"), F.array_distinct(hits(F.lower("masked"), TERM)).alias("terms")).dropDuplicates(["t", "u"])
 
 
 def _each_term() -> Column:
@@ -84,19 +92,22 @@ def _each_term() -> Column:
 
 
 def _held(docs: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
-    """t, term of the documents that hold any of these terms."""
-    words = docs.select(F.xxhash64("text").alias("t"), _each_term())
+    """t, u, term of the documents that hold any of these terms."""
+    words = docs.select(*_hashes(), _each_term())
     return words.join(F.broadcast(terms) if small else terms, "term")
 
 
-def term_counts(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """term, n_term: the distinct texts that hold each term. Only texts that repeat keep their hash beside a term, so others add up before the shuffle."""
-    again = scratch.write(docs.groupBy(F.xxhash64("text").alias("u")).count().where(F.col("count") > 1).select("u"), "repeated")
-    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    marked = docs.select("text", F.xxhash64("text").alias("t")).join(again, F.col("t") == F.col("u"), "left")
-    words = marked.select("u", _each_term())
-    each = words.groupBy("term", "u").agg(F.count("*").alias("n"))
-    return each.groupBy("term").agg(F.sum(F.when(F.col("u").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
+def repeated_texts(docs: DataFrame) -> DataFrame:
+    """t, u, m of each text that m > 1 rows hold."""
+    return docs.select(*_hashes()).groupBy("t", "u").agg(F.count("*").alias("m")).where("m > 1")
+
+
+def term_counts(docs: DataFrame, again: DataFrame) -> DataFrame:
+    """term, n_term: the distinct texts that hold each term. Only texts that repeat (`again`: t, u) keep their hashes beside a term, so others add up before the shuffle."""
+    marks = again.select("t", "u", F.col("t").alias("v"), F.col("u").alias("w"))
+    words = docs.select("text", *_hashes()).join(marks, ["t", "u"], "left").select("v", "w", _each_term())
+    each = words.groupBy("term", "v", "w").agg(F.count("*").alias("n"))
+    return each.groupBy("term").agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
 
 
 def revealing(spark: SparkSession, docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -105,16 +116,21 @@ def revealing(spark: SparkSession, docs: DataFrame, rows: DataFrame, scratch: Sc
     # an entity in fewer texts than SUPPORT has no term in as many
     entities = scratch.write(held.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
     some = entities.select("e")
-    of_text = held.select("t", F.explode("entities").alias("e")).join(F.broadcast(some) if entities.count() <= BROADCAST_ROWS else some, "e")
-    of_text = of_text.groupBy("t").agg(F.collect_list("e").alias("es"))
-    each = held.select("t", "terms").join(of_text, "t").select("es", F.explode("terms").alias("term")).select("term", F.explode("es").alias("e"))
+    of_text = held.select("t", "u", F.explode("entities").alias("e")).join(F.broadcast(some) if entities.count() <= BROADCAST_ROWS else some, "e")
+    of_text = of_text.groupBy("t", "u").agg(F.collect_list("e").alias("es"))
+    each = held.select("t", "u", "terms").join(of_text, ["t", "u"]).select("es", F.explode("terms").alias("term")).select("term", F.explode("es").alias("e"))
     pairs = scratch.write(each.groupBy("term", "e").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "pairs")
-    total = docs.count()
-    told = pairs.join(term_counts(docs, scratch), "term").join(entities, "e")
+    again = scratch.write(repeated_texts(docs), "repeated")
+    rows_again, texts_again = again.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count("*")).first()
+    total = docs.count() - rows_again + texts_again
+    counts = term_counts(docs, F.broadcast(again) if texts_again <= BROADCAST_ROWS else again)
+    told = pairs.join(counts, "term").join(entities, "e")
     share = F.col("n_e") / F.lit(float(max(total, 2)))
     # a term beside an entity counts at least there
     disclosure = 1 + F.log(F.col("both") / F.greatest("n_term", "both")) / -F.log(F.least(share, F.lit(0.5)))
-    return scratch.write(told.select("term", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
+    out = scratch.write(told.select("term", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
+    scratch.drop(held, entities, pairs, again)
+    return out
 
 
 def find(spark: SparkSession, docs: DataFrame, carried: list[str]) -> DataFrame:
@@ -122,17 +138,17 @@ def find(spark: SparkSession, docs: DataFrame, carried: list[str]) -> DataFrame:
     scratch = Scratch(spark, "pii")
     rows = with_spans(docs, carried)
     terms = revealing(spark, docs, rows, scratch)
-    held = _held(docs, terms.select("term"), terms.count() <= BROADCAST_ROWS).groupBy("t").agg(F.collect_set("term").alias("terms"))
-    held = scratch.write(held.select(F.col("t").alias("u"), "terms"), "held")
+    held = _held(docs, terms.select("term"), terms.count() <= BROADCAST_ROWS).groupBy("t", "u").agg(F.collect_set("term").alias("terms"))
+    held = scratch.write(held, "held")
     if held.count() <= BROADCAST_ROWS:
         held = F.broadcast(held)
-    told = rows.join(held, F.col("t") == F.col("u"), "left")
+    told = rows.join(held, ["t", "u"], "left")
     text = F.col("text")
     told = settled(told, "_term", only_if(F.col("terms").isNotNull(), hits(text, TERM)))
     told = settled(told, "_terms", located(text, TERM, F.col("_term"), keep=lambda x, _: F.array_contains("terms", F.lower(x))))
     told = settled(told, "base", _flat())
     apart = F.filter("_terms", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return told.withColumn("term", F.coalesce(apart, F.array().cast(SPANS))).drop("u", "terms", "_term", "_terms", "base")
+    return told.withColumn("term", F.coalesce(apart, F.array().cast(SPANS))).drop("terms", "_term", "_terms", "base")
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
@@ -152,7 +168,7 @@ def sanitised(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """`docs` with each span in text generalised to its kind in angle brackets; of overlapping spans the first, then the longest, counts. Other columns stay, null text too."""
     names = docs.columns
     carried = [f"_{i}" for i in range(len(names))]
-    found = find(spark, docs.select(*(F.col(c).alias(x) for c, x in zip(names, carried, strict=True)), "text"), carried)
+    found = find(spark, docs.select(*(c.alias(x) for c, x in zip(columns(docs), carried, strict=True)), "text"), carried)
     spans = F.array_sort(_flat(KINDS), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
 
     def step(acc: Column, x: Column) -> Column:

@@ -84,20 +84,20 @@ def base(text):
 
 
 def revealing(texts):
-    n, near, terms, entities = len(texts), defaultdict(set), defaultdict(set), defaultdict(set)
-    for text in set(t or "" for t in texts):
+    """Terms by co-occurrence in whole texts; equal texts count once, also in the total."""
+    texts = {t or "" for t in texts}
+    near, terms, entities = defaultdict(set), defaultdict(set), defaultdict(set)
+    for text in texts:
         for w in set(TERM.findall(text.lower())):
             terms[w].add(text)
         own, masked = base(text), text
         for _, a, b, _ in own:
             masked = masked[:a] + " " * (b - a) + masked[b:]
-        for k, a, b, v in own:
+        for k, _, _, v in own:
             entities[k, v.lower()].add(text)
-            left = re.sub(r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ", masked[max(0, a - pii.CONTEXT) : a])
-            right = re.sub(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+$", " ", masked[b : b + pii.CONTEXT])
-            for w in TERM.findall((left + " " + right).lower()):
+            for w in TERM.findall(masked.lower()):
                 near[w, (k, v.lower())].add(text)
-    return {w for (w, e), both in near.items() if len(both) >= pii.SUPPORT and 1 + math.log(len(both) / max(len(terms[w]), len(both))) / -math.log(min(0.5, len(entities[e]) / max(n, 2))) >= pii.DISCLOSURE}
+    return {w for (w, e), both in near.items() if len(both) >= pii.SUPPORT and 1 + math.log(len(both) / max(len(terms[w]), len(both))) / -math.log(min(0.5, len(entities[e]) / max(len(texts), 2))) >= pii.DISCLOSURE}
 
 
 def test_personal_data(spark):

@@ -11,7 +11,7 @@ from .test_native import TERM, base
 
 
 def brute(texts):
-    n, both, terms, entities = len(texts), defaultdict(set), defaultdict(set), defaultdict(set)
+    n, both, terms, entities = len({t or "" for t in texts}), defaultdict(set), defaultdict(set), defaultdict(set)
     for text in set(t or "" for t in texts):
         for w in set(TERM.findall(text.lower())):
             terms[w].add(text)
