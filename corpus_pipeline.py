@@ -87,10 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage; of each stage only its table stays, until the next one is written."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
+        mark = Scratch.mark()
         out = scratch.write(stage(spark, docs, sf_dir), name)
+        Scratch.release(mark)
         if k:
             scratch.drop(docs)
         docs = out

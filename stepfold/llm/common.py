@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -47,13 +49,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 #: Lets Spark remove the shuffle files of a query that has ended.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch while a table is written: ten thousand whole texts at once would be tens of megabytes for each task.
+BATCH_ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 class Scratch:
-    """Intermediate tables in the shared folder. They survive lost executors; drop() frees their disk."""
+    """Intermediate tables in the shared folder. They survive lost executors; drop() frees their disk, and what is left goes with release() or when the driver ends."""
+
+    _open: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        if not Scratch._open:
+            atexit.register(Scratch.release)
+        Scratch._open.append(self)
+
+    @classmethod
+    def mark(cls) -> int:
+        return len(cls._open)
+
+    @classmethod
+    def release(cls, mark: int = 0) -> None:
+        """Removes all tables that were made since the mark. Nothing may read them any more."""
+        for x in cls._open[mark:]:
+            with contextlib.suppress(Exception):  # the session may have ended
+                x._delete(x.root)
+        del cls._open[mark:]
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -62,12 +83,15 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         # what led to the table isn't needed once it is written, so Spark may remove its shuffle files then
-        old = self.spark.conf.get(SHUFFLE_CLEANUP, "false")
-        self.spark.conf.set(SHUFFLE_CLEANUP, "true")
+        held = {SHUFFLE_CLEANUP: "true", BATCH_ROWS: str(min(BATCH, int(self.spark.conf.get(BATCH_ROWS))))}
+        old = {k: self.spark.conf.get(k, "false") for k in held}
+        for k, v in held.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(SHUFFLE_CLEANUP, old)
+            for k, v in old.items():
+                self.spark.conf.set(k, v)
         return self.read(path, df)
 
     def read(self, path: str, like: DataFrame) -> DataFrame:
@@ -76,10 +100,12 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
+
+    def _delete(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words_of(text: Column) -> Column:

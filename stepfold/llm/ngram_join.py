@@ -318,8 +318,9 @@ def join(spark: SparkSession, docs: DataFrame, size: int = 5, percent: int = 80,
     for turn in range(ROUNDS + 2):
         told = shared.join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # of two members the one pair is tested already
-        mixed = told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key")
+        mixed = scratch.write(told.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high and m > 2").select("key"), "mixed")
         left = scratch.write(told.join(mixed, "key"), "left")
+        scratch.drop(mixed)
         if turn < ROUNDS:
             # a member of the component of the most shared one leads those outside it; it is the same in most buckets
             top = left.groupBy("key").agg(F.max_by("component", F.struct("degree", -F.col("component"))).alias("top"))
