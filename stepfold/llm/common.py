@@ -83,8 +83,8 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = self.path(name)
         # what led to the table isn't needed once it is written, so Spark may remove its shuffle files then
-        held = {SHUFFLE_CLEANUP: "true", BATCH_ROWS: str(min(BATCH, int(self.spark.conf.get(BATCH_ROWS))))}
-        old = {k: self.spark.conf.get(k, "false") for k in held}
+        old = {SHUFFLE_CLEANUP: self.spark.conf.get(SHUFFLE_CLEANUP, "false"), BATCH_ROWS: self.spark.conf.get(BATCH_ROWS)}
+        held = {SHUFFLE_CLEANUP: "true", BATCH_ROWS: str(min(BATCH, int(old[BATCH_ROWS])))}
         for k, v in held.items():
             self.spark.conf.set(k, v)
         try:
