@@ -311,3 +311,18 @@ def test_states_of_moves_agree(spark):
     a, b = state_of_moves(moves), forward_filled(moves, 9)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
     assert sequences(a, ["K", "G", "O"]).count() == 6
+
+
+def test_dense_answers_agree_with_the_questions(spark):
+    from stepfold.model import LEADERBOARD_TASKS
+    from stepfold.operators.questions import QUESTIONS
+    from stepfold.plans.outputs import dense_answers
+    from stepfold.plans.state import World
+
+    for length in (2, 7, 70):
+        config = GenerationConfig(seq_lengths=[length])
+        state = generate.states(spark, 25, length, config)
+        w = World(state, generate.random_params(state, length, config, 0.7, n_crowd=2), length)
+        got = {(r.seq_id, r.qtype): r.answer for r in dense_answers(w).collect()}
+        want = {(r.seq_id, q): r.answer for q in LEADERBOARD_TASKS for r in QUESTIONS[q](w)[0].where("valid").collect()}
+        assert got == want
