@@ -43,7 +43,7 @@ def run_benchmark(a: argparse.Namespace, spark: SparkSession) -> int:
     few = _no_shots(recs)
     if a.n_few_shot:
         examples = generate.in_context_examples(spark, config, a.n_few_shot, tuple(n for n in (8, 16) if n <= a.few_shot_max_len) or (8,))
-        few = records.attached_shots(recs, records.shot_records(curation.indexed(examples, ["example_id"])), a.n_few_shot, whole_pool=False)
+        few = records.attached_shots(recs, records.shot_records(curation.indexed(examples, ["example_id"])), a.n_few_shot, whole_pool=False, prefix=a.prefix)
     sinks.config_files(recs, few, a.output_dir)
     print(json.dumps(sinks.dataset_info(recs, a.output_dir, a.prefix, a.language, a.mode), ensure_ascii=False))
     return 0

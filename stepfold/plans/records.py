@@ -202,9 +202,9 @@ def shot_records(examples: DataFrame) -> DataFrame:
     return examples.select(cyclic_prompt(F.col("idx")).alias("instruction"), inputs.alias("inputs"), F.col("answer").cast("string").alias("outputs"), meta.alias("meta"))
 
 
-def attached_shots(configs: DataFrame, shots: DataFrame, k: int = 5, whole_pool: bool = True) -> DataFrame:
+def attached_shots(configs: DataFrame, shots: DataFrame, k: int = 5, whole_pool: bool = True, prefix: str = "rooms") -> DataFrame:
     """config with up to k shots of its task, by id; for a task without shots the first k of all, or none."""
-    named = configs.select("config").distinct().withColumns(task_of_config(F.col("config"))).select("config", "task")
+    named = configs.select("config").distinct().withColumns(task_of_config(F.col("config"), prefix)).select("config", "task")
     own = first_per(shots.withColumn("task", F.col("meta.categories.task_type")), k, ["task"], "meta.id")
     found = named.join(own, "task")
     if whole_pool:
