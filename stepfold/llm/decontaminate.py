@@ -10,7 +10,10 @@ With more, shingles and candidates are joined by shuffles, in which adaptive exe
 
 Words are runs of ASCII letters and digits and of any character beyond ASCII, with A-Z in lower case. Null or empty
 text has no words and no windows. Items that share an item_id are one item; a null item_id is the item 'null'.
-Repeated documents are rows of their own: rows in as rows out. With no item, nothing is contaminated.
+Repeated documents are rows of their own: rows in as rows out. With no item, nothing is contaminated. Of shingles that
+are equally rare the one with the least hash, then the first of a window leads. Texts of any length are taken whole.
+Occurrences go by doc_id and a hash of the text, so that rows with one doc_id and different texts are kept apart. Only
+doc_id, item_id and text are read, so other columns of any name do not matter.
 """
 
 from __future__ import annotations

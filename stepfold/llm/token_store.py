@@ -11,6 +11,8 @@ decodes a block without branching on values.
 
 Null text is an empty document (its end id alone). Rows that repeat a doc_id are documents of their own; ties are
 ordered by their number of ids, then by the ids. A null doc_id comes first. An empty table gives an empty store.
+A text of any length is one document, in a block of its own if it has more ids than a block. Only doc_id and text are
+read, so other columns of any name do not matter. The counts that ranks come from are made while texts are encoded.
 """
 
 from __future__ import annotations
