@@ -61,8 +61,8 @@ def language_of(code: str) -> str:
     return "ru" if code == "ru" else "en"
 
 
-def question(qtype: str, language: str = "en", length: int | None = None) -> Column:
-    """The text of a query for bindings c0, c1, r0, r1, frame, is_more, f0, f1, n_crowd. With `length`, a range of all steps isn't said."""
+def question(qtype: str, language: str = "en", length: int | None = None, whole: bool = False) -> Column:
+    """The text of a query for bindings c0, c1, r0, r1, frame, is_more, f0, f1, n_crowd. With `length`, a range of all steps isn't said; with `whole`, none is."""
     ru = language == "ru"
 
     def piece(spec: str) -> Column:
@@ -70,6 +70,8 @@ def question(qtype: str, language: str = "en", length: int | None = None) -> Col
         if forms:
             return F.when(F.col(name) if name == "is_more" else ~F.col(name).isin(FEMALE), forms[0]).otherwise(forms[1])
         if name == "e":
+            if whole:
+                return F.lit("?")
             said = rendered(BETWEEN[ru])
             return said if length is None else F.when((F.col("f0") == 1) & (F.col("f1") == length), "?").otherwise(said)
         if ru and name[0] in "cr" and name[1:].isdigit():

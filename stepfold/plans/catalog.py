@@ -299,4 +299,5 @@ def rw_scores(spark, sf_dir):
 
 @query(None)
 def gen_questions(spark, sf_dir):
-    return generate.questions(spark, GenerationConfig(seq_lengths=[4, 8], n_questions=5, question_types=["spend_alone", "first_app", "n_empty"]))
+    """Question sets of the default configuration: 50 of each of 24 types at 8 lengths."""
+    return generate.questions(spark, GenerationConfig()).drop("seq_id")
