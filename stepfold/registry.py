@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stepfold.operators.questions import DENSE, QUESTIONS
-from stepfold.plans import catalog, question_sql, reports
+from stepfold.plans import catalog, files, question_sql, reports
 from stepfold.plans.state import World, world_of_events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +32,6 @@ for _q in QUESTIONS:
         QUERIES[f"q_{_name}"], ORACLE_SQL[f"q_{_name}"] = _question(_q, 0, _ranged), question_sql.answer_sql(_q, _ranged)
         QUERIES[f"prov_{_name}"], ORACLE_SQL[f"prov_{_name}"] = _question(_q, 1, _ranged), question_sql.cells_sql(_q, _ranged)
 
-assert reports.query is catalog.query  # the reports add themselves to the catalogue
+assert reports.query is files.query is catalog.query  # these modules add themselves to the catalogue
 QUERIES |= catalog.QUERIES
 ORACLE_SQL |= catalog.ORACLE_SQL
