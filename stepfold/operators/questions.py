@@ -57,7 +57,7 @@ def char_at_frame(world: World) -> Result:
 
 def at_room(world: World, inv: bool, strict_reference: bool = False) -> Result:
     """strict_reference also rejects a sole occupant at the first (last) step of a sequence without any shared step in the room."""
-    seen = world.occ.join(world.param, "seq_id").where("room = r0").groupBy("seq_id").agg(_end(inv)(F.struct("step_id", "room", "n", "who"), "step_id").alias("x"), F.max("n").alias("most")).select("seq_id", "most", "x.*")
+    seen = world.with_param(world.occ).where("room = r0").groupBy("seq_id").agg(_end(inv)(F.struct("step_id", "room", "n", "who"), "step_id").alias("x"), F.max("n").alias("most")).select("seq_id", "most", "x.*")
     ok = F.coalesce(F.col("n"), F.lit(1)) == 1
     if strict_reference:
         edge = F.col("step_id") == (world.length if inv else 1)
@@ -75,7 +75,7 @@ def _sole(world: World, at: DataFrame) -> DataFrame:
 
 
 def _on_char(world: World, inv: bool) -> tuple[DataFrame, DataFrame]:
-    at = _occupants(world, _event(world, "c0", "r1", inv).join(world.param, "seq_id"), "r0")
+    at = _occupants(world, world.with_param(_event(world, "c0", "r1", inv)), "r0")
     return at, _cells(at.select("seq_id", "step_id", F.col("r0").alias("room")), at.select("seq_id", "step_id", F.col("r1").alias("room")))
 
 
@@ -140,13 +140,13 @@ def _counted(world: World, names: tuple[str, ...], key: str, hits: DataFrame) ->
 
 
 def _extreme(world: World, counts: DataFrame, key: str, most: Column | None = None, allowed: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    found = unique_extremum(counts, key, F.col("is_more") if most is None else most)
+    """Answers, and those that are valid with their bindings. counts has every sequence, so none is missing from the answers."""
+    found = world.with_param(unique_extremum(counts, key, F.col("is_more") if most is None else most))
     ok = F.col("n_tied") == 1
     if allowed is not None:
-        found = found.join(world.param, "seq_id")
         ok = ok & allowed
-    answers = _answers(world, found.drop(*(c for c in found.columns if c not in ("seq_id", "answer", "n_tied", "is_more", "f0", "f1"))), F.col("answer"), ok)
-    return answers, answers.where("valid").join(world.param, "seq_id")
+    answers = found.select("seq_id", F.when(ok, F.col("answer").cast("string")).alias("answer"), ok.alias("valid"))
+    return answers, found.where(ok)
 
 
 def _steps(of: DataFrame, room: str) -> DataFrame:
@@ -154,7 +154,7 @@ def _steps(of: DataFrame, room: str) -> DataFrame:
 
 
 def room_empty(world: World) -> Result:
-    used = _in_range(world.occ.join(world.param, "seq_id")).select("seq_id", "room")
+    used = _in_range(world.with_param(world.occ)).select("seq_id", "room")
     counts = _counted(world, world.rooms, "room", used).withColumn("n", F.col("f1") - F.col("f0") + 1 - F.col("n"))
     answers, won = _extreme(world, counts, "room")
     return answers, _cells(_steps(won, "answer"))
@@ -168,7 +168,7 @@ def where_spend(world: World) -> Result:
 
 
 def crowded_room(world: World) -> Result:
-    crowds = _in_range(world.occ.join(world.param, "seq_id")).where("n >= n_crowd").select("seq_id", "step_id", "room")
+    crowds = _in_range(world.with_param(world.occ)).where("n >= n_crowd").select("seq_id", "step_id", "room")
     answers, won = _extreme(world, _counted(world, world.rooms, "room", crowds.select("seq_id", "room")), "room", F.lit(True))
     return answers, _cells(crowds.join(won.select("seq_id", F.col("answer").alias("room")), ["seq_id", "room"]))
 
@@ -180,7 +180,7 @@ def who_spend(world: World) -> Result:
 
 
 def spend_alone(world: World) -> Result:
-    alone = _in_range(world.occ.where("n = 1").join(world.param, "seq_id")).select("seq_id", "step_id", "room", F.col("who").alias("ch"))
+    alone = _in_range(world.with_param(world.occ.where("n = 1"))).select("seq_id", "step_id", "room", F.col("who").alias("ch"))
     answers, won = _extreme(world, _counted(world, world.chars, "ch", alone.select("seq_id", "ch")), "ch", allowed=F.col("is_more") | (F.col("f1") - F.col("f0") >= 2))
     return answers, _cells(alone.join(won.select("seq_id", F.col("answer").alias("ch")), ["seq_id", "ch"]))
 
@@ -203,7 +203,7 @@ def rooms_visited(world: World) -> Result:
 
 
 def crowd_count(world: World) -> Result:
-    crowds = _in_range(world.occ.join(world.param, "seq_id")).where("n >= n_crowd")
+    crowds = _in_range(world.with_param(world.occ)).where("n >= n_crowd")
     return _answers(world, crowds.groupBy("seq_id").agg(F.countDistinct("step_id").alias("n")), F.coalesce("n", F.lit(0)), F.lit(True)), _cells(crowds)
 
 

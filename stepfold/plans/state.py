@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,47 +55,53 @@ def state_of_events(events: DataFrame, length: int = 32) -> DataFrame:
     return state_of_moves(moves_of_events(events, length))
 
 
-def params_of(sequences: DataFrame, length: int, ranged: bool = False, n_crowd: int = 3) -> DataFrame:
-    """Bindings of every sequence as data: two characters, two rooms, a step, most or least, a range of steps.
-
-    `sequences` needs a column seq_id; moves will do, so that no state is computed for it.
-    """
+def binding_columns(length: int, ranged: bool = False, n_crowd: int = 3) -> dict[str, Column]:
+    """Bindings of a sequence as data, by its id alone: two characters, two rooms, a step, most or least, a range of steps."""
     s, c, r = F.col("seq_id"), len(CHARS), len(ROOMS)
     c0, r0 = s % c, s % r
     c1 = (c0 + 1 + F.floor(s / c) % (c - 1)) % c
     r1 = (r0 + 1 + F.floor(s / r) % (r - 1)) % r
-    return sequences.select("seq_id").distinct().select(
-        "seq_id",
-        named(c0, CHARS).alias("c0"),
-        named(c1, CHARS).alias("c1"),
-        named(r0, ROOMS).alias("r0"),
-        named(r1, ROOMS).alias("r1"),
-        (s * 7 % length + 1).cast("int").alias("frame"),
-        (s % 2 == 0).alias("is_more"),
-        (s % 8 + 1 if ranged else F.lit(1)).cast("int").alias("f0"),
-        (length - s % 5 if ranged else F.lit(length)).cast("int").alias("f1"),
-        F.lit(n_crowd).alias("n_crowd"),
-    )
+    return {
+        "c0": named(c0, CHARS),
+        "c1": named(c1, CHARS),
+        "r0": named(r0, ROOMS),
+        "r1": named(r1, ROOMS),
+        "frame": (s * 7 % length + 1).cast("int"),
+        "is_more": s % 2 == 0,
+        "f0": (s % 8 + 1 if ranged else F.lit(1)).cast("int"),
+        "f1": (length - s % 5 if ranged else F.lit(length)).cast("int"),
+        "n_crowd": F.lit(n_crowd),
+    }
+
+
+def params_of(sequences: DataFrame, length: int, ranged: bool = False, n_crowd: int = 3) -> DataFrame:
+    """Bindings of every sequence. `sequences` needs a column seq_id; moves will do, so that no state is computed for it."""
+    return sequences.select("seq_id").distinct().withColumns(binding_columns(length, ranged, n_crowd))
 
 
 def world_of_events(events: DataFrame, length: int = 32, ranged: bool = False) -> World:
     moves = moves_of_events(events, length)
-    return World(state_of_moves(moves), params_of(moves, length, ranged), length)
+    return World(state_of_moves(moves), params_of(moves, length, ranged), length, bind=lambda df: df.withColumns(binding_columns(length, ranged)))
 
 
 @dataclass(frozen=True)
 class World:
-    """State, bindings and dimensions that every query is asked of."""
+    """State, bindings and dimensions that every query is asked of. Where bindings follow from the id alone, `bind` adds them to a table without a join."""
 
     state: DataFrame
     param: DataFrame
     length: int = 32
     chars: tuple[str, ...] = tuple(CHARS)
     rooms: tuple[str, ...] = tuple(ROOMS)
+    bind: Callable[[DataFrame], DataFrame] | None = None
+
+    def with_param(self, rows: DataFrame) -> DataFrame:
+        """`rows` (seq_id, ...) with the bindings of their sequences."""
+        return self.bind(rows) if self.bind else rows.join(self.param, "seq_id")
 
     @property
     def bound(self) -> DataFrame:
-        return self.state.join(self.param, "seq_id")
+        return self.with_param(self.state)
 
     @property
     def occ(self) -> DataFrame:
