@@ -8,46 +8,216 @@ from pyspark.sql import functions as F
 from stepfold.model import CHARS, LEADERBOARD_LENGTHS, LEADERBOARD_TASKS, NOBODY, ROOMS, RU_NOBODY, TASKS
 from stepfold.operators.curation import first_per
 
-# The instructions of records, by language, and the ten Russian prompts that published sets go through.
-_TEXT = {
-    ("en", "text"): "The JSON step sequence shows which characters are located in which rooms.",
-    ("en", "image"): "The image sequence shows character positions in rooms at each step.",
-    ("ru", "text"): "Последовательность шагов в формате JSON показывает, какие персонажи находятся в каких комнатах.",
-    ("ru", "image"): "Последовательность изображений показывает расположение персонажей в комнатах на каждом шаге.",
-}
-_FRAME = {
-    "en": "Task:\n{task}\n\nContext:\n{intro}\n{{context}}\n\nAnswer format:\n{form}\n\nQuestion:\n{{question}}\n\nAnswer:",
-    "ru": "Задача:\n{task}\n\nКонтекст:\n{intro}\n{{context}}\n\nФормат ответа:\n{form}\n\nВопрос:\n{{question}}\n\nОтвет:",
-}
-_ASKED = {
-    "en": ("Analyze the character movements and room positions across the steps.", "Answer with one word or one number using the format: Answer: X"),
-    "ru": ("Проанализируй перемещения и расположение персонажей по шагам.", "Ответь одним словом или одним числом в формате: Ответ: X"),
+# The instructions of records, by language and kind of context, and the ten Russian prompts that published sets go through.
+INSTRUCTIONS = {
+    ("en", "text"): """Task:
+Analyze the character movements and room positions across the steps.
+
+Context:
+The JSON step sequence shows which characters are located in which rooms.
+{context}
+
+Answer format:
+Answer with one word or one number using the format: Answer: X
+
+Question:
+{question}
+
+Answer:""",
+    ("en", "image"): """Task:
+Analyze the character movements and room positions across the steps.
+
+Context:
+The image sequence shows character positions in rooms at each step.
+{context}
+
+Answer format:
+Answer with one word or one number using the format: Answer: X
+
+Question:
+{question}
+
+Answer:""",
+    ("ru", "text"): """Задача:
+Проанализируй перемещения и расположение персонажей по шагам.
+
+Контекст:
+Последовательность шагов в формате JSON показывает, какие персонажи находятся в каких комнатах.
+{context}
+
+Формат ответа:
+Ответь одним словом или одним числом в формате: Ответ: X
+
+Вопрос:
+{question}
+
+Ответ:""",
+    ("ru", "image"): """Задача:
+Проанализируй перемещения и расположение персонажей по шагам.
+
+Контекст:
+Последовательность изображений показывает расположение персонажей в комнатах на каждом шаге.
+{context}
+
+Формат ответа:
+Ответь одним словом или одним числом в формате: Ответ: X
+
+Вопрос:
+{question}
+
+Ответ:""",
 }
-_PROMPTS = [
-    ("Проанализируй перемещения и расположение персонажей по шагам.", "Последовательность шагов в формате JSON показывает, какие персонажи находятся в каких комнатах.", "Ответь одним словом или одним числом в формате: Ответ: X"),
-    ("Определи ответ на вопрос по последовательности состояний комнат.", "Каждая строка — JSON-объект шага: комнаты и находящиеся в них персонажи.", "Укажи один ответ: имя персонажа, название комнаты или число. Последняя строка ответа должна иметь формат: Ответ: X"),
-    ("Реши задачу о том, где и сколько времени находились персонажи.", "Данные заданы как упорядоченная последовательность JSON-записей шагов с комнатами и персонажами.", "Напиши ровно один ответ после префикса Ответ:. Пример: Ответ: Кухня"),
-    ("Вычисли нужный факт о присутствии персонажей в комнатах.", "Используй все JSON-шаги последовательности как временной ряд расположений.", "Ответ должен состоять из префикса Ответ: и одного слова или числа."),
-    ("Найди краткий ответ по истории перемещений персонажей.", "Ниже приведены шаги в формате JSON, где для каждой комнаты указан список присутствующих персонажей.", "Верни только один результат в формате: Ответ: X"),
-    ("Ответь на вопрос о перемещениях персонажей между комнатами.", "Дана последовательность шагов в виде JSON-объектов; на каждом шаге указано, кто находится в каждой комнате.", "Последняя строка должна быть в формате: Ответ: X, где X — одно имя, одна комната или одно число."),
-    ("Определи требуемый факт по временной последовательности расположений.", "Каждый шаг — JSON-объект, описывающий состояние всех комнат и присутствующих персонажей.", "Дай краткий ответ после префикса Ответ:. Пример: Ответ: Иван"),
-    ("Проанализируй все шаги и вычисли ответ на вопрос.", "Ниже приведены состояния комнат во времени в формате JSON; порядок шагов важен.", "Используй ровно один результат в форме: Ответ: X"),
-    ("Найди персонажа, комнату или число, которые требуются в вопросе.", "JSON-последовательность показывает распределение персонажей по комнатам на каждом шаге.", "Запиши один ответ с префиксом Ответ:, например: Ответ: 12"),
-    ("Сопоставь вопрос со всеми состояниями комнат и выведи краткий результат.", "Используй полную последовательность JSON-шагов, чтобы учесть все посещения и совпадения.", "Ответ должен иметь вид: Ответ: X. X — одно слово или одно число."),
+PROMPTS = [
+    """Задача:
+Проанализируй перемещения и расположение персонажей по шагам.
+
+Контекст:
+Последовательность шагов в формате JSON показывает, какие персонажи находятся в каких комнатах.
+{context}
+
+Формат ответа:
+Ответь одним словом или одним числом в формате: Ответ: X
+
+Вопрос:
+{question}
+
+Ответ:""",
+    """Задача:
+Определи ответ на вопрос по последовательности состояний комнат.
+
+Контекст:
+Каждая строка — JSON-объект шага: комнаты и находящиеся в них персонажи.
+{context}
+
+Формат ответа:
+Укажи один ответ: имя персонажа, название комнаты или число. Последняя строка ответа должна иметь формат: Ответ: X
+
+Вопрос:
+{question}
+
+Ответ:""",
+    """Задача:
+Реши задачу о том, где и сколько времени находились персонажи.
+
+Контекст:
+Данные заданы как упорядоченная последовательность JSON-записей шагов с комнатами и персонажами.
+{context}
+
+Формат ответа:
+Напиши ровно один ответ после префикса Ответ:. Пример: Ответ: Кухня
+
+Вопрос:
+{question}
+
+Ответ:""",
+    """Задача:
+Вычисли нужный факт о присутствии персонажей в комнатах.
+
+Контекст:
+Используй все JSON-шаги последовательности как временной ряд расположений.
+{context}
+
+Формат ответа:
+Ответ должен состоять из префикса Ответ: и одного слова или числа.
+
+Вопрос:
+{question}
+
+Ответ:""",
+    """Задача:
+Найди краткий ответ по истории перемещений персонажей.
+
+Контекст:
+Ниже приведены шаги в формате JSON, где для каждой комнаты указан список присутствующих персонажей.
+{context}
+
+Формат ответа:
+Верни только один результат в формате: Ответ: X
+
+Вопрос:
+{question}
+
+Ответ:""",
+    """Задача:
+Ответь на вопрос о перемещениях персонажей между комнатами.
+
+Контекст:
+Дана последовательность шагов в виде JSON-объектов; на каждом шаге указано, кто находится в каждой комнате.
+{context}
+
+Формат ответа:
+Последняя строка должна быть в формате: Ответ: X, где X — одно имя, одна комната или одно число.
+
+Вопрос:
+{question}
+
+Ответ:""",
+    """Задача:
+Определи требуемый факт по временной последовательности расположений.
+
+Контекст:
+Каждый шаг — JSON-объект, описывающий состояние всех комнат и присутствующих персонажей.
+{context}
+
+Формат ответа:
+Дай краткий ответ после префикса Ответ:. Пример: Ответ: Иван
+
+Вопрос:
+{question}
+
+Ответ:""",
+    """Задача:
+Проанализируй все шаги и вычисли ответ на вопрос.
+
+Контекст:
+Ниже приведены состояния комнат во времени в формате JSON; порядок шагов важен.
+{context}
+
+Формат ответа:
+Используй ровно один результат в форме: Ответ: X
+
+Вопрос:
+{question}
+
+Ответ:""",
+    """Задача:
+Найди персонажа, комнату или число, которые требуются в вопросе.
+
+Контекст:
+JSON-последовательность показывает распределение персонажей по комнатам на каждом шаге.
+{context}
+
+Формат ответа:
+Запиши один ответ с префиксом Ответ:, например: Ответ: 12
+
+Вопрос:
+{question}
+
+Ответ:""",
+    """Задача:
+Сопоставь вопрос со всеми состояниями комнат и выведи краткий результат.
+
+Контекст:
+Используй полную последовательность JSON-шагов, чтобы учесть все посещения и совпадения.
+{context}
+
+Формат ответа:
+Ответ должен иметь вид: Ответ: X. X — одно слово или одно число.
+
+Вопрос:
+{question}
+
+Ответ:""",
 ]
 ALONE = " в одиночестве"
 CROWD_OLD, CROWD_NEW = "Сколько раз возникала толпа (", "Сколько шагов существовала толпа ("
 #: Ids of shots start here, so that none is that of a test record.
 SHOTS_OFFSET = 10_000
 
-PROMPTS = [_FRAME["ru"].format(task=task, intro=intro, form=form) for task, intro, form in _PROMPTS]
-
 
 def instruction(language: str = "en", mode: str = "text") -> str:
     """The prompt of a record, with {context} and {question} to be filled in; any language but 'ru' is English."""
-    language = "ru" if language == "ru" else "en"
-    task, form = _ASKED[language]
-    return _FRAME[language].format(task=task, intro=_TEXT[language, "image" if mode == "image" else "text"], form=form)
+    return INSTRUCTIONS["ru" if language == "ru" else "en", "image" if mode == "image" else "text"]
 
 
 def task_tree(prefix: str = "rooms") -> list[dict]:
