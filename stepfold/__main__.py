@@ -43,12 +43,31 @@ def run_benchmark(a: argparse.Namespace, spark: SparkSession) -> int:
     few = _no_shots(recs)
     if a.n_few_shot:
         examples = generate.in_context_examples(spark, config, a.n_few_shot, tuple(n for n in (8, 16) if n <= a.few_shot_max_len) or (8,))
-        few = records.attached_shots(recs, records.shot_records(curation.indexed(examples, ["example_id"])), a.n_few_shot, whole_pool=False, prefix=a.prefix)
+        few = records.attached_shots(_configs(config, a.prefix, spark), records.shot_records(curation.indexed(examples, ["example_id"])), a.n_few_shot, whole_pool=False, prefix=a.prefix)
     sinks.config_files(recs, few, a.output_dir)
     print(json.dumps(sinks.dataset_info(recs, a.output_dir, a.prefix, a.language, a.mode), ensure_ascii=False))
     return 0
 
 
+def _configs(config: GenerationConfig, prefix: str, spark: SparkSession) -> DataFrame:
+    names = sorted(records.config_name(prefix, TASKS[q], n) for q in config.get_question_types() for n in config.seq_lengths)
+    return spark.createDataFrame([(x,) for x in names], "config string")
+
+
+def run_publish(a: argparse.Namespace, spark: SparkSession) -> int:
+    """A generated set in its published shape: Parquet by config and split, with the head of a dataset card."""
+    config = _config(a)
+    recs = records.benchmark_records(generate.samples(spark, config, language=a.language), a.language, prefix=a.prefix)
+    test = records.normalized_records(records.numbered(recs, "meta.id"))
+    examples = generate.in_context_examples(spark, config, a.n_shots, (8, 16))
+    shots = records.attached_shots(_configs(config, a.prefix, spark), records.shot_records(curation.indexed(examples, ["example_id"])), a.n_shots, prefix=a.prefix)
+    both = test.withColumn("split", F.lit("test")).unionByName(shots.withColumn("split", F.lit("shots")))
+    sinks.dataset(both, a.output_dir, "config", "split")
+    configs = [r.config for r in _configs(config, a.prefix, spark).collect()]
+    sinks.write_text(spark, f"{a.output_dir}/README.md", sinks.dataset_card(configs, ("shots", "test")))
+    return 0
+
+
 def _no_shots(recs: DataFrame) -> DataFrame:
     return recs.where(F.lit(False))
 
@@ -222,6 +241,11 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--prefix", default="rooms")
     p.add_argument("--n-few-shot", type=int, default=0)
     p.add_argument("--few-shot-max-len", type=int, default=16)
+    p = command("publish", run_publish, "output_dir")
+    generation(p, LEADERBOARD_LENGTHS, LEADERBOARD_TASKS)
+    p.add_argument("--language", choices=["en", "ru"], default="ru")
+    p.add_argument("--prefix", default="rooms")
+    p.add_argument("--n-shots", type=int, default=5)
     p = command("render", run_render, "input_path", "output_dir")
     p.add_argument("--qids", nargs="+")
     p.add_argument("--limit", type=int)

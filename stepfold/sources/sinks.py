@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,14 +65,20 @@ def json_array(df: DataFrame, path: str, order: str) -> int:
 
 
 def config_files(records: DataFrame, shots: DataFrame, folder: str) -> list[str]:
-    """test.json ({"access": "public", "data": [...]}) and shots.json ({"data": [...]}) of each config, config by config, gathered by the driver; records and shots have a column config. Gives the configs."""
+    """test.json ({"access": "public", "data": [...]}) and shots.json ({"data": [...]}) of each config; records and shots have a column config. An export of a benchmark, which the driver streams once in order of configs, one config in memory at a time. Gives the configs."""
     spark = records.sparkSession
-    configs = [r.config for r in records.select("config").distinct().orderBy("config").collect()]
-    for config in configs:
-        data = _values(records.where(F.col("config") == config).orderBy("meta.id"), "config")
-        few = _values(shots.where(F.col("config") == config).orderBy("meta.id"), "config")
+
+    def rows(df: DataFrame) -> Iterator[tuple[str, list]]:
+        value = F.to_json(F.struct(*(c for c in df.columns if c != "config")), {"ignoreNullFields": "false"})
+        ordered = df.select("config", F.col("meta.id").alias("id"), value.alias("x")).orderBy("config", "id")
+        return ((config, [json.loads(r.x) for r in some]) for config, some in groupby(ordered.toLocalIterator(), key=lambda r: r.config))
+
+    few = dict(rows(shots))  # a handful for each config
+    configs = []
+    for config, data in rows(records):
         write_text(spark, f"{folder}/{config}/test.json", json.dumps({"access": "public", "data": data}, ensure_ascii=False, indent=2))
-        write_text(spark, f"{folder}/{config}/shots.json", json.dumps({"data": few}, ensure_ascii=False, indent=2))
+        write_text(spark, f"{folder}/{config}/shots.json", json.dumps({"data": few.get(config, [])}, ensure_ascii=False, indent=2))
+        configs.append(config)
     return configs
 
 
@@ -101,7 +109,7 @@ def dataset_card(configs: list[str], splits: tuple[str, ...] = ("test", "shots")
     for config in configs:
         lines += [f"- config_name: {config}", "  data_files:"]
         for split in splits:
-            lines += [f"  - split: {split}", f"    path: {config}/{split}-*"]
+            lines += [f"  - split: {split}", f"    path: config={config}/split={split}/*.parquet"]
     return "\n".join([*lines, "---", ""])
 
 

@@ -36,6 +36,15 @@ def test_generate_benchmark_and_requests(spark, tmp_path, capsys):
     assert all("Сколько" in x["question"] for x in json.loads((tmp_path / "ru.json").read_text()))
 
 
+def test_publish(spark, tmp_path):
+    out = f"{tmp_path}/set"
+    assert main(["publish", "--output-dir", out, "--seq-lengths", "4", "--n-questions", "3", "--question-types", "spend_alone", "steps_in_room", "--n-shots", "2"], spark) == 0
+    rows = spark.read.option("basePath", out).parquet(f"{out}/config=*")
+    assert {(r.config, r.split): r["count"] for r in rows.groupBy("config", "split").count().collect()} == {(c, s): n for c in ("rooms_dc_sa_c_4", "rooms_dc_sr_i_4") for s, n in (("test", 3), ("shots", 2))}
+    assert {r.instruction for r in rows.collect()} <= set(records.PROMPTS) and all(r.meta.categories.task_type in ("DC-SA-C", "DC-SR-I") for r in rows.collect())
+    assert "- config_name: rooms_dc_sa_c_4" in (tmp_path / "set/README.md").read_text()
+
+
 def test_score_leaderboard_and_correlate(spark, tmp_path, capsys):
     (tmp_path / "data/main").mkdir(parents=True)
     for k, name in enumerate(["org_alpha", "org_beta", "org_gamma"]):
