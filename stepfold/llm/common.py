@@ -50,7 +50,7 @@ def shared_dir(spark: SparkSession) -> str:
 #: Lets Spark remove the shuffle files of a query that has ended.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Rows of an Arrow batch while a table is written: ten thousand whole texts at once would be tens of megabytes for each task.
-BATCH_ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+BATCH_ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 class Scratch:

@@ -57,7 +57,8 @@ ROUNDS = 2
 TURNS = 16
 #: Rows of a list of copies up to which it is broadcast, 8 bytes each.
 BROADCAST_ROWS = 500_000
-BLOCK = 1 << 20
+#: Bytes of text whose words are hashed at once; the numbers of a block take some fifty times as much.
+BLOCK = 1 << 18
 _SIGNATURE = "doc_id long, t long, u long, n int, f1 long, f2 long, keys array<long>, sketch array<long>"
 
 
