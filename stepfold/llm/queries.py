@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, secrets, suffix_dedup, token_store, wrappers
+from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, runs, secrets, suffix_dedup, token_store, wrappers
 from stepfold.llm.common import Scratch, table
 
 
@@ -62,6 +62,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(spark, table(spark, sf_dir, "pages"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.detect(runs.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_ids": op2_token_ids,
@@ -73,8 +77,10 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op3_ngram_join": ngram_join.ORACLE_SQL,
+    "op11_periodic_runs": runs.ORACLE_SQL,
 }
