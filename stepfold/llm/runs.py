@@ -106,7 +106,7 @@ def find(ids: np.ndarray, counts: np.ndarray, least: int, exponent: int) -> np.n
     # runs with periods p < q that share p + q words or more, the longer would have a smaller period than q
     held, within = np.zeros(len(ids), np.int64), [len(ids)]
     while True:
-        keep = hi - lo >= least
+        keep = hi - lo >= max(least, exponent)
         lo, hi, row = lo[keep], hi[keep], row[keep]
         most = np.where(held[lo] == held[hi - 1], np.array(within)[held[lo]], len(ids))
         lo, hi, row, most = (x[most > 0] for x in (lo, hi, row, most))
