@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, runs, secrets, suffix_dedup, token_store, wrappers
+from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, runs, secrets, simhash, suffix_dedup, token_store, wrappers
 from stepfold.llm.common import Scratch, table
 
 
@@ -66,6 +66,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.digest(runs.detect(runs.planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(simhash.deduplicate(spark, table(spark, sf_dir, "documents"), size=4, radius=4))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_ids": op2_token_ids,
@@ -78,6 +82,7 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_html_extraction": op10_html_extraction,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_simhash": op12_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
