@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, runs, secrets, simhash, suffix_dedup, token_store, wrappers
+from stepfold.llm import compression_classifier, decontaminate, ngram_join, packing, pii, quality_rules, ranked_search, runs, secrets, simhash, suffix_dedup, token_store, wrappers
 from stepfold.llm.common import Scratch, table
 
 
@@ -70,6 +70,12 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.deduplicate(spark, table(spark, sf_dir, "documents"), size=4, radius=4))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "ranked-index").path("index")
+    ranked_search.write_index(spark, table(spark, sf_dir, "documents"), path)
+    return ranked_search.search(spark, ranked_search.read_index(spark, path), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_ids": op2_token_ids,
@@ -83,9 +89,11 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_simhash": op12_simhash,
+    "op13_ranked_search": op13_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.ORACLE_SQL,
     "op3_ngram_join": ngram_join.ORACLE_SQL,
     "op11_periodic_runs": runs.ORACLE_SQL,
+    "op13_ranked_search": ranked_search.ORACLE_SQL,
 }
