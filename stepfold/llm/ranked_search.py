@@ -1,9 +1,9 @@
 """Ranked lexical search over an inverted index whose postings are a term-bucketed table.
 
-The index has a row for each term of each block of documents: which of the block's documents hold it, how often, and
-how long they are. A block is a batch of rows, so a term of any number of documents is many rows of bounded size. Rows
-are dealt out by bucket (a hash of the term) and block, sorted by term and partitioned by bucket: a search reads the
-buckets of its terms, and a hot term is spread over all files of its bucket.
+The index has a row for each term of each block of documents: which of the block's documents hold it and how often.
+A block is a batch of rows, so a term of any number of documents is many rows of bounded size; a row of its own tells
+the ids and lengths of its documents. Rows are dealt out by bucket (a hash of the term) and block, sorted by term and
+partitioned by bucket: a search reads the buckets of its terms, and a hot term is spread over all files of its bucket.
 
 A search joins the terms of its items to the postings (broadcast up to BROADCAST_ROWS terms, else by shuffle), brings
 the postings of a block together, scores each match in integers, adds the scores by item and document, which all lie in
@@ -39,7 +39,9 @@ BUCKETS = 16
 BROADCAST_ROWS = 500_000
 #: A Java regular expression of what lies between terms.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_POSTINGS = "block long, term string, docs array<long>, places array<int>, counts array<int>, lengths array<int>"
+_POSTINGS = "block long, term string, hits array<long>, docs array<long>, lengths array<long>"
+#: A hit is the place of a document in its block times this, and how often the document holds the term.
+PLACE = 1 << 32
 
 
 def bucket_of(term: Column) -> Column:
@@ -47,11 +49,12 @@ def bucket_of(term: Column) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """A row for each term of each block: doc_id, place in the block, occurrences and number of terms of the documents that hold it, and one row without a term for all documents of the block that have any."""
+    """block, term, hits of each term of each block; and of each block docs and lengths (doc_id and number of terms by place)."""
     names = [x.split()[0] for x in _POSTINGS.split(", ")]
 
-    def lists(values: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, kind))
+    def lists(values: pa.Array, sizes: np.ndarray, held: np.ndarray) -> pa.Array:
+        """Lists of these sizes; null where nothing is held."""
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values, mask=pa.array(~held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -67,22 +70,20 @@ def postings(docs: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(b - a), counts)
                 key, tf = np.unique(term * (b - a) + row, return_counts=True)
                 term, row = key // (b - a), key % (b - a)
-                some = np.flatnonzero(counts)
                 # the space after each term goes
                 octets, ends = terms.cast(pa.large_binary()), np.frombuffer(terms.buffers()[1], np.int64)[: len(terms) + 1]
                 values = np.frombuffer(octets.buffers()[2], np.uint8)
                 keep = np.ones(int(ends[-1]), bool)
                 keep[ends[1:] - 1] = False
                 named = strings(values[: ends[-1]][keep], ends - np.arange(len(ends)), pa.large_string()).cast(pa.string())
-                offsets = np.concatenate([np.searchsorted(term, np.arange(len(terms) + 1)), [len(term) + len(some)]])
-                place = np.concatenate([row, some])
+                of_term = np.arange(len(terms) + 1) < len(terms)
+                whole = np.where(of_term, 0, b - a)
                 columns = [
                     pa.array(np.full(len(terms) + 1, block)),
                     pa.concat_arrays([named, pa.nulls(1, pa.string())]),
-                    lists(batch.column(0).slice(a, b - a).take(pa.array(place)), offsets, pa.int64()),
-                    lists(place, offsets, pa.int32()),
-                    lists(np.concatenate([tf, counts[some]]), offsets, pa.int32()),
-                    lists(counts[place], offsets, pa.int32()),
+                    lists(pa.array(row * PLACE + tf), np.append(np.bincount(term, minlength=len(terms)), 0), of_term),
+                    lists(batch.column(0).slice(a, b - a), whole, ~of_term),
+                    lists(pa.array(counts), whole, ~of_term),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names)
                 block += 1
@@ -92,7 +93,7 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def write_index(spark: SparkSession, docs: DataFrame, path: str) -> None:
     """Writes the index of `docs` to a folder that all executors share."""
-    # documents without a term have the bucket -1; a bucket is spread over all partitions by its blocks
+    # the rows of whole blocks have the bucket -1; a bucket is spread over all partitions by its blocks
     bucket = F.when(F.col("term").isNull(), -1).otherwise(bucket_of(F.col("term")))
     salt = F.pmod(F.xxhash64("block"), F.lit(int(spark.conf.get("spark.sql.shuffle.partitions"))))
     rows = postings(docs).withColumn("bucket", bucket).withColumn("salt", salt)
@@ -119,18 +120,22 @@ def search(spark: SparkSession, index: DataFrame, items: DataFrame, k: int = 50,
     bound = lambda df: F.broadcast(df) if small else df
     buckets = [r.b for r in asked.select(bucket_of(F.col("term")).alias("b")).distinct().collect()]  # at most BUCKETS rows
     of_terms = index.where(F.col("bucket").isin(buckets)) if buckets else index.limit(0)
-    total = index.where("bucket = -1").select(F.sum(F.size("docs")).alias("n"), F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x)).alias("l")).first()
-    n_docs, n_terms = total.n or 0, total.l or 0
+    blocks = index.where("bucket = -1").select("block", "docs", "lengths")
+    total = blocks.select(F.explode("lengths").alias("n")).where("n > 0").agg(F.count("n").alias("n"), F.sum("n").alias("l")).first()
+    n_docs, n_terms = total.n, total.l or 0
     held = of_terms.join(bound(asked.select("term").distinct()), "term", "left_semi")
-    frequency = held.groupBy("term").agg(F.sum(F.size("docs")).alias("df"))
+    frequency = held.groupBy("term").agg(F.sum(F.size("hits")).alias("df"))
     weight = F.floor(1000 * F.log(F.lit(2 * n_docs + 2).cast("double") / (2 * F.col("df") + 1).cast("double"))).cast("long")
     weighed = scratch.write(frequency.select("term", weight.alias("w"), F.monotonically_increasing_id().alias("t")).where("w > 0"), "weights")
     wanted = scratch.write(asked.join(bound(weighed.select("term", "t")), "term").join(bound(numbered_items), asked.item_id.eqNullSafe(numbered_items.item_id)).select("t", "item"), "wanted")
-    met = of_terms.join(bound(weighed), "term").select("block", "t", "w", "docs", "places", "counts", "lengths").repartition("block")
-    each = met.select("block", "t", "w", F.explode(F.arrays_zip("docs", "places", "counts", "lengths")).alias("x"))
-    m = F.expr(f"50 + (50L * x.lengths * {n_docs}L) div {max(n_terms, 1)}L")
-    score = F.expr("w * ((1000000000L * x.counts) div (1000L * x.counts + 20L * m))")
-    scored = each.withColumn("m", m).select("block", "t", F.col("x.docs").alias("doc_id"), F.col("x.places").alias("place"), score.alias("s"))
+    # all hits of a block come to one place, which serves the join with its documents and the sums
+    met = of_terms.join(bound(weighed), "term").select("block", "t", "w", "hits").repartition("block").join(blocks, "block")
+    place = lambda hit: F.shiftright(hit, 32).cast("int")
+    known = lambda hit: F.struct(place(hit).alias("place"), F.get("docs", place(hit)).alias("doc_id"), F.get("lengths", place(hit)).alias("n"), hit.bitwiseAND(F.lit(PLACE - 1)).alias("tf"))
+    # looked up before they are parted, so that no hit takes a copy of its block's documents along
+    hits = met.select("block", "t", "w", F.explode(F.transform("hits", known)).alias("hit")).select("block", "t", "w", "hit.*")
+    m = f"(50L + (50L * n * {n_docs}L) div {max(n_terms, 1)}L)"
+    scored = hits.select("block", "place", "doc_id", "t", F.expr(f"w * ((1000000000L * tf) div (1000L * tf + 20L * {m}))").alias("s"))
     matched = scored.join(bound(wanted), "t").groupBy("block", "place", "doc_id", "item").agg(F.sum("s").alias("score"))
     order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id", "block", "place")
     best = matched.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -70,9 +70,9 @@ def test_index_holds_every_term(spark):
     path = Scratch(spark, "test").path("index")
     ranked_search.write_index(spark, docs.repartition(3), path)
     index = ranked_search.read_index(spark, path)
-    got = Counter((r.term, d, n, x) for r in index.where("bucket >= 0").collect() for d, n, x in zip(r.docs, r.counts, r.lengths, strict=True))
+    blocks = {r.block: r for r in index.where("bucket = -1").collect()}
+    hits = [(r.term, blocks[r.block], *divmod(x, ranked_search.PLACE)) for r in index.where("bucket >= 0").collect() for x in r.hits]
+    got = Counter((t, b.docs[k], n, b.lengths[k]) for t, b, k, n in hits)
     rows = [(r.doc_id, Counter(terms(r.text))) for r in docs.collect()]
     assert got == Counter((t, i, n, sum(c.values())) for i, c in rows for t, n in c.items())
-    whole = [x for r in index.where("bucket = -1").collect() for x in r.docs]
-    assert Counter(whole) == Counter(i for i, c in rows if c)
-    assert all(len(r.docs) <= 1000 for r in index.select("docs").collect())
+    assert Counter(x for b in blocks.values() for x, n in zip(b.docs, b.lengths, strict=True) if n) == Counter(i for i, c in rows if c)
