@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stepfold.functions.json_repair import repaired
 from stepfold.model import CHARS, NOBODY, ROOMS, RU_CHARS, RU_NOBODY, RU_ROOMS
 
 # Canonical answers, the words that are no answer, and the patterns that answers are found by.
@@ -170,11 +171,11 @@ def fits_schema(value: Column, atype: Column) -> Column:
 def legacy_parsed(text: Column) -> Column:
     """The answer field of a JSON text; whatever contains 'no' is Nobody. Otherwise the first number, the first known name, or None. A list of one item is that item in braces, as a set; longer ones are Nobody.
 
-    JSON is read tolerantly: single quotes and a missing end are accepted.
+    Broken JSON is mended first, see json_repair.
     """
-    fixed = F.regexp_replace(text, "'", '"')
-    value = F.coalesce(F.get_json_object(fixed, "$.answer"), _first(fixed, r'"answer"\s*:\s*"?([^"},]+)'))
-    has = fixed.rlike(r"^\s*\{")
+    fixed = repaired(text)
+    value = F.get_json_object(fixed, "$.answer")
+    has = F.coalesce(F.startswith(fixed, F.lit("{")), F.lit(False))
     one = F.from_json(value, "array<string>")
     parsed = F.when(F.lower(F.coalesce(value, F.lit("None"))).contains("no"), NOBODY).when(value.startswith("["), F.when(F.size(one) == 1, F.concat(F.lit("{"), F.get(one, F.lit(0)), F.lit("}"))).otherwise(NOBODY)).otherwise(value)
     name = _first(text, "(?i)(" + "|".join(ROOMS + CHARS + [NOBODY]) + ")")

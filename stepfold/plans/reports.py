@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.functions import answers, rewards
+from stepfold.functions import answers, json_repair, rewards
 from stepfold.model import TASKS
 from stepfold.operators import curation, leaderboard, segments
 from stepfold.plans import generate, outputs, question_sql, records
@@ -41,6 +41,36 @@ def legacy_hits(spark, sf_dir):
     return answers.legacy_scored(rows).select("qid", "qtype", "seq_len", "hit")
 
 
+@query(
+    r"""WITH c AS (SELECT conv_id, turn, role, trim(regexp_replace(text, '[\x00-\x20''"\\\[\]{}]+', ' ', 'g')) AS note, (conv_id * 8 + turn) % 12 AS k FROM conversations)
+SELECT conv_id, turn, CASE WHEN k NOT IN (8, 9) THEN CASE WHEN k = 11 THEN 'q ' || role || ' "said"' ELSE role END END AS answer,
+CASE WHEN k <> 9 THEN note END AS note, CASE WHEN k <> 9 THEN conv_id END AS first, CASE WHEN k <> 9 THEN turn END AS second FROM c"""
+)
+def ans_mended(spark, sf_dir):
+    """Answers in twelve kinds of broken JSON, made whole: quotes, commas, colons, ends and comments that are wrong or missing."""
+    note = F.trim(F.regexp_replace("text", r"""[\x00-\x20'"\\\[\]{}]+""", " "))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", note.alias("note"))
+    forms = [
+        '{"answer": "<r>", "note": "<n>", "ids": [<c>, <t>]}',
+        "{'answer': '<r>', 'note': '<n>', 'ids': [<c>, <t>]}",
+        '{"answer": "<r>", "note": "<n>", "ids": [<c>, <t>',
+        '{answer: <r>, note: "<n>", ids: [<c>, <t>,],}',
+        '```json\n{"answer": "<r>", // it\'s {\n "note": "<n>" /* "ids": [] */, "ids": [<c>, <t>]}\n``` {"answer": 0}',
+        'So: {"answer" "<r>" "note" "<n>" "ids" [<c>, <t>]} I think',
+        '{"answer": "<r>", "ids": [<c>, <t>], "note": "<n> ]}',
+        '{"deep": {"list": [[<c>, {"turn": <t>]}, "answer": "<r>", "note": "<n>", "ids": [<c>, <t>]}',
+        '{"ok": True, "answer": None, "note": "<n>", "ids": [<c>, <t>]}',
+        "<r> <n>",
+        '{"answer": "<r>",, "note": "<n>",,, "ids": [<c>,, <t>]]}}',
+        '{"answer": "\\q <r> \\"said\\"", "note": "<n>", "ids": [<c>, <t>]}',
+    ]
+    text = F.element_at(F.array(*map(F.lit, forms)), ((F.col("conv_id") * 8 + F.col("turn")) % 12 + 1).cast("int"))
+    for mark, c in (("<r>", "role"), ("<c>", "conv_id"), ("<t>", "turn"), ("<n>", "note")):
+        text = F.replace(text, F.lit(mark), F.col(c).cast("string"))
+    found = rows.select("conv_id", "turn", F.from_json(json_repair.repaired(text), "answer string, note string, ids array<long>").alias("x"))
+    return found.select("conv_id", "turn", "x.answer", "x.note", F.get("x.ids", F.lit(0)).alias("first"), F.get("x.ids", F.lit(1)).alias("second"))
+
+
 # reports
 
 
