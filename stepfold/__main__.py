@@ -28,9 +28,8 @@ def run_generate(a: argparse.Namespace, spark: SparkSession) -> int:
     if a.list_question_types:
         print("\n".join(TASKS))
         return 0
-    made = generate.samples(spark, _config(a))
-    sinks.json_array(made, a.output_path, "qid")
-    for r in generate.count_by_length(made).orderBy("seq_len").collect():
+    sinks.json_array(generate.samples(spark, _config(a)), a.output_path, "qid")
+    for r in generate.count_by_length(tables.samples(spark, a.output_path)).orderBy("seq_len").collect():
         print(f"length {r.seq_len}: {r.n}")
     return 0
 
@@ -44,8 +43,9 @@ def run_benchmark(a: argparse.Namespace, spark: SparkSession) -> int:
     if a.n_few_shot:
         examples = generate.in_context_examples(spark, config, a.n_few_shot, tuple(n for n in (8, 16) if n <= a.few_shot_max_len) or (8,))
         few = records.attached_shots(_configs(config, a.prefix, spark), records.shot_records(curation.indexed(examples, ["example_id"])), a.n_few_shot, whole_pool=False, prefix=a.prefix)
-    sinks.config_files(recs, few, a.output_dir)
-    print(json.dumps(sinks.dataset_info(recs, a.output_dir, a.prefix, a.language, a.mode), ensure_ascii=False))
+    with sinks.kept(recs, f"{a.output_dir}/records") as recs:
+        sinks.config_files(recs, few, a.output_dir)
+        print(json.dumps(sinks.dataset_info(recs, a.output_dir, a.prefix, a.language, a.mode), ensure_ascii=False))
     return 0
 
 

@@ -28,21 +28,20 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample for each of the first ten sequences: who was alone most often, with the cells that show it."""
+    """A sample for each sequence: who was alone most often, with the cells that show it."""
     from stepfold.operators.questions import QUESTIONS
 
     w = world(spark, sf_dir)
     found, cells = QUESTIONS["spend_alone"](w)
-    few = found.where("seq_id < 10")
-    meta = records.dense_metadata(cells, few.select("seq_id", F.lit(32).alias("seq_len")))
-    rows = few.join(sequences(w.state), "seq_id").join(meta, "seq_id")
+    meta = records.dense_metadata(cells, found.select("seq_id", F.lit(32).alias("seq_len")))
+    rows = found.join(sequences(w.state), "seq_id").join(meta, "seq_id")
     return rows.select(F.format_string("%07d", "seq_id").alias("qid"), F.lit(32).alias("seq_len"), F.lit("spend_alone").alias("qtype"), F.lit("person").alias("atype"), F.lit("Who?").alias("question"), F.coalesce("answer", F.lit("none")).alias("answer"), "sequence", "metadata")
 
 
 _ANSWER = question_sql.answer_sql("spend_alone")
 _CELLS = question_sql.cells_sql("spend_alone")
 _SAMPLES = f"""WITH a AS ({_ANSWER}), c AS (SELECT seq_id, count(*) AS n FROM ({_CELLS}) GROUP BY seq_id),
-s AS (SELECT a.seq_id, printf('%07d', a.seq_id) AS qid, coalesce(a.answer, 'none') AS answer, CAST(coalesce(c.n, 0) AS INT) AS n FROM a LEFT JOIN c USING (seq_id) WHERE a.seq_id < 10)
+s AS (SELECT a.seq_id, printf('%07d', a.seq_id) AS qid, coalesce(a.answer, 'none') AS answer, CAST(coalesce(c.n, 0) AS INT) AS n FROM a LEFT JOIN c USING (seq_id))
 """
 
 
@@ -54,28 +53,35 @@ def io_json_array(spark, sf_dir):
     return tables.samples(spark, path).select("qid", "seq_len", "answer", "n_relevant_rooms", F.size("sequence").alias("steps"))
 
 
-@query(_SAMPLES + "SELECT qid, answer, 'len_' || CASE WHEN seq_id < 5 THEN 8 ELSE 16 END AS part FROM s")
+@query(_SAMPLES + "SELECT qid, answer, 'len_' || CASE WHEN seq_id % 2 = 0 THEN 8 ELSE 16 END AS part FROM s")
 def io_partitions(spark, sf_dir):
     """Two files of different lengths, scanned by one glob."""
     root = _folder(spark)
     rows = _samples(spark, sf_dir)
-    sinks.json_array(rows.where("qid < '0000005'"), f"{root}/len_8/questions.json", "qid")
-    sinks.json_array(rows.where("qid >= '0000005'"), f"{root}/len_16/questions.json", "qid")
-    found = tables.samples(spark, f"{root}/len_*/questions.json")
-    return found.select("qid", "answer", F.regexp_extract(F.col("_metadata.file_path"), r"(len_\d+)/", 1).alias("part"))
+    sinks.json_array(rows.where("int(qid) % 2 = 0"), f"{root}/len_8/questions.json", "qid")
+    sinks.json_array(rows.where("int(qid) % 2 = 1"), f"{root}/len_16/questions.json", "qid")
+    found = tables.samples(spark, f"{root}/len_*/questions.json", file="path")
+    return found.select("qid", "answer", F.regexp_extract("path", r"(len_\d+)/", 1).alias("part"))
 
 
-_CSV = "WITH d AS (SELECT doc_id, source, lang FROM documents WHERE doc_id < 100) "
+_CSV = "WITH d AS (SELECT doc_id, source, lang FROM documents) "
 
 
 def _answers(spark: SparkSession, sf_dir: str, root: str) -> None:
-    rows = table(spark, sf_dir, "documents").where("doc_id < 100")
+    rows = table(spark, sf_dir, "documents")
     said = F.when(F.col("doc_id") % 7 == 0, "Error: no").when(F.col("doc_id") % 7 != 1, F.concat(F.lit('{"answer": "'), F.col("source"), F.lit('"}')))
     rows = rows.select(F.col("doc_id").alias("qid"), F.lit(8).alias("N_steps"), F.col("lang").alias("Type"), F.col("source").alias("Answer"), said.alias("Predicted_Answer"))
-    sinks.append_rows(rows.coalesce(1), f"{root}/tmp")
-    fs = spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    (part,) = (f for f in tables.listed(spark, f"{root}/tmp") if f.endswith(".csv"))
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(part), spark._jvm.org.apache.hadoop.fs.Path(f"{root}/qa_pairs_answers_org_model.csv"))
+    sinks.append_rows(rows, f"{root}/tmp")
+    _renamed(spark, f"{root}/tmp", ".csv", root, "qa_pairs_{}_answers_org_model.csv")
+
+
+def _renamed(spark: SparkSession, folder: str, suffix: str, to: str, name: str) -> None:
+    """Gives the files that tasks wrote, one each, names of their own."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(to).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at(to))
+    for k, part in enumerate(f for f in tables.listed(spark, folder) if f.endswith(suffix)):
+        fs.rename(at(part), at(f"{to}/{name.format(k)}"))
 
 
 @query(_CSV + "SELECT CAST(doc_id AS VARCHAR) AS qid, '8' AS seq_len, lang AS qtype, source AS answer, 'org/model' AS model FROM d WHERE doc_id % 7 > 1")
@@ -83,7 +89,7 @@ def io_answer_files(spark, sf_dir):
     """An answer CSV with old column names: model from the file name, rows with an error or without a prediction left out."""
     root = _folder(spark)
     _answers(spark, sf_dir, root)
-    rows, _ = tables.well_formed(tables.answer_files(spark, f"{root}/qa_pairs_answers_*.csv"))
+    rows, _ = tables.well_formed(tables.answer_files(spark, f"{root}/qa_pairs_*_answers_*.csv"))
     return tables.usable(rows).select("qid", "seq_len", "qtype", "answer", "model")
 
 
@@ -92,8 +98,8 @@ def io_resume(spark, sf_dir):
     """What is left to do after an output file."""
     root = _folder(spark)
     _answers(spark, sf_dir, root)
-    rows = table(spark, sf_dir, "documents").where("doc_id < 100").withColumn("qid", curation.padded_id(F.col("doc_id")))
-    return curation.remaining(rows, tables.completed(spark, f"{root}/qa_pairs_answers_*.csv"), "qid").select("doc_id")
+    rows = table(spark, sf_dir, "documents").withColumn("qid", curation.padded_id(F.col("doc_id")))
+    return curation.remaining(rows, tables.completed(spark, f"{root}/qa_pairs_*_answers_*.csv"), "qid").select("doc_id")
 
 
 @query("SELECT conv_id, turn FROM conversations WHERE NOT (conv_id % 2 = 0 AND turn < 3)")
@@ -108,20 +114,20 @@ def io_resume_two_keys(spark, sf_dir):
 
 @query(
     """SELECT CAST(conv_id * 100 + turn AS INT) AS id, 'set_dc_sa_c_32' AS config, CASE WHEN turn % 2 = 0 THEN 'number' ELSE 'person' END AS atype,
-CASE WHEN turn % 2 = 0 THEN CAST(conv_id AS VARCHAR) ELSE 'Мария' END AS pred FROM conversations WHERE conv_id < 20"""
+CASE WHEN turn % 2 = 0 THEN CAST(conv_id AS VARCHAR) ELSE 'Мария' END AS pred FROM conversations"""
 )
 def io_logs(spark, sf_dir):
     """Sample logs under a folder: config from the file name, kind of answer from either place."""
     root = _folder(spark)
-    c = table(spark, sf_dir, "conversations").where("conv_id < 20")
+    c = table(spark, sf_dir, "conversations")
     number = F.col("turn") % 2 == 0
     text = F.when(number, F.concat(F.lit("<think>99</think>answer: "), F.col("conv_id").cast("string"))).otherwise("The answer is Mary")
     kind = F.when(number, F.struct(F.lit(None).cast("string").alias("task_type"), F.lit(32).alias("seq_len"), F.lit("number").alias("atype")))
     meta = F.struct((F.col("conv_id") * 100 + F.col("turn")).cast("int").alias("id"), F.lit("person").alias("atype"), F.lit(32).alias("seq_len"), kind.alias("categories"))
     log = F.struct(F.array(F.array(text)).alias("resps"), F.array(F.lit("x")).alias("filtered_resps"), F.lit("Mary").alias("target"), F.lit(1.0).alias("exact_match"), F.struct(F.struct(F.lit("?").alias("question")).alias("inputs"), meta.alias("meta")).alias("doc"))
-    lines = c.select(F.to_json(log).alias("value")).agg(F.array_join(F.collect_list("value"), "\n")).first()[0]  # twenty conversations
-    sinks.write_text(spark, f"{root}/a/b/samples_set_dc_sa_c_32_2024-01-01.jsonl", lines)
-    found = answers.batch_answers(tables.sample_logs(spark, root))
+    c.select(F.to_json(log).alias("value")).write.text(f"{root}/tmp")
+    _renamed(spark, f"{root}/tmp", ".txt", f"{root}/logs/a/b", "samples_set_dc_sa_c_32_2024-01-01.{}.jsonl")
+    found = answers.batch_answers(tables.sample_logs(spark, f"{root}/logs"))
     return found.select(F.col("doc.meta.id").alias("id"), "config", "atype", "pred")
 
 
@@ -135,19 +141,17 @@ def io_latest(spark, sf_dir):
     return tables.latest(spark, f"{root}/results_*.json")
 
 
-@query(_STATE + "SELECT CAST(seq_id AS INT) AS qid, CAST(step_id AS INT) AS step_id, ch, room FROM state WHERE seq_id < 3")
+@query(_STATE + "SELECT CAST(seq_id AS INT) AS qid, CAST(step_id AS INT) AS step_id, ch, room FROM state")
 def io_sequences(spark, sf_dir):
     """Wide sequence files, scanned and joined to the question rows that name them."""
-    root = _folder(spark)
-    few = wide(world(spark, sf_dir).state.where("seq_id < 3"))
-    for k in range(3):
-        rows = few.where(F.col("seq_id") == k).orderBy("step_id").collect()
-        chars = [c for c in few.columns if c not in ("seq_id", "step_id")]
-        sinks.write_text(spark, f"{root}/s{k}.csv", "\n".join([",".join(chars), *(",".join(r[c] for c in chars) for r in rows)]) + "\n")
-    questions = spark.range(3).select(F.col("id").cast("int").alias("qid"), F.format_string("len_32/s%d.csv", "id").alias("sequence_path"))
     from stepfold.model import CHARS
 
-    found = tables.with_sequences(questions, tables.sequences_csv(spark, f"{root}/s*.csv", CHARS))
+    root = _folder(spark)
+    rows = wide(world(spark, sf_dir).state)
+    in_order = rows.repartition("seq_id").sortWithinPartitions("seq_id", "step_id").select("seq_id", *CHARS)
+    in_order.write.partitionBy("seq_id").option("header", True).csv(f"{root}/s")
+    questions = rows.select("seq_id").distinct().select(F.col("seq_id").cast("int").alias("qid"), F.format_string("len_32/%d", "seq_id").alias("sequence_path"))
+    found = tables.with_sequences(questions, tables.sequences_csv(spark, f"{root}/s/*/*.csv", CHARS, name=r"seq_id=(\d+)/"))
     return found.select("qid", F.explode("sequence").alias("s")).select("qid", "s.step_id", F.explode("s.at").alias("ch", "room"))
 
 
@@ -205,13 +209,13 @@ def io_requests(spark, sf_dir):
     return found.select("custom_id", "method", F.col("body.model").alias("model"), message["role"].alias("role"), (F.size(F.split(message["content"], "\n")) - 1).alias("lines"))
 
 
-@query(_SAMPLES + "SELECT CAST(seq_id AS INT) AS id, answer AS outputs, 'rooms_dc_sa_c_32' AS config, 'public' AS access, 10 AS total FROM s")
+@query(_SAMPLES + "SELECT CAST(seq_id AS INT) AS id, answer AS outputs, 'rooms_dc_sa_c_32' AS config, 'public' AS access, CAST((SELECT count(*) FROM s) AS INT) AS total FROM s")
 def io_configs(spark, sf_dir):
     """test.json of a config and the summary of the set."""
     root = _folder(spark)
-    recs = records.benchmark_records(_samples(spark, sf_dir), mode="image")
-    (config,) = sinks.config_files(recs, recs.where("meta.id < 0"), root)
-    total = sinks.dataset_info(recs, root, "rooms", "en", "image")["total_samples"]
+    with sinks.kept(records.benchmark_records(_samples(spark, sf_dir), mode="image"), f"{root}/records") as recs:
+        (config,) = sinks.config_files(recs, recs.where("meta.id < 0"), root)
+        total = sinks.dataset_info(recs, root, "rooms", "en", "image")["total_samples"]
     schema = "access string, data array<struct<outputs:string,meta:struct<id:int>>>"
     test = spark.read.schema(schema).option("multiLine", True).json(f"{root}/{config}/test.json")
     return test.select("access", F.explode("data").alias("d")).select("d.meta.id", "d.outputs", F.lit(config).alias("config"), "access", F.lit(total).cast("int").alias("total"))

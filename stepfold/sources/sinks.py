@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-from itertools import groupby
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,34 +55,97 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
-def _values(df: DataFrame, *leave: str) -> list:
-    rows = df.select(F.to_json(F.struct(*(c for c in df.columns if c not in leave)), {"ignoreNullFields": "false"}).alias("x")).collect()
-    return [json.loads(r.x) for r in rows]
+def _elements(df: DataFrame, indent: int, *leave: str) -> DataFrame:
+    """The rows in their order as pretty JSON, `indent` spaces further in, as a column value beside the columns left out."""
+    names = [*leave, "value"]
+    kinds = df.select(*leave).schema
+    value = F.to_json(F.struct(*(c for c in df.columns if c not in leave)), {"ignoreNullFields": "false"}).alias("value")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        space = " " * indent
+        for batch in batches:
+            texts = [space + json.dumps(json.loads(x), ensure_ascii=False, indent=2).replace("\n", "\n" + space) for x in batch.column(len(names) - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names)
+
+    return df.select(*leave, value).mapInArrow(run, kinds.add("value", "string"))
+
+
+#: What parts the elements of an array, in the parts that tasks write.
+_COMMA = ",\n"
+
+
+def _array_file(spark: SparkSession, parts: str, path: str, head: str, tail: str, empty: str) -> None:
+    """One file of a head, the elements that a folder's files hold in order, and a tail. Bytes are copied from stream to stream, so that memory doesn't grow with them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
+    fs = folder.getFileSystem(conf)
+    files = sorted((x for x in fs.listStatus(folder) if x.isFile() and x.getLen()), key=lambda x: x.getPath().getName()) if fs.exists(folder) else []
+    files = [x for x in files if x.getPath().getName().startswith("part-")]
+    if not files:
+        return write_text(spark, path, empty)
+    out = at.getFileSystem(conf).create(at, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for x in files:
+            part = fs.open(x.getPath())
+            try:
+                jvm.org.apache.commons.io.IOUtils.copyLarge(part, out, 0, x.getLen() - (len(_COMMA) if x is files[-1] else 0))
+            finally:
+                part.close()
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+
+
+def _scratch(spark: SparkSession, path: str) -> tuple[str, Callable[[], None]]:
+    """A folder beside a path, and what removes it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.parts-{uuid.uuid4().hex}")
+    return at.toString(), lambda: at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def kept(df: DataFrame, path: str) -> Iterator[DataFrame]:
+    """The rows as a table beside a path, made once for several uses, which goes with them."""
+    folder, remove = _scratch(df.sparkSession, path)
+    try:
+        df.write.parquet(folder)
+        yield df.sparkSession.read.schema(df.schema).parquet(folder)
+    finally:
+        remove()
 
 
 def json_array(df: DataFrame, path: str, order: str) -> int:
-    """One pretty JSON array in a single file: an export of a benchmark for programs that read nothing else, gathered by the driver. Larger data goes by jsonl(). Gives the number of rows."""
-    rows = _values(df.orderBy(order))
-    write_text(df.sparkSession, path, json.dumps(rows, ensure_ascii=False, indent=2))
-    return len(rows)
+    """One pretty JSON array in a single file, for programs that read nothing else. Tasks write its parts in order beside it; the driver only joins their bytes. Gives the number of rows."""
+    spark, seen = df.sparkSession, Observation()
+    parts, remove = _scratch(spark, path)
+    try:
+        _elements(df.orderBy(order), 2).observe(seen, F.count(F.lit(1)).alias("n")).write.option("lineSep", _COMMA).text(parts)
+        _array_file(spark, parts, path, "[\n", "\n]", "[]")
+        return seen.get["n"]
+    finally:
+        remove()
 
 
 def config_files(records: DataFrame, shots: DataFrame, folder: str) -> list[str]:
-    """test.json ({"access": "public", "data": [...]}) and shots.json ({"data": [...]}) of each config; records and shots have a column config. An export of a benchmark, which the driver streams once in order of configs, one config in memory at a time. Gives the configs."""
+    """test.json ({"access": "public", "data": [...]}) and shots.json ({"data": [...]}) of each config; records and shots have a column config. Tasks write the parts of each file in order, the driver joins their bytes. Gives the configs."""
     spark = records.sparkSession
-
-    def rows(df: DataFrame) -> Iterator[tuple[str, list]]:
-        value = F.to_json(F.struct(*(c for c in df.columns if c != "config")), {"ignoreNullFields": "false"})
-        ordered = df.select("config", F.col("meta.id").alias("id"), value.alias("x")).orderBy("config", "id")
-        return ((config, [json.loads(r.x) for r in some]) for config, some in groupby(ordered.toLocalIterator(), key=lambda r: r.config))
-
-    few = dict(rows(shots))  # a handful for each config
-    configs = []
-    for config, data in rows(records):
-        write_text(spark, f"{folder}/{config}/test.json", json.dumps({"access": "public", "data": data}, ensure_ascii=False, indent=2))
-        write_text(spark, f"{folder}/{config}/shots.json", json.dumps({"data": few.get(config, [])}, ensure_ascii=False, indent=2))
-        configs.append(config)
-    return configs
+    conf = spark._jsc.hadoopConfiguration()
+    made = {}
+    try:
+        for name, df in (("test", records), ("shots", shots)):
+            made[name] = _scratch(spark, f"{folder}/{name}")
+            _elements(df.orderBy("config", "meta.id"), 4, "config").write.partitionBy("config").option("lineSep", _COMMA).text(made[name][0])
+        at = spark._jvm.org.apache.hadoop.fs.Path(made["test"][0])
+        found = [x.getPath().getName() for x in at.getFileSystem(conf).listStatus(at) if x.isDirectory()]
+        configs = sorted(found)  # a folder for each config
+        for part in configs:
+            config = unquote(part.removeprefix("config="))
+            for name, head in (("test", '{\n  "access": "public",\n  "data": '), ("shots", '{\n  "data": ')):
+                _array_file(spark, f"{made[name][0]}/{part}", f"{folder}/{config}/{name}.json", head + "[\n", "\n  ]\n}", head + "[]\n}")
+        return [unquote(x.removeprefix("config=")) for x in configs]
+    finally:
+        for _, remove in made.values():
+            remove()
 
 
 def summary(df: DataFrame) -> DataFrame:

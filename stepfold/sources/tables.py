@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfold.operators.curation import padded_id
+from stepfold.sources import split_scan
 
 SAMPLE = "qid string, seq_len int, qtype string, atype string, question string, answer string, sequence array<struct<step_id:int,rooms:map<string,array<string>>>>, metadata array<struct<step_id:int,rooms:map<string,boolean>>>, n_relevant_rooms_per_step array<int>, n_relevant_rooms int"
 LOG = "resps array<array<string>>, filtered_resps array<string>, target string, exact_match double, doc struct<inputs:struct<question:string>,meta:struct<id:int,atype:string,seq_len:int,categories:struct<task_type:string,seq_len:int,atype:string>>>"
@@ -16,28 +17,29 @@ ANSWERS = "qid string, seq_len string, qtype string, atype string, question stri
 LEGACY_NAMES = {"Answer": "answer", "N_steps": "seq_len", "Type": "qtype"}
 
 
-def samples(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of samples, or many under len_*/questions.json; missing totals are counted again from metadata."""
-    df = spark.read.schema(SAMPLE).option("multiLine", True).json(path)
+def samples(spark: SparkSession, path: str, file: str | None = None) -> DataFrame:
+    """A JSON array of samples, or many under len_*/questions.json, each read by many tasks; missing totals are counted again from metadata. `file` names a column for the path of each sample's file."""
+    found = split_scan.json_objects(spark, path, SAMPLE)
+    df = found.select("x.*", *([F.col("file").alias(file)] if file else []))
     per_step = F.transform("metadata", lambda m: F.size(F.filter(F.map_values(m["rooms"]), lambda x: x)))
     steps = F.coalesce("n_relevant_rooms_per_step", per_step)
     return df.withColumn("n_relevant_rooms_per_step", steps).withColumn("n_relevant_rooms", F.coalesce("n_relevant_rooms", F.aggregate(steps, F.lit(0), lambda a, x: a + x)))
 
 
 def answer_files(spark: SparkSession, path: str, columns: str = ANSWERS) -> DataFrame:
-    """Answer CSVs, with the model from the file name (answers_ORG_NAME.csv) and old column names made new.
+    """Answer CSVs, each read by many tasks, with the model from the file name (answers_ORG_NAME.csv) and old column names made new.
 
-    A line that doesn't fit the header stays, as a row whose column malformed holds it; count them, or see well_formed.
+    A record that doesn't fit the header stays, as a row whose column malformed holds it; count them, or see well_formed.
     """
     kinds: dict[tuple[str, ...], list[str]] = {}
-    for file in listed(spark, path):  # one file a model; of each only the first line is read here
-        kinds.setdefault(tuple(spark.read.option("header", True).csv(file).columns), []).append(file)
+    files = listed(spark, path)
+    for file, header in (split_scan.csv_headers(spark, files) if files else {}).items():
+        kinds.setdefault(header, []).append(file)
     parts = []
     for header, files in kinds.items():
-        schema = ", ".join(f"`{c}` string" for c in (*header, "malformed"))
-        reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "malformed").option("columnPruning", False)
-        name = F.regexp_extract(F.col("_metadata.file_name"), r"answers_(.*)\.csv$", 1)
-        parts.append(reader.csv(files).select("*", F.regexp_replace(name, "^([^_]*)_", "$1/").alias("model")).withColumnsRenamed(LEGACY_NAMES))
+        part = split_scan.csv_records(split_scan.values(spark, files, "csv").where("not first"), header)
+        name = F.regexp_extract(F.substring_index("file", "/", -1), r"answers_(.*)\.csv$", 1)
+        parts.append(part.withColumn("model", F.regexp_replace(name, "^([^_]*)_", "$1/")).drop("file").withColumnsRenamed(LEGACY_NAMES))
     if not parts:
         return spark.createDataFrame([], columns + ", malformed string, model string")
     return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
@@ -113,17 +115,18 @@ def external_scores(spark: SparkSession, path: str, names: dict[str, str]) -> Da
     return df.select(F.replace(F.col(f"`{first}`"), F.lit("."), F.lit("_")).alias(ident), *scores).dropna()
 
 
-def sequences_csv(spark: SparkSession, path: str, chars: list[str]) -> DataFrame:
-    """Wide sequence files, a row for each step, as state rows; seq is the file name."""
+def sequences_csv(spark: SparkSession, path: str, chars: list[str], name: str = r"([^/]+)$") -> DataFrame:
+    """Wide sequence files, a row for each step, as state rows; seq is what `name` finds in a path, the file name if not told otherwise."""
     df = spark.read.schema(", ".join(f"`{c}` string" for c in chars)).option("header", True).csv(path)
-    df = df.select("*", F.col("_metadata.file_name").alias("seq")).select("*", F.row_number().over(_in_file()).alias("step_id"))
+    df = df.select("*", F.regexp_extract("_metadata.file_path", name, 1).alias("seq"), F.col("_metadata.file_block_start").alias("_start")).select("*", F.row_number().over(_in_file()).alias("step_id"))
     return df.select("seq", "step_id", F.posexplode(F.array(*(F.struct(F.lit(c).alias("ch"), F.col(c).alias("room")) for c in chars))).alias("ch_ord", "x")).select("seq", "step_id", "ch_ord", "x.*")
 
 
 def _in_file():
     from pyspark.sql import Window
 
-    return Window.partitionBy("seq").orderBy(F.monotonically_increasing_id())
+    # parts of a file by where they start, as they need not be read in that order, then its rows as they come
+    return Window.partitionBy("seq").orderBy("_start", F.monotonically_increasing_id())
 
 
 def with_sequences(questions: DataFrame, sequences: DataFrame, path: str = "sequence_path") -> DataFrame:
