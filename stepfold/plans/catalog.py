@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepfold.functions import answers, rewards, wording
@@ -301,3 +301,20 @@ def rw_scores(spark, sf_dir):
 def gen_questions(spark, sf_dir):
     """Question sets of the default configuration: 50 of each of 24 types at 8 lengths."""
     return generate.questions(spark, GenerationConfig()).drop("seq_id")
+
+
+@query(
+    P
+    + """t AS (SELECT seq_id, count(*) FILTER (m.room = j.room) AS target FROM state AS m JOIN state AS j USING (seq_id, step_id) WHERE m.ch = 'Mary' AND j.ch = 'John' GROUP BY seq_id)
+SELECT seq_id, target, target AS hits, 32 AS steps, 31 AS moves FROM t"""
+)
+def gen_controlled(spark, sf_dir):
+    """A new sequence for each one of the events, in which Mary and John are together for as many steps; counted again from its state."""
+    together = F.col("Mary") == F.col("John")
+    of = lambda state: wide(state).groupBy("seq_id").agg(F.count_if(together).alias("target"))
+    asked = of(world(spark, sf_dir).state)
+    made = generate.controlled_for(asked.select("seq_id", F.col("target").alias("low"), F.col("target").alias("high")), 32, GenerationConfig(), together)
+    hits = of(made).withColumnRenamed("target", "hits")
+    before = F.lag("room").over(Window.partitionBy("seq_id", "ch_ord").orderBy("step_id"))
+    moves = made.withColumn("moved", (F.col("room") != before).cast("int")).groupBy("seq_id").agg(F.sum("moved").cast("int").alias("moves"), F.max("step_id").alias("steps"))
+    return asked.join(hits, "seq_id").join(moves, "seq_id").select("seq_id", "target", "hits", "steps", "moves")

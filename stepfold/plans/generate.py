@@ -12,7 +12,10 @@ from stepfold.functions import wording
 from stepfold.model import GenerationConfig, atype
 from stepfold.operators.questions import QUESTIONS
 from stepfold.plans import records
-from stepfold.plans.state import World, named, sequences, wide
+from stepfold.plans.controlled import controlled, controlled_for
+from stepfold.plans.state import World, named, sequences
+
+__all__ = ["bindings", "comparison", "controlled", "controlled_for", "count_by_length", "draw", "forced_more", "hashed", "in_context_examples", "questions", "random_params", "sampled_steps", "samples", "states"]
 
 #: Sequences that are made at first for each one that is wanted, as ties are rejected, and how many times more if a cell is short.
 OVERSAMPLE, GROWTH = 4, 4
@@ -52,19 +55,6 @@ def states(spark: SparkSession, n: int, length: int, config: GenerationConfig, o
     return states_of(numbered_sequences(spark, n, [length]), config, one_move)
 
 
-def controlled(spark: SparkSession, n: int, length: int, config: GenerationConfig, keyframe: Column, target: int | tuple[int, int], attempts: int = 1000) -> DataFrame:
-    """state of up to n sequences with as many key frames as asked for, of `attempts` that are made for each.
-
-    keyframe is a condition over a step's row of wide state (a column for each character); a step where it holds counts.
-    Sequences are numbered by the request that they serve; one that no attempt met is left out.
-    """
-    low, high = target if isinstance(target, tuple) else (target, target)
-    tries = states(spark, n * attempts, length, config)
-    hits = wide(tries, config.chars).groupBy("seq_id").agg(F.count_if(keyframe).alias("hits")).where(F.col("hits").between(low, high))
-    served = hits.groupBy((F.col("seq_id") % n).alias("request")).agg(F.min("seq_id").alias("seq_id"))
-    return tries.join(served, "seq_id").select(F.col("request").alias("seq_id"), "step_id", "ch_ord", "ch", "room")
-
-
 def sampled_steps(length: int | Column, fraction: float, *keys: Column | str, seed: int = 0) -> tuple[Column, Column, Column]:
     """First and last step of a stretch of a sequence's steps, from 1, and how a question about it ends."""
     length = F.lit(length) if isinstance(length, int) else length
