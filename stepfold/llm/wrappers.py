@@ -28,6 +28,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import blake2b
 from html import unescape
 
@@ -60,13 +61,16 @@ NEVER = set("head nav header footer aside form button select option dialog menu"
 CLOSES_P = set("address article aside blockquote details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table tr td th ul".split())
 #: Tags of running text: a constant heading or paragraph beside the text belongs to it.
 WRITTEN = set("blockquote dd dl dt figure h1 h2 h3 h4 h5 h6 li ol p pre ul".split())
+#: Tags whose ids are targets of links, which say nothing of the element's part in the page.
+UNNAMED = set("h1 h2 h3 h4 h5 h6 p li dt dd".split())
 ITEMS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-#: Names in class, id or role that mark what isn't main text.
-UNWANTED = re.compile(
-    r"(?:^|[-_ ])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|sidebar|side|aside|widget\w*|menu|nav\w*|breadcrumbs?|"
-    r"footer|foot|header|masthead|comments?|replies|respond|disqus|share|sharing|social|related|recommend\w*|search|pagination|pager|complementary|contentinfo|toolbar)(?:$|[-_ ])",
+#: Words of names in class, id or role that mark what isn't main text, and words that say no more than a place or a shape.
+_MARKS = re.compile(
+    r"ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|overlay|newsletter|subscribe\w*|signup|login|sidebar|side|aside|widget\w*|menu|nav\w*|breadcrumbs?|"
+    r"footer|foot|header|masthead|comments?|replies|respond|disqus|share|sharing|social|related|recommend\w*|search|pagination|pager|complementary|contentinfo|toolbar",
     re.I,
 )
+_PLACES = re.compile(r"site|page|main|global|top|bottom|left|right|upper|lower|primary|secondary|sticky|fixed|mobile|desktop|user|reader|box|bar|block|area|section|panel|container|wrap\w*|inner|outer|column|col|row|slot|unit|list|thread|form|buttons?|icons?|links?|posts?|articles|stories|[#0-9]+", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<(?:!|\?)[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMES = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -76,14 +80,21 @@ _NUMBER = re.compile(r"[0-9]+")
 Tree = list
 
 
+@lru_cache(maxsize=1 << 16)
+def marks(name: str) -> bool:
+    """Whether a name, word by word, says that something isn't main text and nothing else: side-bar and cookie_notice do, side-effects and Related_work do not."""
+    words = [x for x in re.split(r"[-_]+", name) if x]
+    return any(_MARKS.fullmatch(x) for x in words) and all(_MARKS.fullmatch(x) or _PLACES.fullmatch(x) for x in words)
+
+
 def key_of(tag: str, attributes: str) -> str:
-    """The tag and the names of an element that other pages share: no numbers of three digits in classes and roles, none at all in ids, and ids only of elements without a class or that aren't wanted."""
+    """The tag and the names of an element that other pages share: no numbers of three digits in classes and roles, none at all in ids, and ids only of elements without a class or that aren't wanted, never of headings, paragraphs and items."""
     found: dict[str, list[str]] = {"class": [], "id": [], "role": []}
     for kind, *values in _NAMES.findall(attributes):
         found[kind.lower()] += "".join(values).split()
     short = [_NUMBER.sub(lambda m: m[0] if len(m[0]) < 3 else "#", x) for x in found["class"] + found["role"]]
-    ids = [_NUMBER.sub("#", x) for x in found["id"]]
-    names = {*short, *(x for x in ids if UNWANTED.search(x) or not short and tag not in WRITTEN | {"article", "main", "body"})}
+    ids = [_NUMBER.sub("#", x) for x in found["id"]] if tag not in UNNAMED else []
+    names = {*short, *(x for x in ids if marks(x) or not short and tag not in WRITTEN | {"article", "main", "body"})}
     return " ".join([tag, *sorted(names)])
 
 
@@ -160,7 +171,7 @@ def parse(html: str) -> Tree:
 
 def unwanted(key: str) -> bool:
     tag, _, names = key.partition(" ")
-    return tag in NEVER or bool(names and tag not in ("body", "html", "article", "main") and UNWANTED.search(names))
+    return tag in NEVER or bool(names and tag not in ("body", "html", "article", "main") and any(map(marks, names.split())))
 
 
 def squeeze(text: str) -> str:
