@@ -131,6 +131,15 @@ def io_logs(spark, sf_dir):
     return found.select(F.col("doc.meta.id").alias("id"), "config", "atype", "pred")
 
 
+@query("SELECT event_id, user_id, event_type FROM events")
+def io_append(spark, sf_dir):
+    """A stream of events whose rows are appended as they come, and those that are committed."""
+    root, events = _folder(spark), table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").select("event_id", "user_id", "event_type")
+    sinks.append_stream(stream, f"{root}/out", f"{root}/checkpoint", availableNow=True).awaitTermination()
+    return sinks.appended(spark, f"{root}/out", "event_id long, user_id long, event_type string")
+
+
 @query("SELECT n_name AS task, n_nationkey / 100.0 AS old_em FROM nation")
 def io_latest(spark, sf_dir):
     """The newest of three results files."""

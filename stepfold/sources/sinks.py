@@ -27,9 +27,84 @@ def append_rows(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).option("escape", '"').csv(path)
 
 
-def append_stream(stream: DataFrame, path: str, checkpoint: str):
-    """Rows of a stream appended as they finish, each micro-batch once; gives the query."""
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_rows(df, path)).start()
+class AppendLog:
+    """The micro-batches of streams that are appended to a folder: which are there, each once.
+
+    A batch is written to a folder that readers pass over. Then one file of its own name in the log says so, which
+    appears at once or not at all; with it the rows count. Last its folder gets a name that plain readers see. A batch
+    that is replayed after a failure is written again if the log doesn't have it, and only finished if it has. Batches
+    go by an id that lies in the stream's checkpoint, so another stream may append to the same folder.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, checkpoint: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        known = f"{checkpoint.rstrip('/')}/append-id"
+        if not self._fs(known).exists(self._at(known)):
+            self._create(known, uuid.uuid4().hex)
+        self.id = _small_text(spark, known)
+
+    def _at(self, path: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self, path: str):
+        return self._at(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _create(self, path: str, text: str) -> None:
+        """A small file that is there as a whole or not at all."""
+        folder, name = path.rsplit("/", 1)
+        draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        write_text(self.spark, draft, text)
+        if not self._fs(path).rename(self._at(draft), self._at(path)):
+            raise OSError(f"{path} can't be made")
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        entry = f"{self.path}/_log/{batch:020d}-{self.id}"
+        if not self._fs(entry).exists(self._at(entry)):
+            staged = f"_staged/{batch:020d}-{uuid.uuid4().hex}"
+            append_rows(df, f"{self.path}/{staged}")
+            self._commit(entry, staged)
+        self._finish(entry, batch)
+
+    def _commit(self, entry: str, staged: str) -> None:
+        self._fs(entry).mkdirs(self._at(f"{self.path}/_log"))
+        self._create(entry, staged)
+
+    def _finish(self, entry: str, batch: int) -> None:
+        staged = f"{self.path}/{_small_text(self.spark, entry)}"
+        if self._fs(staged).exists(self._at(staged)):
+            self._fs(staged).rename(self._at(staged), self._at(f"{self.path}/batch={batch:020d}-{self.id}"))
+
+
+def _small_text(spark: SparkSession, path: str) -> str:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    file = at.getFileSystem(spark._jsc.hadoopConfiguration()).open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(file)).decode()
+    finally:
+        file.close()
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str, **trigger):
+    """Rows of a stream appended as they finish, each micro-batch once, also if it is replayed after a failure; see appended(). Gives the query."""
+    log = AppendLog(stream.sparkSession, path, checkpoint)
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(log.write)
+    return (writer.trigger(**trigger) if trigger else writer).start()
+
+
+def appended(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all micro-batches that the log of append_stream() has."""
+    path = path.rstrip("/")
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    log = at(f"{path}/_log")
+    folders = []
+    for entry in fs.listStatus(log) if fs.exists(log) else []:  # a small file for each micro-batch
+        if not (name := entry.getPath().getName()).startswith("."):
+            staged = f"{path}/{_small_text(spark, entry.getPath().toString())}"
+            folders.append(staged if fs.exists(at(staged)) else f"{path}/batch={name}")
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("recursiveFileLookup", True).csv(folders)
 
 
 def dataset(df: DataFrame, path: str, *by: str) -> None:
