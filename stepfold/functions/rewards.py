@@ -44,7 +44,8 @@ def form(text: Column, json: bool = False) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences end in . ! or ? before white space."""
-    return F.array_remove(F.transform(F.split(text, r"(?<=[.!?])\s+"), F.trim), "")
+    # a function of two arguments would get the place of each sentence as its second
+    return F.array_remove(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), "")
 
 
 def _ramp(n: Column) -> Column:

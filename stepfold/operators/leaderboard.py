@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from stepfold.model import TASKS
 PER_CELL = 50
 EPSILON = 1e-6
 SHORT_TOKENS = 32
-#: Names of models up to which their table is broadcast to the loop join.
-BROADCAST_ROWS = 10_000
+#: Characters of the parts that names are looked up by.
+GRAM = 3
 
 
 def hit_rates(scored: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
@@ -96,25 +98,33 @@ def gated(stats: DataFrame, expect_thinking: bool) -> DataFrame:
     return stats.select("model", F.array_join(F.array_compact(F.array(*bad)), ",").alias("failures"), (F.col("truncation_rate") > 0.3).alias("warning"))
 
 
+def _grams(text: Column, q: Column) -> Column:
+    """The distinct parts of q characters of a text that has as many at least."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - q + 1), lambda i: F.substr(text, i, q)))
+
+
 def fuzzy_matched(models: DataFrame, external: DataFrame) -> DataFrame:
     """models (model) left join external (id, ...): the shortest id that holds the model's last name part, without the characters of '-Instruct' at its ends.
 
-    The loop join streams external past a broadcast of the names of models, whose number is checked; beyond
-    BROADCAST_ROWS every part of an id is looked up by an equi-join instead.
+    An id holds a name only if it holds all parts of GRAM characters of it (a shorter name is one part), so each name is
+    looked up by that one of its parts that the fewest ids have, in an index of the parts of ids, and then compared.
     """
     tail = F.btrim(F.element_at(F.split("model", "/"), -1), F.lit("-Instruct"))
     named = models.select("model", tail.alias("tail")).distinct()
-    others = [c for c in external.columns if c != "id"]
-    if named.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        pairs = external.join(F.broadcast(named), F.col("id").contains(F.col("tail")))
-    else:
-        n = F.length("id")
-        starts = F.explode(F.sequence(F.lit(1), n)).alias("at")
-        parts = external.where(n > 0).select("*", starts).select("*", F.explode(F.sequence(F.lit(1), n - F.col("at") + 1)).alias("m"))
-        parts = parts.withColumn("tail", F.substr("id", F.col("at"), F.col("m"))).drop("at", "m").distinct()
-        pairs = parts.join(named.where("tail <> ''"), "tail").unionByName(external.join(named.where("tail = ''").limit(1), F.lit(True)).select(*external.columns, "model", "tail"))
-    best = pairs.groupBy("model").agg(F.min(F.struct(F.length("id").alias("n"), "id", *others)).alias("x"))
-    return models.join(best, "model", "left").select(*models.columns, *(F.col(f"x.{c}").alias(c) for c in external.columns))
+    sized = named.where("tail <> ''").select("tail", F.least(F.lit(GRAM), F.length("tail")).alias("q")).distinct()
+    wanted = sized.select("tail", F.explode(_grams(F.col("tail"), F.col("q"))).alias("gram"))
+    sizes = [r.q for r in sized.select("q").distinct().collect()]  # GRAM rows at most
+    of_size = lambda q: external.where(F.length("id") >= q).select("*", F.explode(_grams(F.col("id"), F.lit(q))).alias("gram"))
+    index = reduce(DataFrame.unionByName, map(of_size, sizes or [GRAM]))
+    counts = index.select("gram").join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("tail").orderBy(F.coalesce("n", F.lit(0)), "gram")
+    rarest = wanted.join(counts, "gram", "left").withColumn("nth", F.row_number().over(order)).where("nth = 1 and n > 0").select("gram", "tail")
+    shortest = F.min(F.struct(F.length("id").alias("n"), "id", *(c for c in external.columns if c != "id"))).alias("x")
+    best = index.join(rarest, "gram").where(F.col("id").contains(F.col("tail"))).groupBy("tail").agg(shortest)
+    # every id holds the empty name
+    best = best.unionByName(external.where("id is not null").agg(shortest).where("x is not null").select(F.lit("").alias("tail"), "x"))
+    found = named.join(best, "tail").select(F.col("model").alias("m"), "x")
+    return models.join(found, F.col("model") == F.col("m"), "left").select(*models.columns, *(F.col(f"x.{c}").alias(c) for c in external.columns))
 
 
 def correlated(pairs: DataFrame, *by: str) -> DataFrame:

@@ -356,21 +356,43 @@ def seg_quoted(spark, sf_dir):
 # rewards
 
 
-_THOUGHT = "repeat('because it is so. ', CAST(qid % 70 AS INT))"
-
-
-@query(
+_SAID_NAMES = "['" + "', '".join(rewards.NAMES) + "']"
+_SHOWS = "['" + "', '".join(w.replace("'", "''") for w in rewards.INDICATORS) + "']"
+_REWARDS = (
     _GOLD
-    + f""", c AS (SELECT *, trim({_THOUGHT}) AS thought, CASE qid % 3 WHEN 0 THEN gold WHEN 1 THEN lower(gold) ELSE 'what' END AS said FROM gold),
-n AS (SELECT *, length(thought) AS len, CAST(qid % 70 AS INT) AS parts FROM c),
-p AS (SELECT *, CASE WHEN regexp_matches(said, '^[0-9]+$') OR said = gold THEN 0.5 WHEN said = lower(gold) THEN 0.3 ELSE 0.0 END AS atype_reward,
+    + f""", c AS (SELECT *, CAST(qid % 5 AS INT) AS k, repeat('because it is so. ', CAST(qid % 70 AS INT)) AS lead FROM gold),
+t AS (SELECT qid, qtype, seq_len, gold, CASE k WHEN 4 THEN '' ELSE trim(lead || CASE k WHEN 0 THEN gold || '.' WHEN 1 THEN upper(gold) || '!' WHEN 2 THEN gold ELSE '' END) END AS thought,
+ CASE k WHEN 2 THEN 'it is ' || gold WHEN 3 THEN 'what' WHEN 4 THEN lower(gold) ELSE gold END AS said, CASE WHEN qid % 2 = 0 THEN 1.0 ELSE 0.75 END AS form FROM c),
+n AS (SELECT *, length(thought) AS len, CASE WHEN thought = '' THEN 0 ELSE 1 + len(regexp_extract_all(thought, '[.!?]\\s+')) END AS parts, regexp_replace(thought, '^(?s:.*[.!?]\\s+)', '') AS last FROM t),
+p AS (SELECT *, CASE WHEN regexp_matches(said, '^[0-9]+$') OR list_contains({_SAID_NAMES}, said) THEN 0.5 WHEN list_contains(list_transform({_SAID_NAMES}, lambda x: lower(x)), lower(said)) THEN 0.3 ELSE 0.0 END AS atype_reward,
 CASE WHEN len < 50 THEN 0.1 WHEN len < 300 THEN 0.1 + 0.4 * (len - 50) / 250 WHEN len <= 1000 THEN 0.5 * (1 - (len - 300) / 700.0) ELSE 0.1 END
- + CASE WHEN parts > 0 THEN 0.05 ELSE 0 END + CASE WHEN parts >= 3 THEN 0.2 WHEN parts = 2 THEN 0.1 ELSE 0 END AS reasoning FROM n)
-SELECT qid, qtype, seq_len, CAST(atype_reward AS DOUBLE) AS atype_reward, CAST(reasoning AS DOUBLE) AS reasoning, CAST(0 AS DOUBLE) AS consistency FROM p"""
+ + least(0.3, 0.05 * len(list_filter({_SHOWS}, lambda w: contains(lower(thought), w)))) + CASE WHEN parts >= 3 THEN 0.2 WHEN parts = 2 THEN 0.1 ELSE 0 END AS reasoning,
+CASE WHEN thought = '' OR said = '' THEN 0.0 WHEN contains(thought, said) THEN 0.3 WHEN contains(lower(thought), lower(said)) THEN 0.2 WHEN last <> '' AND (contains(last, said) OR contains(said, last)) THEN 0.3 ELSE 0.0 END AS consistency,
+CASE WHEN said = gold THEN 2.0 WHEN lower(said) = lower(gold) THEN 1.5 WHEN contains(gold, said) OR contains(said, gold) THEN 1.0 WHEN 1 - levenshtein(said, gold) / greatest(length(said), length(gold)) > 0.8 THEN 0.75 ELSE 0.0 END AS correctness FROM n),
+r AS (SELECT *, CASE WHEN correctness <= 0 THEN 0.0 WHEN len < 50 THEN 0.1 WHEN len < 300 THEN 0.1 + 0.4 * (len - 50) / 250 ELSE 0.5 * cos(least(1.0, (len - 300) / 700.0) * (pi() / 2)) END AS of_length FROM p)
+"""
 )
-def rw_parts(spark, sf_dir):
+
+
+def _completions(spark, sf_dir) -> DataFrame:
+    """Answers after five kinds of reasoning: it says the answer, says it in capitals, ends in what the answer holds, never comes to it, isn't there; in strict form or in one line."""
     g, q = F.col("gold"), F.col("qid")
-    said = F.when(q % 3 == 0, g).when(q % 3 == 1, F.lower(g)).otherwise("what")
-    text = F.concat(F.lit("<think>"), F.repeat(F.lit("because it is so. "), (q % 70).cast("int")), F.lit("</think><answer>"), said, F.lit("</answer>"))
-    rows = _gold(spark, sf_dir).withColumn("t", text)
-    return rows.select("qid", "qtype", "seq_len", rewards.kind(F.col("t")).alias("atype_reward"), rewards.reasoning(F.col("t")).alias("reasoning"), rewards.consistency(F.col("t")).alias("consistency"))
+    k, lead = q % 5, F.repeat(F.lit("because it is so. "), (q % 70).cast("int"))
+    ends = F.when(k == 0, F.concat(g, F.lit("."))).when(k == 1, F.concat(F.upper(g), F.lit("!"))).when(k == 2, g).otherwise("")
+    thought = F.when(k == 4, "").otherwise(F.concat(lead, ends))
+    said = F.when(k == 2, F.concat(F.lit("it is "), g)).when(k == 3, "what").when(k == 4, F.lower(g)).otherwise(g)
+    strict = F.concat(F.lit("<think>\n"), thought, F.lit("\n</think>\n<answer>\n"), said, F.lit("\n</answer>"))
+    plain = F.concat(F.lit("<think>"), thought, F.lit("</think><answer>"), said, F.lit("</answer>"))
+    return _gold(spark, sf_dir).withColumn("t", F.when(q % 2 == 0, strict).otherwise(plain))
+
+
+@query(_REWARDS + "SELECT qid, qtype, seq_len, CAST(atype_reward AS DOUBLE) AS atype_reward, CAST(reasoning AS DOUBLE) AS reasoning, CAST(consistency AS DOUBLE) AS consistency FROM r")
+def rw_parts(spark, sf_dir):
+    t = F.col("t")
+    return _completions(spark, sf_dir).select("qid", "qtype", "seq_len", rewards.kind(t).alias("atype_reward"), rewards.reasoning(t).alias("reasoning"), rewards.consistency(t).alias("consistency"))
+
+
+@query(_REWARDS + "SELECT qid, qtype, seq_len, CAST(correctness + 0.5 * form + 0.8 * reasoning + 0.7 * consistency + 0.3 * atype_reward + 0.4 * of_length AS DOUBLE) AS reward FROM r")
+def rw_combined(spark, sf_dir):
+    """All rewards of a completion by their weights."""
+    return _completions(spark, sf_dir).select("qid", "qtype", "seq_len", rewards.combined(F.col("t"), F.col("gold")).alias("reward"))

@@ -212,13 +212,17 @@ def test_run_statistics_are_exact_ranks(spark):
         assert (row.n, row.median_len, row.p90_len) == (n, lens[n // 2], lens[int(0.9 * (n - 1))])
 
 
-def test_fuzzy_match_either_way(spark, monkeypatch):
-    models = spark.createDataFrame([("org/Alpha-1-Instruct",), ("b/Beta",), ("c/None",)], "model string")
-    external = spark.createDataFrame([("x-Alpha-1-long", 1), ("Alpha-1", 2), ("Beta-2", 3), ("zBeta-2", 4)], "id string, score int")
-    for rows in (10_000, 0):
-        monkeypatch.setattr(leaderboard, "BROADCAST_ROWS", rows)
-        got = {r.model: (r.id, r.score) for r in leaderboard.fuzzy_matched(models, external).collect()}
-        assert got == {"org/Alpha-1-Instruct": ("Alpha-1", 2), "b/Beta": ("Beta-2", 3), "c/None": (None, None)}
+@pytest.mark.parametrize("gram", [1, 3, 9])
+def test_fuzzy_match(spark, monkeypatch, gram):
+    monkeypatch.setattr(leaderboard, "GRAM", gram)
+    names = ["org/Alpha-1-Instruct", "b/Beta", "c/None", "x/y", "-Instruct", "q/1", "Beta", "a/aXa", None]
+    ids = [("x-Alpha-1-long", 1), ("Alpha-1", 2), ("Beta-2", 3), ("zBeta-2", 4), ("", 5), (None, 6), ("y", 7), ("Y1", 8), ("aXXa aXaa", 9)]
+    models, external = spark.createDataFrame([(n,) for n in names], "model string"), spark.createDataFrame(ids, "id string, score int")
+    matched = leaderboard.fuzzy_matched(models, external)
+    tail = lambda n: n.split("/")[-1].strip("-Instruct")
+    want = {n: min(((len(i), i, s) for i, s in ids if i is not None and tail(n) in i), default=(0, None, None))[1:] if n else (None, None) for n in names}
+    assert {r.model: (r.id, r.score) for r in matched.collect()} == want
+    assert "NestedLoop" not in matched._jdf.queryExecution().executedPlan().toString()
 
 
 def test_rewards(spark):
