@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stepfold.functions import sentences
 from stepfold.functions.answers import tagged
 from stepfold.model import CHARS, NOBODY, ROOMS
 
@@ -42,29 +43,24 @@ def form(text: Column, json: bool = False) -> Column:
     return F.when(text.rlike(strict), 1.0).when(text.rlike(good), 0.75).when(text.rlike(least), 0.5).otherwise(0.0)
 
 
-def sentences(text: Column) -> Column:
-    """Sentences end in . ! or ? before white space."""
-    # a function of two arguments would get the place of each sentence as its second
-    return F.array_remove(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), "")
-
-
 def _ramp(n: Column) -> Column:
     """0.1 up to SHORT characters, rising to 0.5 at BEST; null beyond."""
     return F.when(n < SHORT, 0.1).when(n < BEST, 0.1 + 0.4 * (n - SHORT) / (BEST - SHORT))
 
 
-def reasoning(text: Column) -> Column:
+def reasoning(text: Column, known: Column | list[str] = ()) -> Column:
+    """known: the abbreviations that end no sentence."""
     thought = tagged(text, "think")
     n = F.length(thought)
     by_length = _ramp(n).when(n <= LONG, 0.5 * (1 - (n - BEST) / (LONG - BEST))).otherwise(0.1)
     hits = sum((F.lower(thought).contains(w).cast("int") for w in INDICATORS), F.lit(0))
-    parts = F.size(sentences(thought))
+    parts = F.size(sentences.split(thought, known))
     return by_length + F.least(F.lit(0.3), 0.05 * hits) + F.when(parts >= 3, 0.2).when(parts == 2, 0.1).otherwise(0.0)
 
 
-def consistency(text: Column) -> Column:
+def consistency(text: Column, known: Column | list[str] = ()) -> Column:
     thought, said = tagged(text, "think"), tagged(text, "answer")
-    last = F.coalesce(F.try_element_at(sentences(thought), F.lit(-1)), F.lit(""))
+    last = F.coalesce(F.try_element_at(sentences.split(thought, known), F.lit(-1)), F.lit(""))
     return F.when((thought == "") | (said == ""), 0.0).when(thought.contains(said), 0.3).when(F.lower(thought).contains(F.lower(said)), 0.2).when((last != "") & (last.contains(said) | said.contains(last)), 0.3).otherwise(0.0)
 
 
@@ -74,6 +70,6 @@ def length(text: Column, gold: Column) -> Column:
     return F.when(correctness(text, gold) <= 0, 0.0).otherwise(_ramp(n).otherwise(decay))
 
 
-def combined(text: Column, gold: Column, weights: dict[str, float] = WEIGHTS) -> Column:
-    parts = {"correctness": correctness(text, gold), "format": form(text), "reasoning": reasoning(text), "consistency": consistency(text), "atype": kind(text), "length": length(text, gold)}
+def combined(text: Column, gold: Column, weights: dict[str, float] = WEIGHTS, known: Column | list[str] = ()) -> Column:
+    parts = {"correctness": correctness(text, gold), "format": form(text), "reasoning": reasoning(text, known), "consistency": consistency(text, known), "atype": kind(text), "length": length(text, gold)}
     return sum((weights[k] * v for k, v in parts.items()), F.lit(0.0))

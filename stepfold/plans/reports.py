@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepfold.functions import answers, json_repair, rewards
+from stepfold.functions import answers, json_repair, rewards, sentences
 from stepfold.model import TASKS
 from stepfold.operators import curation, leaderboard, segments
 from stepfold.plans import generate, outputs, question_sql, records
@@ -396,3 +396,15 @@ def rw_parts(spark, sf_dir):
 def rw_combined(spark, sf_dir):
     """All rewards of a completion by their weights."""
     return _completions(spark, sf_dir).select("qid", "qtype", "seq_len", rewards.combined(F.col("t"), F.col("gold")).alias("reward"))
+
+
+@query(
+    r"""WITH w AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2D\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS w FROM documents),
+c AS (SELECT regexp_replace(w, '\.$', '') AS word, count(*) FILTER (w LIKE '%.') AS with_period, count(*) FILTER (w NOT LIKE '%.') AS without FROM w GROUP BY 1 HAVING word <> ''),
+t AS (SELECT sum(with_period) / sum(with_period + without) AS p FROM c),
+s AS (SELECT word, with_period, without, length(replace(word, '.', '')) AS n, -2 * (with_period * ln(p) + without * ln(1 - p) - with_period * ln(0.99) - without * ln(1 - 0.99)) AS ratio FROM c, t WHERE with_period > 0 AND NOT regexp_matches(word, '^[0-9.]*$'))
+SELECT word, with_period, without, round(ratio * exp(-n) * (length(word) - n + 1) * power(CAST(n AS DOUBLE), -without), 6) AS score FROM s"""
+)
+def sent_types(spark, sf_dir):
+    """How likely each type of word of the documents that ends in a period is an abbreviation."""
+    return sentences.scored_types(sentences.type_counts(table(spark, sf_dir, "documents"))).withColumn("score", F.round("score", 6))
