@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,6 +17,8 @@ EPSILON = 1e-6
 SHORT_TOKENS = 32
 #: Characters of the parts that names are looked up by.
 GRAM = 3
+#: Of approximate percentiles; values that are sorted at once.
+ACCURACY, AT_ONCE = 10_000, 50_000
 
 
 def hit_rates(scored: DataFrame, per_cell: int = PER_CELL) -> DataFrame:
@@ -182,11 +185,61 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
+def order_statistics(rows: DataFrame, x: Column, ranks: list[int], at_once: int = AT_ONCE) -> dict[int, float]:
+    """The values of some ranks, from 0, of a column in ascending order, exactly; null and NaN don't count.
+
+    A range that holds a rank's value is narrowed, pass by pass, to what lies between two approximate percentiles around
+    it, and counted; when at_once values are left, these are sorted. No task holds more than a sketch or that many values.
+    """
+    values = rows.select(x.cast("double").alias("x")).where("x is not null and not isnan(x)")
+    whole = values.agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")).first()
+    found: dict[int, float] = {}
+    # rank: least and greatest value of its range, how many are below and within
+    ranges = {r: (whole.low, whole.high, 0, whole.n) for r in ranks if 0 <= r < whole.n}
+    while ranges:
+        found |= {r: low for r, (low, high, _, _) in ranges.items() if low == high}
+        small = {x[:3] for x in ranges.values() if x[0] < x[1] and x[3] <= at_once}
+        for low, high, below in small:
+            got = [r.x for r in values.where(F.col("x").between(low, high)).orderBy("x").collect()]  # at_once at most
+            found |= {r: got[r - below] for r, x in ranges.items() if x[:3] == (low, high, below)}
+        ranges = {r: x for r, x in ranges.items() if r not in found}
+        if not ranges:
+            break
+        inside = lambda low, high: F.when(F.col("x").between(low, high), F.col("x"))
+        around = lambda r, below, n: [min(1.0, max(0.0, (r - below) / n + d)) for d in (-2 / ACCURACY, 2 / ACCURACY)]
+        sketch = values.agg(*(F.percentile_approx(inside(low, high), around(r, below, n), ACCURACY).alias(f"r{r}") for r, (low, high, below, n) in ranges.items())).first()
+        counts = []
+        for r, (low, high, _, _) in ranges.items():
+            a, b = sketch[f"r{r}"]
+            # the two ends are told on their own, so that a range of few values that repeat gets narrower too
+            parts = {"l": F.col("x") < a, "a": F.col("x") == a, "m": (F.col("x") > a) & (F.col("x") < b), "b": (F.col("x") == b) & F.lit(a < b), "h": F.col("x") > b}
+            within = F.col("x").between(low, high)
+            counts += [F.count_if(within & c).alias(f"{k}{r}") for k, c in parts.items()]
+            limits = {"l": F.max(F.when(within & parts["l"], F.col("x"))), "m": F.min(F.when(within & parts["m"], F.col("x"))), "n": F.max(F.when(within & parts["m"], F.col("x"))), "h": F.min(F.when(within & parts["h"], F.col("x")))}
+            counts += [c.alias(f"e{k}{r}") for k, c in limits.items()]
+        told = values.agg(*counts).first().asDict()
+        narrowed = {}
+        for r, (low, high, below, _) in ranges.items():
+            a, b = sketch[f"r{r}"]
+            bounds = {"l": (low, told[f"el{r}"]), "a": (a, a), "m": (told[f"em{r}"], told[f"en{r}"]), "b": (b, b), "h": (told[f"eh{r}"], high)}
+            for k, (x0, x1) in bounds.items():
+                if r < below + told[f"{k}{r}"]:
+                    narrowed[r] = (x0, x1, below, told[f"{k}{r}"])
+                    break
+                below += told[f"{k}{r}"]
+        ranges = narrowed
+    return found
+
+
 def described(rows: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, standard deviation, least, quartiles (interpolated) and greatest of a column."""
     x = F.col(column).cast("double")
-    quartile = lambda q: F.percentile(x, F.lit(q)).alias(f"p{int(q * 100)}")
-    return rows.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev(x).alias("std"), F.min(x).alias("min"), *map(quartile, (0.25, 0.5, 0.75)), F.max(x).alias("max"))
+    n = rows.select(x.alias("x")).where("x is not null and not isnan(x)").count()
+    places = {f"p{int(100 * q)}": q * (n - 1) for q in (0.25, 0.5, 0.75)}
+    at = order_statistics(rows, x, sorted({k for p in places.values() for k in (math.floor(p), math.ceil(p))}))
+    quartile = lambda p: at[math.floor(p)] + (at[math.ceil(p)] - at[math.floor(p)]) * (p - math.floor(p)) if n else None
+    quartiles = [F.lit(quartile(p)).cast("double").alias(c) for c, p in places.items()]
+    return rows.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")).select("count", "mean", "std", "min", *quartiles, "max")
 
 
 def run_report(samples: DataFrame) -> DataFrame:

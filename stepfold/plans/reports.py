@@ -403,8 +403,8 @@ def rw_combined(spark, sf_dir):
 c AS (SELECT regexp_replace(w, '\.$', '') AS word, count(*) FILTER (w LIKE '%.') AS with_period, count(*) FILTER (w NOT LIKE '%.') AS without FROM w GROUP BY 1 HAVING word <> ''),
 t AS (SELECT sum(with_period) / sum(with_period + without) AS p FROM c),
 s AS (SELECT word, with_period, without, length(replace(word, '.', '')) AS n, -2 * (with_period * ln(p) + without * ln(1 - p) - with_period * ln(0.99) - without * ln(1 - 0.99)) AS ratio FROM c, t WHERE with_period > 0 AND NOT regexp_matches(word, '^[0-9.]*$'))
-SELECT word, with_period, without, round(ratio * exp(-n) * (length(word) - n + 1) * power(CAST(n AS DOUBLE), -without), 6) AS score FROM s"""
+SELECT word, with_period, without, round(ratio * exp(-n) * (length(word) - n + 1) * power(CAST(n AS DOUBLE), -without), 6) + 0.0 AS score FROM s"""
 )
 def sent_types(spark, sf_dir):
     """How likely each type of word of the documents that ends in a period is an abbreviation."""
-    return sentences.scored_types(sentences.type_counts(table(spark, sf_dir, "documents"))).withColumn("score", F.round("score", 6))
+    return sentences.scored_types(sentences.type_counts(table(spark, sf_dir, "documents"))).withColumn("score", F.round("score", 6) + F.lit(0.0))  # no zero has a sign
