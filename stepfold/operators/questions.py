@@ -186,8 +186,9 @@ def spend_alone(world: World) -> Result:
 
 
 def spend_together(world: World) -> Result:
-    mine = _in_range(world.bound.where("ch = c0")).select("seq_id", "step_id", "room", "c0")
-    both = mine.join(world.state.select("seq_id", "step_id", "room", "ch"), ["seq_id", "step_id", "room"]).where("ch <> c0")
+    # where c0 is, told to each row of its step within the one partitioning by sequence
+    mine = F.max(F.when(F.col("ch") == F.col("c0"), F.col("room"))).over(Window.partitionBy("seq_id", "step_id"))
+    both = _in_range(world.bound).withColumn("mine", mine).where("room = mine and ch <> c0").select("seq_id", "step_id", "room", "c0", "ch")
     answers, won = _extreme(world, _counted(world, world.chars, "ch", both.select("seq_id", "ch")).where("ch <> c0"), "ch")
     return answers, _cells(both.join(won.select("seq_id", F.col("answer").alias("ch")), ["seq_id", "ch"]))
 
