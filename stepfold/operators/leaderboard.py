@@ -74,8 +74,10 @@ def upper_median(x: str) -> Column:
 def rescored(new: DataFrame, old: DataFrame, least: float = 0.005) -> DataFrame:
     """new (model, task, em), old (model, task, old_em): delta and whether it is worth a look, with a MEAN row for each model."""
     both = new.join(old, ["model", "task"], "left").withColumn("delta", F.col("em") - F.col("old_em"))
-    mean = both.groupBy("model").agg(F.lit("MEAN").alias("task"), F.avg("em").alias("em"), F.avg("old_em").alias("old_em"), F.avg("delta").alias("delta"))
-    return both.select("model", "task", "em", "old_em", "delta").unionByName(mean).withColumn("changed", F.coalesce(F.abs("delta") >= least, F.lit(False)))
+    # one grouping gives the rows, one for each model and task, and the means of models
+    rows = both.rollup("model", "task").agg(*(F.avg(c).alias(c) for c in ("em", "old_em", "delta")), F.grouping_id().alias("g")).where("g < 3")
+    rows = rows.select("model", F.when(F.col("g") == 1, "MEAN").otherwise(F.col("task")).alias("task"), "em", "old_em", "delta")
+    return rows.withColumn("changed", F.coalesce(F.abs("delta") >= least, F.lit(False)))
 
 
 def run_stats(samples: DataFrame) -> DataFrame:
