@@ -183,13 +183,20 @@ def cur_with_split(spark, sf_dir):
 # records
 
 
-_TASK_ROWS = "(VALUES " + ", ".join(f"('{q}', '{t}')" for q, t in TASKS.items()) + ") AS t(qtype, task)"
+_TASK_ROWS = "(VALUES " + ", ".join(f"({i}, '{q}', '{t}')" for i, (q, t) in enumerate(TASKS.items())) + ") AS t(nth, qtype, task)"
 
 
-@query(f"SELECT 'rooms_' || lower(replace(task, '-', '_')) || '_64' AS config, task, 64 AS seq_len, qtype FROM {_TASK_ROWS}")
+@query(
+    f"""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'rooms_' ELSE '' END || lower(replace(coalesce(task, 'XX-OTHER'), '-', '_')) || '_' || user_id AS config,
+coalesce(task, 'XX-OTHER') AS task, CAST(user_id AS INT) AS seq_len, qtype FROM events LEFT JOIN {_TASK_ROWS} ON nth = event_id % {len(TASKS) + 1}"""
+)
 def rec_configs(spark, sf_dir):
-    names = spark.createDataFrame([(records.config_name("rooms", t, 64),) for t in TASKS.values()], "config string")
-    return names.select("config", *(c.alias(k) for k, c in records.task_of_config(F.col("config"), "rooms").items()))
+    """Names of configs for each event, of all tasks and an unknown one, with a prefix or not, and what they hold."""
+    names = F.array(*(F.lit(t.lower().replace("-", "_")) for t in (*TASKS.values(), "XX-OTHER")))
+    prefix = F.when(F.col("event_id") % 2 == 0, "rooms_").otherwise("")
+    config = F.concat(prefix, F.element_at(names, (F.col("event_id") % (len(TASKS) + 1) + 1).cast("int")), F.lit("_"), F.col("user_id").cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", config.alias("config"))
+    return rows.select("event_id", "config", *(c.alias(k) for k, c in records.task_of_config(F.col("config"), "rooms").items()))
 
 
 _CELLS_SQL = question_sql.cells_sql("spend_alone")
