@@ -352,12 +352,13 @@ def seg_messages(spark, sf_dir):
     return c.select("conv_id", "turn", F.array_join(F.transform(both, lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("chat"))
 
 
-@query(P + "x AS (SELECT 1) SELECT DISTINCT seq_id, CAST(32 AS INT) AS n FROM state")
+@query(P + "x AS (SELECT 1) SELECT seq_id, room, count(*) AS n, min(step_id) AS first FROM state GROUP BY ALL")
 def seg_quoted(spark, sf_dir):
-    """Steps written with single quotes are read back."""
+    """Steps written with single quotes, read back: how often anyone is in each room, and from which step on."""
     rows = sequences(world(spark, sf_dir).state)
     text = F.replace(F.to_json("sequence"), F.lit('"'), F.lit("'"))
-    return rows.select("seq_id", F.when(F.to_json(segments.quoted_steps(text)) == F.to_json("sequence"), F.size(segments.quoted_steps(text))).alias("n"))
+    steps = rows.select("seq_id", F.explode(segments.quoted_steps(text)).alias("s")).select("seq_id", F.col("s.step_id").cast("long").alias("step_id"), F.explode("s.rooms").alias("room", "chars"))
+    return steps.where(F.size("chars") > 0).groupBy("seq_id", "room").agg(F.sum(F.size("chars")).alias("n"), F.min("step_id").alias("first"))
 
 
 # rewards
