@@ -8,7 +8,7 @@ SUPPORT distinct texts hold along with the entity and that reaches DISCLOSURE is
 are the base spans.
 
 Co-occurrence, the counts of terms and their total take every text; equal texts count once. Texts are told by 128 bits
-of hashes. Terms are counted over the corpus before they are joined with anything. Null text is empty and has no spans.
+of hashes, and so are sets of texts. Terms are counted over the corpus before they are joined with anything. Null text is empty and has no spans.
 Repeated rows are rows of their own: rows in as rows out. With no base span anywhere there are no terms. Overlapping
 spans of several kinds all stay in the report; in the sanitised text the first, then the longest, then the kind listed
 first counts. Texts of any length are scanned whole. Columns are carried under other names, so theirs may be any.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepfold.llm.common import Scratch, columns, settled
-from stepfold.llm.spans import SPANS, hits, located, only_if, text_of
+from stepfold.llm.spans import SPANS, hits, in_blocks, located, once, only_if, text_of
 
 #: Fixed patterns of the base scan, as Java regular expressions that never backtrack.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -30,7 +30,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "term")
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]{3,}"
 SUPPORT, DISCLOSURE = 3, 0.95
-BROADCAST_ROWS = 50_000
+BROADCAST_ROWS, BUCKETS, BLOCK = 50_000, 256, 4096
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 
@@ -80,9 +80,20 @@ def _flat(rows_of: tuple[str, ...] = KINDS[:4]) -> Column:
 
 def mentions(rows: DataFrame) -> DataFrame:
     """t, u, entities, terms of each distinct text with entities: these as hashes, and all terms outside the base spans."""
-    some = rows.withColumn("all", _flat()).where(F.size("all") > 0)
-    blank = F.aggregate("all", F.col("text"), lambda text, x: F.overlay(text, F.repeat(F.lit(" "), x["end"] - x["start"]), x["start"] + 1, x["end"] - x["start"]))
-    some = settled(some, "masked", blank)
+    some = settled(rows, "all", _flat()).where(F.size("all") > 0)
+    # overlay counts characters from the start, so a long text is blanked block by block
+    some = settled(some, "blocks", hits(F.col("text"), f"(?s).{{1,{BLOCK}}}"))
+
+    def blank(block: Column, i: Column) -> Column:
+        first, end = i * BLOCK, (i + 1) * BLOCK
+
+        def step(out: Column, x: Column) -> Column:
+            start, n = F.greatest(x["start"] - first, F.lit(0)), F.least(x["end"], end) - F.greatest(x["start"], first)
+            return F.overlay(out, F.repeat(F.lit(" "), n), start + 1, n)
+
+        return F.aggregate(F.filter("all", lambda x: (x["start"] < end) & (x["end"] > first)), block, step)
+
+    some = settled(some, "masked", F.array_join(F.transform("blocks", blank), ""))
     entities = F.array_distinct(F.transform("all", lambda x: F.xxhash64(x["kind"], F.lower(x["value"]))))
     return some.select("t", "u", entities.alias("entities"), F.array_distinct(hits(F.lower("masked"), TERM)).alias("terms")).dropDuplicates(["t", "u"])
 
@@ -110,26 +121,55 @@ def term_counts(docs: DataFrame, again: DataFrame) -> DataFrame:
     return each.groupBy("term").agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(1)).alias("n_term"))
 
 
+def _same_texts() -> tuple[Column, Column]:
+    """128 bits of the set of texts of a group whose rows are distinct texts."""
+    return F.bit_xor(F.xxhash64("t", "u")).alias("x"), F.bit_xor(F.xxhash64(F.lit("texts"), "t", "u")).alias("y")
+
+
+def _needed(n_e: Column, total: int) -> Column:
+    """The share of a term's texts that must hold an entity of n_e texts if the term is to reveal it."""
+    return F.pow(F.least(n_e / F.lit(float(max(total, 2))), F.lit(0.5)), F.lit(1 - DISCLOSURE)) * (1 - 1e-9)
+
+
 def revealing(spark: SparkSession, docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """term, disclosure of each term that reveals an entity."""
+    """term, disclosure of each term that reveals an entity.
+
+    Entities of the same set of texts are one class, and so are terms of the same set and count, so that what some
+    texts repeat meets once, however much it is. A term of n texts reveals an entity of n_e only if n * share <= n_e,
+    and only if that share of its texts holds any entity at all; what fails this by its counts isn't paired.
+    """
     held = scratch.write(mentions(rows), "mentions")
-    # an entity in fewer texts than SUPPORT has no term in as many
-    entities = scratch.write(held.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT), "entities")
-    some = entities.select("e")
-    of_text = held.select("t", "u", F.explode("entities").alias("e")).join(F.broadcast(some) if entities.count() <= BROADCAST_ROWS else some, "e")
-    of_text = of_text.groupBy("t", "u").agg(F.collect_list("e").alias("es"))
-    each = held.select("t", "u", "terms").join(of_text, ["t", "u"]).select("es", F.explode("terms").alias("term")).select("term", F.explode("es").alias("e"))
-    pairs = scratch.write(each.groupBy("term", "e").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT), "pairs")
     again = scratch.write(repeated_texts(docs), "repeated")
     rows_again, texts_again = again.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count("*")).first()
     total = docs.count() - rows_again + texts_again
     counts = term_counts(docs, F.broadcast(again) if texts_again <= BROADCAST_ROWS else again)
-    told = pairs.join(counts, "term").join(entities, "e")
-    share = F.col("n_e") / F.lit(float(max(total, 2)))
+
+    def by_text(each: DataFrame, key: str, classes: DataFrame, name: str) -> DataFrame:
+        small = classes.count() <= BROADCAST_ROWS
+        found = each.join(F.broadcast(classes) if small else classes, key)
+        return found.groupBy("t", "u").agg(F.collect_set(F.struct(*(c for c in classes.columns if c != key))).alias(name))
+
+    # an entity in fewer texts than SUPPORT has no term in as many
+    each_e = held.select("t", "u", F.explode("entities").alias("e"))
+    entities = each_e.groupBy("e").agg(F.count("*").alias("n_e"), *_same_texts()).where(F.col("n_e") >= SUPPORT)
+    entities = scratch.write(entities.withColumn("most", F.col("n_e") / _needed(F.col("n_e"), total)), "entities")
+    most = entities.agg(F.coalesce(F.max("most"), F.lit(0.0))).first()[0]
+    least = F.lit(float(SUPPORT))
+    each_t = held.select("t", "u", F.explode("terms").alias("term"))
+    near = each_t.groupBy("term").agg(F.count("*").alias("n_held"), *_same_texts()).where(F.col("n_held") >= SUPPORT)
+    terms = near.join(counts, "term").where((F.col("n_term") <= most) & (F.col("n_held") >= F.col("n_term") * _needed(least, total)))
+    terms = scratch.write(terms.drop("n_held"), "near")
+    pairs = by_text(each_e, "e", entities, "es").join(by_text(each_t, "term", terms, "ts"), ["t", "u"])
+    pairs = pairs.select("es", F.explode("ts").alias("k")).select("k", F.explode(F.filter("es", lambda e: F.col("k.n_term") <= e["most"])).alias("e"))
+    pairs = pairs.groupBy("k", "e").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
+    share = F.col("e.n_e") / F.lit(float(max(total, 2)))
     # a term beside an entity counts at least there
-    disclosure = 1 + F.log(F.col("both") / F.greatest("n_term", "both")) / -F.log(F.least(share, F.lit(0.5)))
-    out = scratch.write(told.select("term", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE).groupBy("term").agg(F.max("disclosure").alias("disclosure")), "terms")
-    scratch.drop(held, entities, pairs, again)
+    disclosure = 1 + F.log(F.col("both") / F.greatest("k.n_term", "both")) / -F.log(F.least(share, F.lit(0.5)))
+    told = pairs.select("k.*", disclosure.alias("disclosure")).where(F.col("disclosure") >= DISCLOSURE).groupBy("x", "y", "n_term").agg(F.max("disclosure").alias("disclosure"))
+    told = scratch.write(told, "classes")
+    out = terms.join(F.broadcast(told) if told.count() <= BROADCAST_ROWS else told, ["x", "y", "n_term"])
+    out = scratch.write(out.select("term", "disclosure"), "terms")
+    scratch.drop(held, again, entities, terms, told)
     return out
 
 
@@ -138,17 +178,51 @@ def find(spark: SparkSession, docs: DataFrame, carried: list[str]) -> DataFrame:
     scratch = Scratch(spark, "pii")
     rows = with_spans(docs, carried)
     terms = revealing(spark, docs, rows, scratch)
-    held = _held(docs, terms.select("term"), terms.count() <= BROADCAST_ROWS).groupBy("t", "u").agg(F.collect_set("term").alias("terms"))
+    held = _held(docs, terms.select("term"), terms.count() <= BROADCAST_ROWS).select("t", "u", "term", _bucket(F.col("term")).alias("b"))
+    held = held.groupBy("t", "u", "b").agg(F.collect_set("term").alias("of")).groupBy("t", "u").agg(F.map_from_entries(F.collect_list(F.struct("b", "of"))).alias("terms"))
     held = scratch.write(held, "held")
     if held.count() <= BROADCAST_ROWS:
         held = F.broadcast(held)
     told = rows.join(held, ["t", "u"], "left")
     text = F.col("text")
     told = settled(told, "_term", only_if(F.col("terms").isNotNull(), hits(text, TERM)))
-    told = settled(told, "_terms", located(text, TERM, F.col("_term"), keep=lambda x, _: F.array_contains("terms", F.lower(x))))
-    told = settled(told, "base", _flat())
-    apart = F.filter("_terms", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    return told.withColumn("term", F.coalesce(apart, F.array().cast(SPANS))).drop("terms", "_term", "_terms", "base")
+    told = settled(told, "_terms", located(text, TERM, F.col("_term"), keep=lambda x, _: F.coalesce(F.array_contains(F.col("terms")[_bucket(F.lower(x))], F.lower(x)), F.lit(False))))
+    told = settled(told, "_all", _apart_from(_flat()))
+    return told.withColumnRenamed("_all", "term").drop("terms", "_term", "_terms")
+
+
+def _bucket(term: Column) -> Column:
+    """A text's revealing terms lie in buckets, so that a word is compared with few of them."""
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def _apart_from(base: Column) -> Column:
+    """The spans in _terms that overlap none in `base`, by one fold over both in the order of their starts."""
+    def marked(spans: Column | str, own: bool) -> Column:
+        return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(own).alias("own"), x["end"].alias("end"), x["value"].alias("value")))
+
+    one = "struct<start:int,end:int,value:string,part:string>"
+    nothing = F.lit(None).cast(one)
+
+    def state(reach: Column, last: Column, out: Column) -> Column:
+        return F.struct(reach.alias("reach"), last.alias("last"), out.alias("out"))
+
+    def gathered(acc: Column) -> Column:
+        return F.when(acc["last"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["last"])))
+
+    # terms don't overlap, so a base span that starts within one starts within the last
+    def step(acc: Column, x: Column) -> Column:
+        term = F.struct(x["start"], x["end"], x["value"], F.lit(None).cast("string").alias("part")).cast(one)
+        own = state(acc["reach"], F.when(x["start"] >= acc["reach"], term).otherwise(nothing), gathered(acc))
+        return F.when(x["own"], own).otherwise(state(F.greatest(acc["reach"], x["end"]), F.when(acc["last"]["end"] > x["start"], nothing).otherwise(acc["last"]), acc["out"]))
+
+    def block(acc: Column, some: Column) -> Column:
+        return once(F.aggregate(some, state(acc["reach"], acc["last"], F.array().cast(SPANS)), step), lambda x: state(x["reach"], x["last"], F.concat(acc["out"], x["out"])))
+
+    both = F.array_sort(F.concat(marked(base, False), marked("_terms", True)))
+    zero = state(F.lit(0), nothing, F.array().cast(SPANS))
+    found = once(both, lambda z: F.aggregate(in_blocks(z), zero, block, gathered))
+    return F.when(F.size("_terms") > 0, found).otherwise(F.array().cast(SPANS))
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:

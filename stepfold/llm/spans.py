@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPANS = "array<struct<start:int,end:int,value:string,part:string>>"
+#: Matches that are folded at once: each step of a fold copies what it has gathered.
+FOLD = 64
 
 
 def hits(text: Column, pattern: str, group: int = 0) -> Column:
@@ -29,8 +31,27 @@ def located(text: Column, pattern: str, found: Column, parts: Column | None = No
         return F.struct(end.alias("at"), (more if keep is None else F.when(keep(x["hit"], x["part"]), more).otherwise(acc["out"])).alias("out"))
 
     none = F.array().cast(SPANS)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    return F.when(F.size(found) > 0, F.aggregate(zipped, zero, step, lambda acc: acc["out"])).otherwise(none)
+
+    def fold(at: Column, some: Column) -> Column:
+        return F.aggregate(some, F.struct(at.alias("at"), none.alias("out")), step)
+
+    def block(acc: Column, some: Column) -> Column:
+        return once(fold(acc["at"], some), lambda x: F.struct(x["at"].alias("at"), F.concat(acc["out"], x["out"]).alias("out")))
+
+    def folded(z: Column) -> Column:
+        return F.aggregate(in_blocks(z), F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda acc: acc["out"])
+
+    return F.when(F.size(found) > 0, once(zipped, folded)).otherwise(none)
+
+
+def in_blocks(z: Column) -> Column:
+    """An array that isn't empty, cut into arrays of FOLD."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / FOLD).cast("int")), lambda i: F.slice(z, i * FOLD + 1, F.lit(FOLD)))
+
+
+def once(value: Column, f) -> Column:
+    """f(value), with the value computed once."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def only_if(condition: Column, strings: Column) -> Column:
