@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stepfold.model import LEADERBOARD_TASKS, atype
@@ -16,10 +16,9 @@ LENGTHS = (16, 32)
 MODELS = ["one/alpha-Instruct", "two/beta", "three/gamma"]
 
 
-def dense_answers(w: World) -> DataFrame:
-    """seq_id, qtype, answer of every valid answer to the leaderboard's questions: one pass over the state, whose partitioning by sequence serves the window and both groupings."""
-    occupants = F.count("*").over(Window.partitionBy("seq_id", "step_id", "room"))
-    rows = w.bound.where("step_id between f0 and f1").withColumn("n", occupants)
+def _dense(w: World) -> DataFrame:
+    """A row for each sequence: its bindings and its answers to the leaderboard's questions by name, null where one isn't valid. One pass over the state, whose partitioning by sequence serves the grouping."""
+    rows = w.with_param(w.company).where("step_id between f0 and f1")
     crowd, c0, r0 = F.col("n") >= F.col("n_crowd"), F.col("ch") == F.col("c0"), F.col("room") == F.col("r0")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("step_id") % 63)
     steps = [F.bit_or(F.when(crowd & (F.floor(F.col("step_id") / 63) == k), bit)).alias(f"crowd{k}") for k in range(w.length // 63 + 1)]
@@ -45,8 +44,31 @@ def dense_answers(w: World) -> DataFrame:
         "where_spend": F.when(F.col("is_more") | (len(w.rooms) - span <= 1), extreme("where", w.rooms)),
         "who_spend": extreme("who", w.chars),
     }
-    each = F.explode(F.array(*(F.struct(F.lit(q).alias("qtype"), x.alias("answer")) for q, x in found.items()))).alias("x")
-    return counts.select("seq_id", each).select("seq_id", "x.*").where("answer is not null")
+    return counts.select("seq_id", "f0", "f1", *(x.alias(q) for q, x in found.items()))
+
+
+def dense_answers(w: World) -> DataFrame:
+    """seq_id, qtype, answer of every valid answer to the leaderboard's questions."""
+    each = F.explode(F.array(*(F.struct(F.lit(q).alias("qtype"), F.col(q).alias("answer")) for q in LEADERBOARD_TASKS))).alias("x")
+    return _dense(w).select("seq_id", each).select("seq_id", "x.*").where("answer is not null")
+
+
+def dense_cells(w: World) -> DataFrame:
+    """qtype, seq_id, step_id, room of the cells that support these answers, each once: the state meets the answers of its sequence within the one partitioning, and each row tells what it supports."""
+    won = _dense(w).select("seq_id", *(F.col(q).alias(f"won_{q}") for q in ("spend_alone", "where_spend", "who_spend")))
+    rows = w.with_param(w.company.join(won, "seq_id")).where("step_id between f0 and f1")
+    mine, here = F.col("ch") == F.col("c0"), F.col("room") == F.col("r0")
+    supports = {
+        "spend_alone": (F.col("n") == 1) & (F.col("ch") == F.col("won_spend_alone")),
+        "steps_in_room": mine & here,
+        "crowd_count": F.col("n") >= F.col("n_crowd"),
+        "where_spend": mine & (F.col("room") == F.col("won_where_spend")),
+        # every step of the range, whether anyone is there or not
+        "who_spend": (F.col("ch") == w.chars[0]) & F.col("won_who_spend").isNotNull(),
+    }
+    cell = {q: F.struct(F.lit(q).alias("qtype"), F.col("r0" if q == "who_spend" else "room").alias("room")) for q in supports}
+    each = F.explode(F.array_compact(F.array(*(F.when(on, cell[q]) for q, on in supports.items())))).alias("x")
+    return rows.select("seq_id", "step_id", each).select("x.qtype", "seq_id", "step_id", "x.room").where("room is not null").distinct()
 
 
 def gold(worlds: dict, qtypes: list[str] = LEADERBOARD_TASKS) -> DataFrame:

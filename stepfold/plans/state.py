@@ -35,14 +35,49 @@ def forward_filled(moves: DataFrame, length: int, chars: list[str] = CHARS, defa
     return _filled(grid.join(moves, ["seq_id", "step_id", "ch_ord"], "left"), chars, default)
 
 
-def moves_of_events(events: DataFrame, length: int = 32) -> DataFrame:
-    """seq_id, step_id, ch_ord, room: `length` consecutive event ids are a sequence with a move a step; only full sequences count.
+def _by_sequence(rows: DataFrame) -> DataFrame:
+    """The one shuffle of everything that follows: all later grouping is by seq_id and more, which this partitioning serves.
 
-    The one shuffle of everything that follows: all later grouping is by seq_id and more, which this partitioning serves.
+    Its number of parts is fixed: a few bytes of moves become many of states and texts, so parts that were put together
+    by the size of moves would be few and large.
     """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "seq_id")
+
+
+def _sequence_of(length: int) -> Column:
+    return F.floor(F.col("event_id") / length).cast("long").alias("seq_id")
+
+
+def _moves(events: DataFrame, length: int) -> DataFrame:
     room = F.create_map(*(F.lit(x) for kv in EVENT_ROOMS.items() for x in kv))[F.col("event_type")]
-    moves = events.select(F.floor(F.col("event_id") / length).cast("long").alias("seq_id"), (F.col("event_id") % length + 1).cast("int").alias("step_id"), (F.col("user_id") % len(CHARS)).cast("int").alias("ch_ord"), room.alias("room"))
-    return moves.withColumn("n", F.count("*").over(Window.partitionBy("seq_id"))).where(F.col("n") == length).drop("n")
+    return _by_sequence(events.select(_sequence_of(length), (F.col("event_id") % length + 1).cast("int").alias("step_id"), (F.col("user_id") % len(CHARS)).cast("int").alias("ch_ord"), room.alias("room")))
+
+
+def sequences_of_events(events: DataFrame, length: int = 32) -> DataFrame:
+    """seq_id of the full sequences of moves_of_events, by counts alone."""
+    return _by_sequence(events.select(_sequence_of(length))).groupBy("seq_id").agg(F.count("*").alias("n")).where(F.col("n") == length).select("seq_id")
+
+
+def moves_of_events(events: DataFrame, length: int = 32) -> DataFrame:
+    """seq_id, step_id, ch_ord, room: `length` consecutive event ids are a sequence with a move a step; only full sequences count."""
+    return _moves(events, length).withColumn("n", F.count("*").over(Window.partitionBy("seq_id"))).where(F.col("n") == length).drop("n")
+
+
+def steps_of_events(events: DataFrame, length: int = 32) -> DataFrame:
+    """seq_id, step_id, rooms: where each character is, in their order. One sort of the moves tells full sequences and last rooms."""
+    order = Window.partitionBy("seq_id").orderBy("step_id")
+    so_far, whole = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    last = [F.coalesce(F.last(F.when(F.col("ch_ord") == k, F.col("room")), ignorenulls=True).over(so_far), F.lit(ROOMS[0])).alias(f"r{k}") for k in range(len(CHARS))]
+    steps = _moves(events, length).select("seq_id", "step_id", F.count("*").over(whole).alias("n"), *last).where(F.col("n") == length)
+    return steps.select("seq_id", "step_id", F.array(*(F.col(f"r{k}") for k in range(len(CHARS)))).alias("rooms"))
+
+
+def _cells_of_steps(steps: DataFrame, company: bool = False) -> DataFrame:
+    """A row for each character of a step; with n, how many are in its room, if `company`."""
+    at = [F.get("rooms", F.lit(k)) for k in range(len(CHARS))]
+    n = lambda k: [sum((F.coalesce(at[k] == x, F.lit(False)).cast("long") for x in at), F.lit(0).cast("long")).alias("n")] if company else []
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("ch_ord"), F.lit(c).alias("ch"), at[k].alias("room"), *n(k)) for k, c in enumerate(CHARS)))).alias("x")
+    return steps.select("seq_id", "step_id", each).select("seq_id", "step_id", "x.*")
 
 
 def state_of_moves(moves: DataFrame, chars: list[str] = CHARS, default: str = ROOMS[0]) -> DataFrame:
@@ -52,7 +87,7 @@ def state_of_moves(moves: DataFrame, chars: list[str] = CHARS, default: str = RO
 
 
 def state_of_events(events: DataFrame, length: int = 32) -> DataFrame:
-    return state_of_moves(moves_of_events(events, length))
+    return _cells_of_steps(steps_of_events(events, length))
 
 
 def binding_columns(length: int, ranged: bool = False, n_crowd: int = 3) -> dict[str, Column]:
@@ -80,13 +115,14 @@ def params_of(sequences: DataFrame, length: int, ranged: bool = False, n_crowd:
 
 
 def world_of_events(events: DataFrame, length: int = 32, ranged: bool = False) -> World:
-    moves = moves_of_events(events, length)
-    return World(state_of_moves(moves), params_of(moves, length, ranged), length, bind=lambda df: df.withColumns(binding_columns(length, ranged)))
+    steps = steps_of_events(events, length)
+    bind = lambda df: df.withColumns(binding_columns(length, ranged))
+    return World(_cells_of_steps(steps), bind(sequences_of_events(events, length)), length, bind=bind, steps=steps)
 
 
 @dataclass(frozen=True)
 class World:
-    """State, bindings and dimensions that every query is asked of. Where bindings follow from the id alone, `bind` adds them to a table without a join."""
+    """State, bindings and dimensions that every query is asked of. Where bindings follow from the id alone, `bind` adds them to a table without a join; `steps` has the state by step, if it comes from such a table."""
 
     state: DataFrame
     param: DataFrame
@@ -94,6 +130,7 @@ class World:
     chars: tuple[str, ...] = tuple(CHARS)
     rooms: tuple[str, ...] = tuple(ROOMS)
     bind: Callable[[DataFrame], DataFrame] | None = None
+    steps: DataFrame | None = None
 
     def with_param(self, rows: DataFrame) -> DataFrame:
         """`rows` (seq_id, ...) with the bindings of their sequences."""
@@ -103,6 +140,13 @@ class World:
     def bound(self) -> DataFrame:
         return self.with_param(self.state)
 
+    @property
+    def company(self) -> DataFrame:
+        """The state with n, how many are in the same room at the step; by steps no window has to sort it."""
+        if self.steps is not None:
+            return _cells_of_steps(self.steps, company=True)
+        return self.state.withColumn("n", F.count("*").over(Window.partitionBy("seq_id", "step_id", "room")))
+
     @property
     def occ(self) -> DataFrame:
         """seq_id, step_id, room, n, who: occupied cells; who is the sole occupant if n is 1."""
