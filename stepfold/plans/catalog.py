@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from stepfold.functions import answers, rewards, wording
 from stepfold.model import LEADERBOARD_TASKS, ROOMS, TASKS, GenerationConfig
 from stepfold.operators import curation, leaderboard, segments
-from stepfold.operators.questions import QUESTIONS
 from stepfold.plans import generate, outputs, question_sql
 from stepfold.plans.state import World, rooms_map, wide, world_of_events
 
@@ -43,8 +41,8 @@ _texts = " UNION ALL ".join(f"SELECT seq_id, '{q}' AS qtype, {wording.question_s
 
 @query(question_sql.prelude(32, True) + f"x AS (SELECT 1) {_texts}")
 def fmt_questions(spark, sf_dir):
-    param = world(spark, sf_dir, ranged=True).param
-    return reduce(DataFrame.unionByName, (param.select("seq_id", F.lit(q).alias("qtype"), wording.question(q, "en", 32).alias("en"), wording.question(q, "ru", 32).alias("ru")) for q in TASKS))
+    texts = [F.struct(F.lit(q).alias("qtype"), wording.question(q, "en", 32).alias("en"), wording.question(q, "ru", 32).alias("ru")) for q in TASKS]
+    return world(spark, sf_dir, ranged=True).param.select("seq_id", F.explode(F.array(*texts)).alias("x")).select("seq_id", "x.*")
 
 
 @query(question_sql.prelude(32, True) + f"x AS ({_texts}) SELECT seq_id, qtype, ru AS translated, true AS matched FROM x")
@@ -87,10 +85,7 @@ _all_cells = " UNION ALL ".join(f"SELECT '{q}' AS qtype, seq_id, step_id, room F
 
 @query(f"SELECT qtype, seq_id, step_id, count(*) AS n_relevant, CAST(sum(count(*)) OVER (PARTITION BY qtype, seq_id) AS BIGINT) AS n_total FROM ({_all_cells}) GROUP BY qtype, seq_id, step_id")
 def rel_counts(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = world(spark, sf_dir)
-    cells = reduce(DataFrame.unionByName, (QUESTIONS[q](w)[1].withColumn("qtype", F.lit(q)) for q in LEADERBOARD_TASKS))
+    cells = outputs.dense_cells(world(spark, sf_dir))
     return cells.groupBy("qtype", "seq_id", "step_id").agg(F.count("*").alias("n_relevant")).withColumn("n_total", F.sum("n_relevant").over(Window.partitionBy("qtype", "seq_id")))
 
 
