@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stepfold.functions import sentences
 from stepfold.functions.answers import tagged
+from stepfold.functions.sentences import let
 from stepfold.model import CHARS, NOBODY, ROOMS
 
 # Lengths in characters, words that show reasoning, weights, bands of correctness, patterns of form.
@@ -28,14 +31,48 @@ def _bare(x: Column) -> Column:
     return F.replace(F.trim(x), F.lit('"'), F.lit(""))
 
 
+# Each reward is an expression of what the tags hold; these are bound once a row, as finding them costs more than all else.
+
+
+def _correctness(bare: Column, gold: Column) -> Column:
+    gold = F.trim(gold)
+    return F.when(bare == gold, EXACT).when(F.lower(bare) == F.lower(gold), SAME_LETTERS).when(gold.contains(bare) | bare.contains(gold), PART).when(similarity(bare, gold) > ALIKE, SIMILAR).otherwise(0.0)
+
+
+def _kind(bare: Column) -> Column:
+    return F.when(bare.rlike(r"^\d+$") | bare.isin(NAMES), 0.5).when(F.lower(bare).isin([n.lower() for n in NAMES]), 0.3).otherwise(0.0)
+
+
+def _ramp(n: Column) -> Column:
+    """0.1 up to SHORT characters, rising to 0.5 at BEST; null beyond."""
+    return F.when(n < SHORT, 0.1).when(n < BEST, 0.1 + 0.4 * (n - SHORT) / (BEST - SHORT))
+
+
+def _reasoning(thought: Column, parts: Column) -> Column:
+    by_length = let(F.length(thought), lambda n: _ramp(n).when(n <= LONG, 0.5 * (1 - (n - BEST) / (LONG - BEST))).otherwise(0.1))
+    hits = let(F.lower(thought), lambda low: sum((low.contains(w).cast("int") for w in INDICATORS), F.lit(0)))
+    several = let(F.size(parts), lambda k: F.when(k >= 3, 0.2).when(k == 2, 0.1).otherwise(0.0))
+    return by_length + F.least(F.lit(0.3), 0.05 * hits) + several
+
+
+def _consistency(thought: Column, said: Column, parts: Column) -> Column:
+    last = F.coalesce(F.try_element_at(parts, F.lit(-1)), F.lit(""))
+    ends = let(last, lambda x: (x != "") & (x.contains(said) | said.contains(x)))
+    return F.when((thought == "") | (said == ""), 0.0).when(thought.contains(said), 0.3).when(F.lower(thought).contains(F.lower(said)), 0.2).when(ends, 0.3).otherwise(0.0)
+
+
+def _length(thought: Column, correct: Column) -> Column:
+    n = F.length(thought)
+    decay = 0.5 * F.cos(F.least(F.lit(1.0), (n - BEST) / (LONG - BEST)) * (F.pi() / 2))
+    return F.when(correct <= 0, 0.0).otherwise(_ramp(n).otherwise(decay))
+
+
 def correctness(text: Column, gold: Column, json: bool = False) -> Column:
-    said, gold = _bare(tagged(text, "answer", json)), F.trim(gold)
-    return F.when(said == gold, EXACT).when(F.lower(said) == F.lower(gold), SAME_LETTERS).when(gold.contains(said) | said.contains(gold), PART).when(similarity(said, gold) > ALIKE, SIMILAR).otherwise(0.0)
+    return let(_bare(tagged(text, "answer", json)), lambda said: _correctness(said, gold))
 
 
 def kind(text: Column, json: bool = False) -> Column:
-    said = _bare(tagged(text, "answer", json))
-    return F.when(said.rlike(r"^\d+$") | said.isin(NAMES), 0.5).when(F.lower(said).isin([n.lower() for n in NAMES]), 0.3).otherwise(0.0)
+    return let(_bare(tagged(text, "answer", json)), _kind)
 
 
 def form(text: Column, json: bool = False) -> Column:
@@ -43,33 +80,34 @@ def form(text: Column, json: bool = False) -> Column:
     return F.when(text.rlike(strict), 1.0).when(text.rlike(good), 0.75).when(text.rlike(least), 0.5).otherwise(0.0)
 
 
-def _ramp(n: Column) -> Column:
-    """0.1 up to SHORT characters, rising to 0.5 at BEST; null beyond."""
-    return F.when(n < SHORT, 0.1).when(n < BEST, 0.1 + 0.4 * (n - SHORT) / (BEST - SHORT))
+def _told(text: Column, known: Column | list[str], body: Callable[[Column], Column]) -> Column:
+    """`body` of what a completion holds: thought and its sentences (parts), said, and said without quotes (bare)."""
+    tags = F.struct(tagged(text, "think").alias("thought"), tagged(text, "answer").alias("said"))
+    return let(tags, lambda x: let(F.struct(x["thought"].alias("thought"), x["said"].alias("said"), _bare(x["said"]).alias("bare"), sentences.split(x["thought"], known).alias("parts")), body))
 
 
 def reasoning(text: Column, known: Column | list[str] = ()) -> Column:
     """known: the abbreviations that end no sentence."""
-    thought = tagged(text, "think")
-    n = F.length(thought)
-    by_length = _ramp(n).when(n <= LONG, 0.5 * (1 - (n - BEST) / (LONG - BEST))).otherwise(0.1)
-    hits = sum((F.lower(thought).contains(w).cast("int") for w in INDICATORS), F.lit(0))
-    parts = F.size(sentences.split(thought, known))
-    return by_length + F.least(F.lit(0.3), 0.05 * hits) + F.when(parts >= 3, 0.2).when(parts == 2, 0.1).otherwise(0.0)
+    return let(tagged(text, "think"), lambda thought: _reasoning(thought, sentences.split(thought, known)))
 
 
 def consistency(text: Column, known: Column | list[str] = ()) -> Column:
-    thought, said = tagged(text, "think"), tagged(text, "answer")
-    last = F.coalesce(F.try_element_at(sentences.split(thought, known), F.lit(-1)), F.lit(""))
-    return F.when((thought == "") | (said == ""), 0.0).when(thought.contains(said), 0.3).when(F.lower(thought).contains(F.lower(said)), 0.2).when((last != "") & (last.contains(said) | said.contains(last)), 0.3).otherwise(0.0)
+    return _told(text, known, lambda x: _consistency(x["thought"], x["said"], x["parts"]))
 
 
 def length(text: Column, gold: Column) -> Column:
-    n = F.length(tagged(text, "think"))
-    decay = 0.5 * F.cos(F.least(F.lit(1.0), (n - BEST) / (LONG - BEST)) * (F.pi() / 2))
-    return F.when(correctness(text, gold) <= 0, 0.0).otherwise(_ramp(n).otherwise(decay))
+    return let(tagged(text, "think"), lambda thought: _length(thought, correctness(text, gold)))
+
+
+def shares(text: Column, gold: Column, known: Column | list[str] = ()) -> Column:
+    """A struct of all rewards by name: tags and sentences are found once for all of them."""
+
+    def of(x: Column) -> Column:
+        rest = {"format": form(text), "reasoning": _reasoning(x["thought"], x["parts"]), "consistency": _consistency(x["thought"], x["said"], x["parts"]), "atype": _kind(x["bare"])}
+        return let(_correctness(x["bare"], gold), lambda c: F.struct(c.alias("correctness"), *(v.alias(k) for k, v in rest.items()), _length(x["thought"], c).alias("length")))
+
+    return _told(text, known, of)
 
 
 def combined(text: Column, gold: Column, weights: dict[str, float] = WEIGHTS, known: Column | list[str] = ()) -> Column:
-    parts = {"correctness": correctness(text, gold), "format": form(text), "reasoning": reasoning(text, known), "consistency": consistency(text, known), "atype": kind(text), "length": length(text, gold)}
-    return sum((weights[k] * v for k, v in parts.items()), F.lit(0.0))
+    return let(shares(text, gold, known), lambda x: sum((weights[k] * x[k] for k in ("correctness", "format", "reasoning", "consistency", "atype", "length")), F.lit(0.0)))

@@ -7,6 +7,8 @@ is rare without one. The evidence is a log-likelihood ratio: that the period dep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def _lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once a row, however often it is used there."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def type_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """word, with_period, without: how often each type of word, A-Z in lower case and without its last period, ends in one. Null and empty texts have no words."""
     words = texts.select(F.explode(F.regexp_extract_all(_lower(F.coalesce(F.col(column), F.lit(""))), F.lit(WORD), F.lit(0))).alias("w"))
@@ -55,13 +62,17 @@ def split(text: Column, known: Column | list[str] = ()) -> Column:
     """The sentences of a text as an array: they end in . ! or ? before white space, but not in the period of an abbreviation or an initial that goes on."""
     known = known if isinstance(known, Column) else F.array(*map(F.lit, known)).cast("array<string>")
     pieces = F.array_remove(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), "")
-    last = lambda x: F.regexp_extract(_lower(x), rf"({WORD[:-1]}*)\.$", 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        before = F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(""))
-        word = last(before)
-        goes_on = F.endswith(before, F.lit(".")) & (F.array_contains(known, word) | word.rlike(r"^[a-z]$"))
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.concat_ws(" ", before, x)))
-        return F.when((F.size(acc) > 0) & goes_on, joined).otherwise(F.concat(acc, F.array(x)))
+    def goes_on(x: Column) -> Column:
+        word = F.regexp_extract(_lower(x), rf"({WORD[:-1]}*)\.$", 1)
+        return F.endswith(x, F.lit(".")) & let(word, lambda w: F.array_contains(known, w) | w.rlike(r"^[a-z]$"))
+
+    def joined(x: Column) -> Column:
+        """Each run of pieces that go on and the one after them as one, in a pass over the places where sentences start."""
+        at = F.filter(F.sequence(F.lit(1), F.size(x["pieces"])), lambda i: (i == 1) | ~F.get(x["on"], i - 2))
+        after = lambda starts, k: F.coalesce(F.get(starts, k + 1), F.size(x["pieces"]) + 1)
+        return let(at, lambda starts: F.transform(starts, lambda i, k: F.array_join(F.slice(x["pieces"], i, after(starts, k) - i), " ")))
 
-    return F.aggregate(pieces, F.array().cast("array<string>"), step)
+    marked = lambda p: F.struct(p.alias("pieces"), F.transform(p, goes_on).alias("on"))
+    # nearly no text has a piece that goes on
+    return let(pieces, lambda p: let(marked(p), lambda x: F.when(F.array_contains(x["on"], True), joined(x)).otherwise(x["pieces"])))

@@ -396,8 +396,8 @@ def _completions(spark, sf_dir) -> DataFrame:
 
 @query(_REWARDS + "SELECT qid, qtype, seq_len, CAST(atype_reward AS DOUBLE) AS atype_reward, CAST(reasoning AS DOUBLE) AS reasoning, CAST(consistency AS DOUBLE) AS consistency FROM r")
 def rw_parts(spark, sf_dir):
-    t = F.col("t")
-    return _completions(spark, sf_dir).select("qid", "qtype", "seq_len", rewards.kind(t).alias("atype_reward"), rewards.reasoning(t).alias("reasoning"), rewards.consistency(t).alias("consistency"))
+    rows = _completions(spark, sf_dir).select("qid", "qtype", "seq_len", rewards.shares(F.col("t"), F.col("gold")).alias("x"))
+    return rows.select("qid", "qtype", "seq_len", F.col("x.atype").alias("atype_reward"), "x.reasoning", "x.consistency")
 
 
 @query(_REWARDS + "SELECT qid, qtype, seq_len, CAST(correctness + 0.5 * form + 0.8 * reasoning + 0.7 * consistency + 0.3 * atype_reward + 0.4 * of_length AS DOUBLE) AS reward FROM r")
