@@ -6,11 +6,11 @@ log(p_target / p_raw); one below the threshold is rejected. Both multinomials ar
 is DataFrame operations; the model is one array of BUCKETS numbers, whatever the corpus. Ratios are whole multiples of
 2**-32, so sums of them don't depend on the order of rows and every document gets the same verdict in every run.
 
-Documents with labels take parts by crc32 of doc_id mod 4. With 2 or 3 they may be targets (quality 1, toxic 0), at
-most `sample` of them, those with the smallest hash; the raw counts take every document. The threshold comes from those
-with 0, which no target has seen, at most CALIBRATION of either quality: it lies in the middle of the gap between two of
-their ratios that parts good from bad best (LOSS times the share of good ones lost and the share of bad ones kept add up
-to the least; of equals the widest gap, then the lowest). Those with 1 take part in neither and are left to test by. With no trusted row the ratio is 0
+Documents with labels take parts by crc32 of doc_id mod 4. With 2 or 3 they are targets (quality 1, toxic 0), all of
+them; the raw counts take every document. The threshold comes from all with 0, which no target has seen: it lies in the
+middle of the gap between two of their ratios that parts good from bad best (LOSS times the share of good ones lost and
+the share of bad ones kept add up to the least; of equals the widest gap, then the lowest). Their ratios are sorted by
+ranges, and only the counts of ranges come to the driver. Those with 1 take part in neither and are left to test by. With no trusted row the ratio is 0
 everywhere; without labels of both qualities beside the target there is no threshold. Then nothing is rejected.
 
 Null text has no words, and fails the base rules as it has under 50. Repeated rows are rows of their own. Documents
@@ -23,15 +23,14 @@ from __future__ import annotations
 import json
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepfold.llm.common import settled, words_of
+from stepfold.llm.common import Scratch, settled, words_of
 
 BUCKETS = 1 << 14
-SAMPLE = 20_000
-#: Labelled rows of either quality that the threshold is drawn from.
-CALIBRATION = 2500
+#: Labelled rows up to which they are broadcast, some 20 bytes each; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 #: How much more it weighs to lose a share of good documents than to keep as large a share of bad ones.
 LOSS = 10
 #: Ratios are whole numbers of this many parts.
@@ -82,22 +81,29 @@ def _bucket(*words: Column) -> Column:
     return F.pmod(F.xxhash64(*words), F.lit(BUCKETS)).cast("int")
 
 
+def _part(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % 4
+
+
 def _labelled(labels: DataFrame, *parts: int) -> DataFrame:
     """doc_id, q, most, t of the documents with labels of these parts: least and greatest quality, greatest toxicity."""
-    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
-    known = labels.where(F.col("doc_id").isNotNull() & part.isin(*parts))
+    known = labels.where(F.col("doc_id").isNotNull() & _part(F.col("doc_id")).isin(*parts))
     return known.groupBy("doc_id").agg(F.min("quality").alias("q"), F.max("quality").alias("most"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
 
 
-def target_ids(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id of at most `sample` trusted rows; a document that any label marks bad or toxic isn't trusted."""
-    return _labelled(labels, 2, 3).where((F.col("q") == 1) & (F.col("t") == 0)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id")
+def target_ids(labels: DataFrame) -> DataFrame:
+    """doc_id of all trusted rows; a document that any label marks bad or toxic isn't trusted."""
+    return _labelled(labels, 2, 3).where((F.col("q") == 1) & (F.col("t") == 0)).select("doc_id")
+
 
+def _small(rows: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    return F.broadcast(rows) if rows.count() <= broadcast_rows else rows
 
-def log_ratios(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[float]:
+
+def log_ratios(docs: DataFrame, labels: DataFrame) -> list[float]:
     """log(p_target / p_raw) of each bucket, in whole PARTS."""
-    chosen = F.broadcast(target_ids(labels, sample).withColumn("trusted", F.lit(1)))  # at most `sample` ids
-    rows = docs.select("doc_id", words_of(F.col("text").cast("string")).alias("words")).join(chosen, "doc_id", "left")
+    chosen = _small(target_ids(labels)).withColumn("trusted", F.lit(1))
+    rows = docs.select("doc_id", "text").join(chosen, "doc_id", "left").select("trusted", words_of(F.col("text").cast("string")).alias("words"))
     grams = _grams(rows, "trusted")
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("target"))
     found = {r.b: (r.raw, r.target) for r in counts.collect()}  # at most BUCKETS rows
@@ -150,20 +156,43 @@ def best_cut(scored: list[tuple[float, int]]) -> float | None:
     return best[2]
 
 
-def threshold_of(docs: DataFrame, labels: DataFrame, ratios: list[float], sample: int = CALIBRATION) -> float | None:
-    """The threshold that labelled documents outside the target ask for, None if there are too few."""
-    known = _labelled(labels, 0).where((F.col("q") == F.col("most")) & F.col("q").isin(0, 1)).select("doc_id", F.col("q").cast("int").alias("q"))
-    picked = [known.where(F.col("q") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for q in (0, 1)]
-    chosen = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * sample ids
-    rows = docs.select("doc_id", "text").join(chosen, "doc_id")
+def cut_of(scored: DataFrame) -> float | None:
+    """best_cut of a table (x, q) of any size: values in ranges, counts before them from those of the ranges."""
+    total = scored.agg(F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") == 0).alias("bad")).first()
+    if not total.good or not total.bad:
+        return None
+    values = scored.groupBy("x").agg(F.count_if(F.col("q") == 1).alias("good"), F.count_if(F.col("q") == 0).alias("bad"))
+    scratch = Scratch(scored.sparkSession, "quality-cut")
+    values = scratch.write(values.repartitionByRange("x").withColumn("part", F.spark_partition_id()), "values")
+    try:
+        parts = sorted(values.groupBy("part").agg(F.min("x").alias("least"), F.sum("good").alias("good"), F.sum("bad").alias("bad")).collect(), key=lambda r: r.part)  # a row for each range
+        before, rows = [0, 0], []
+        for r, after in zip(parts, [*parts[1:], None], strict=True):
+            rows.append((r.part, *before, after and after.least))
+            before = [before[0] + r.good, before[1] + r.bad]
+        offsets = F.broadcast(values.sparkSession.createDataFrame(rows, "part int, g long, b long, next double"))
+        order = Window.partitionBy("part").orderBy("x")
+        y = F.coalesce(F.lead("x").over(order), F.col("next"))
+        found = values.join(offsets, "part").select("x", y.alias("y"), (F.sum("good").over(order) + F.col("g")).alias("lost"), (F.sum("bad").over(order) + F.col("b")).alias("gone"))
+        gain = F.round(F.col("gone") / total.bad - LOSS * F.col("lost") / total.good, 9)
+        cuts = found.where("y is not null").select("x", "y", gain.alias("gain"), (F.col("y") - F.col("x")).alias("gap")).where("gain >= 0")
+        best = cuts.orderBy(F.desc("gain"), F.desc("gap"), "x").limit(1).collect()
+    finally:
+        scratch.drop(values)
+    return (best[0].x + best[0].y) / 2 if best else None
+
+
+def threshold_of(docs: DataFrame, labels: DataFrame, ratios: list[float]) -> float | None:
+    """The threshold that all labelled documents outside the target ask for, None if there are none of either quality."""
+    known = _small(_labelled(labels, 0).where((F.col("q") == F.col("most")) & F.col("q").isin(0, 1)).select("doc_id", F.col("q").cast("int").alias("q")))
+    rows = docs.select("doc_id", "text").where(_part(F.col("doc_id")) == 0).join(known, "doc_id")
     rows = settled(rows, "words", words_of(F.col("text").cast("string"))).where(F.size("words") >= LEAST_WORDS)
-    scores = rows.select("doc_id", "q", mean_ratio(F.col("words"), _literal(ratios)).alias("x")).groupBy("doc_id").agg(F.first("q").alias("q"), F.min("x").alias("x"))
-    return best_cut([(r.x, r.q) for r in scores.collect()])
+    return cut_of(rows.select("doc_id", "q", mean_ratio(F.col("words"), _literal(ratios)).alias("x")).groupBy("doc_id").agg(F.first("q").alias("q"), F.min("x").alias("x")))
 
 
-def assess(docs: DataFrame, labels: DataFrame, threshold: float | None = None, sample: int = SAMPLE) -> DataFrame:
+def assess(docs: DataFrame, labels: DataFrame, threshold: float | None = None) -> DataFrame:
     """The rows of `docs` with the base columns, log_ratio and kept. The threshold is drawn from the labels where none is given."""
-    ratios = log_ratios(docs, labels, sample)
+    ratios = log_ratios(docs, labels)
     if threshold is None:
         threshold = threshold_of(docs, labels, ratios)
     rows = base_rules(docs.select("doc_id", "text"))
