@@ -130,17 +130,26 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+#: Elements that are made pretty at once: a batch of Spark's has thousands, each of maybe many kilobytes.
+AT_ONCE = 100
+
+
+def _pretty(batch: pa.RecordBatch, space: str) -> Iterator[pa.RecordBatch]:
+    """The last column's JSON made pretty, few rows at a time."""
+    for at in range(0, batch.num_rows, AT_ONCE):
+        few = batch.slice(at, AT_ONCE)
+        texts = [space + json.dumps(json.loads(x), ensure_ascii=False, indent=2).replace("\n", "\n" + space) for x in few.column(few.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*few.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "value"])
+
+
 def _elements(df: DataFrame, indent: int, *leave: str) -> DataFrame:
     """The rows in their order as pretty JSON, `indent` spaces further in, as a column value beside the columns left out."""
-    names = [*leave, "value"]
     kinds = df.select(*leave).schema
     value = F.to_json(F.struct(*(c for c in df.columns if c not in leave)), {"ignoreNullFields": "false"}).alias("value")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space = " " * indent
         for batch in batches:
-            texts = [space + json.dumps(json.loads(x), ensure_ascii=False, indent=2).replace("\n", "\n" + space) for x in batch.column(len(names) - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names)
+            yield from _pretty(batch, " " * indent)
 
     return df.select(*leave, value).mapInArrow(run, kinds.add("value", "string"))
 

@@ -172,3 +172,14 @@ def test_streams(spark, tmp_path):
     out.stop()
     time.sleep(0.1)
     assert spark.read.option("header", True).csv(f"{tmp_path}/out").count() == 9
+
+
+def test_elements_are_made_few_at_a_time():
+    import pyarrow as pa
+
+    from stepfold.sources import sinks
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1050)), pa.array(['{"a":1}'] * 1050)], names=["k", "value"])
+    parts = list(sinks._pretty(batch, "  "))
+    assert max(p.num_rows for p in parts) <= sinks.AT_ONCE and [k for p in parts for k in p.column(0).to_pylist()] == list(range(1050))
+    assert {v for p in parts for v in p.column(1).to_pylist()} == {'  {\n    "a": 1\n  }'}
