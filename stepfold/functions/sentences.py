@@ -60,12 +60,19 @@ def abbreviations(texts: DataFrame, column: str = "text") -> list[str]:
 
 def split(text: Column, known: Column | list[str] = ()) -> Column:
     """The sentences of a text as an array: they end in . ! or ? before white space, but not in the period of an abbreviation or an initial that goes on."""
-    known = known if isinstance(known, Column) else F.array(*map(F.lit, known)).cast("array<string>")
     pieces = F.array_remove(F.transform(F.split(text, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), "")
+    within = WORD[:-1]
+    initial = rf"(?<!{within})[A-Za-z]\."
+    listed = isinstance(known, Column) or len(known) > 0
+    # without abbreviations a text with no initial before white space is as it was cut
+    may = F.lit(True) if listed else text.rlike(initial + r"\s")
+    known = known if isinstance(known, Column) else F.array(*map(F.lit, known)).cast("array<string>")
 
     def goes_on(x: Column) -> Column:
-        word = F.regexp_extract(_lower(x), rf"({WORD[:-1]}*)\.$", 1)
-        return F.endswith(x, F.lit(".")) & let(word, lambda w: F.array_contains(known, w) | w.rlike(r"^[a-z]$"))
+        ends = x.rlike(initial + "$")
+        if listed:
+            ends = ends | F.array_contains(known, _lower(F.regexp_extract(x, rf"(?<!{within})({within}*)\.$", 1)))
+        return F.endswith(x, F.lit(".")) & ends
 
     def joined(x: Column) -> Column:
         """Each run of pieces that go on and the one after them as one, in a pass over the places where sentences start."""
@@ -74,5 +81,5 @@ def split(text: Column, known: Column | list[str] = ()) -> Column:
         return let(at, lambda starts: F.transform(starts, lambda i, k: F.array_join(F.slice(x["pieces"], i, after(starts, k) - i), " ")))
 
     marked = lambda p: F.struct(p.alias("pieces"), F.transform(p, goes_on).alias("on"))
-    # nearly no text has a piece that goes on
-    return let(pieces, lambda p: let(marked(p), lambda x: F.when(F.array_contains(x["on"], True), joined(x)).otherwise(x["pieces"])))
+    checked = lambda p: let(marked(p), lambda x: F.when(F.array_contains(x["on"], True), joined(x)).otherwise(x["pieces"]))
+    return let(pieces, lambda p: F.when(may, checked(p)).otherwise(p))
