@@ -202,7 +202,7 @@ def run_convert(a: argparse.Namespace, spark: SparkSession) -> int:
 def run_serialise(a: argparse.Namespace, spark: SparkSession) -> int:
     """Sequence CSVs as steps, joined to the questions that name them."""
     questions = spark.read.option("multiLine", True).json(a.questions)
-    sinks.jsonl(tables.with_sequences(questions, tables.sequences_csv(spark, a.sequences, a.chars), a.path_column), a.output)
+    sinks.jsonl(tables.with_sequences(questions, tables.steps_csv(spark, a.sequences, a.chars), a.path_column), a.output)
     return 0
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stepfold.operators.curation import padded_id
@@ -115,24 +115,34 @@ def external_scores(spark: SparkSession, path: str, names: dict[str, str]) -> Da
     return df.select(F.replace(F.col(f"`{first}`"), F.lit("."), F.lit("_")).alias(ident), *scores).dropna()
 
 
-def sequences_csv(spark: SparkSession, path: str, chars: list[str], name: str = r"([^/]+)$") -> DataFrame:
-    """Wide sequence files, a row for each step, as state rows; seq is what `name` finds in a path, the file name if not told otherwise."""
-    df = spark.read.schema(", ".join(f"`{c}` string" for c in chars)).option("header", True).csv(path)
-    df = df.select("*", F.regexp_extract("_metadata.file_path", name, 1).alias("seq"), F.col("_metadata.file_block_start").alias("_start")).select("*", F.row_number().over(_in_file()).alias("step_id"))
-    return df.select("seq", "step_id", F.posexplode(F.array(*(F.struct(F.lit(c).alias("ch"), F.col(c).alias("room")) for c in chars))).alias("ch_ord", "x")).select("seq", "step_id", "ch_ord", "x.*")
+def steps_csv(spark: SparkSession, path: str, chars: list[str], name: str = r"([^/]+)$", key: str | None = None) -> DataFrame:
+    """Wide sequence files, a row for each step, as seq, step_id, at: an array of (ch_ord, ch, room); seq is what `name` finds in a path, the file name if not told otherwise.
 
+    Files of many sequences have a first column `key` that tells each row's; the steps of one are in one file, in their order.
+    """
+    columns = ([key] if key else []) + chars
+    df = spark.read.schema(", ".join(f"`{c}` string" for c in columns)).option("header", True).csv(path)
+    seq = F.col(f"`{key}`") if key else F.regexp_extract("_metadata.file_path", name, 1)
+    at = F.array(*(F.struct(F.lit(k).alias("ch_ord"), F.lit(c).alias("ch"), F.col(f"`{c}`").alias("room")) for k, c in enumerate(chars)))
+    # parts of a file by where they start, as they need not be read in that order, then its rows as they come
+    rows = df.select(seq.alias("seq"), at.alias("at"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    # parts of a fixed number: short rows become arrays, so those put together by size would be few and large
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq")
+    return rows.select("seq", F.row_number().over(Window.partitionBy("seq").orderBy("_start", "_row")).alias("step_id"), "at")
 
-def _in_file():
-    from pyspark.sql import Window
 
-    # parts of a file by where they start, as they need not be read in that order, then its rows as they come
-    return Window.partitionBy("seq").orderBy("_start", F.monotonically_increasing_id())
+def sequences_csv(spark: SparkSession, path: str, chars: list[str], name: str = r"([^/]+)$", key: str | None = None) -> DataFrame:
+    """The files of steps_csv() as state rows."""
+    return steps_csv(spark, path, chars, name, key).select("seq", "step_id", F.explode("at").alias("x")).select("seq", "step_id", "x.*")
 
 
 def with_sequences(questions: DataFrame, sequences: DataFrame, path: str = "sequence_path") -> DataFrame:
-    """Question rows with the sequence of the file that each names: an array of (step_id, map of character to room), null where the file isn't there."""
-    steps = sequences.groupBy("seq", "step_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("ch", "room")))).alias("rooms"))
-    whole = steps.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("step_id", F.map_entries("rooms").alias("e")))).alias("s"))
+    """Question rows with the sequence of the file that each names, of sequences_csv() or, with less to group, steps_csv(): an array of (step_id, map of character to room), null where the file isn't there."""
+    if "at" in sequences.columns:
+        steps = sequences.select("seq", "step_id", F.array_sort(F.transform("at", lambda x: F.struct(x["ch"].alias("ch"), x["room"].alias("room")))).alias("e"))
+    else:
+        steps = sequences.groupBy("seq", "step_id").agg(F.array_sort(F.collect_list(F.struct("ch", "room"))).alias("e"))
+    whole = steps.groupBy("seq").agg(F.array_sort(F.collect_list(F.struct("step_id", "e"))).alias("s"))
     whole = whole.select("seq", F.transform("s", lambda x: F.struct(x["step_id"].alias("step_id"), F.map_from_entries(x["e"]).alias("at"))).alias("sequence"))
     return questions.join(whole, F.substring_index(F.col(path), "/", -1) == F.col("seq"), "left").drop("seq")
 
