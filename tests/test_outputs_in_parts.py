@@ -10,6 +10,7 @@ from stepfold import registry
 DATA = "/root/testdata/sf0.001"
 NAMES = [
     "extract_answers",
+    "lb_gates",
 ]
 
 
