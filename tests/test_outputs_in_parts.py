@@ -11,6 +11,7 @@ DATA = "/root/testdata/sf0.001"
 NAMES = [
     "extract_answers",
     "lb_gates",
+    "lb_hit_rates",
 ]
 
 
