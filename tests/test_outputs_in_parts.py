@@ -12,6 +12,7 @@ NAMES = [
     "extract_answers",
     "lb_gates",
     "lb_hit_rates",
+    "lb_mean_hits",
 ]
 
 
