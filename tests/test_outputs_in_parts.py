@@ -13,6 +13,7 @@ NAMES = [
     "lb_gates",
     "lb_hit_rates",
     "lb_mean_hits",
+    "lb_means_over_lengths",
 ]
 
 
