@@ -14,6 +14,7 @@ NAMES = [
     "lb_hit_rates",
     "lb_mean_hits",
     "lb_means_over_lengths",
+    "lb_means_over_questions",
 ]
 
 
