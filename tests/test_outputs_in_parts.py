@@ -15,6 +15,7 @@ NAMES = [
     "lb_mean_hits",
     "lb_means_over_lengths",
     "lb_means_over_questions",
+    "lb_one_model",
 ]
 
 
