@@ -16,6 +16,7 @@ NAMES = [
     "lb_means_over_lengths",
     "lb_means_over_questions",
     "lb_one_model",
+    "lb_ordered_tasks",
 ]
 
 
