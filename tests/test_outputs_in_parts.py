@@ -17,6 +17,7 @@ NAMES = [
     "lb_means_over_questions",
     "lb_one_model",
     "lb_ordered_tasks",
+    "lb_pivot",
 ]
 
 
