@@ -18,6 +18,7 @@ NAMES = [
     "lb_one_model",
     "lb_ordered_tasks",
     "lb_pivot",
+    "lb_rescore_diff",
 ]
 
 
