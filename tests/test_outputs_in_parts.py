@@ -19,6 +19,7 @@ NAMES = [
     "lb_ordered_tasks",
     "lb_pivot",
     "lb_rescore_diff",
+    "lb_run_stats",
 ]
 
 
